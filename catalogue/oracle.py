@@ -107,10 +107,11 @@ SELECT CASE WHEN GROUPING({key}) = 1 THEN 'Total General' ELSE {key} END AS {key
 FROM {rows} GROUP BY GROUPING SETS ({sets})"""
 
 
-def _dense(key: str, resolution: bool = False) -> str:
+def _dense(key: str, resolution: bool = False, rows: str = "true") -> str:
     spine = f"""
-w AS (SELECT * FROM gestiones WHERE weekofyear(FECHA) = 35),
-b AS (SELECT min({_MONDAY}) AS lo, max({_SUNDAY}) AS hi FROM w),
+a AS (SELECT * FROM gestiones WHERE weekofyear(FECHA) = 35),
+w AS (SELECT * FROM a WHERE {rows}),
+b AS (SELECT min({_MONDAY}) AS lo, max({_SUNDAY}) AS hi FROM a),
 sp AS (SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS dia FROM b),
 k AS (SELECT {key}, {_ORDERS} AS total FROM w GROUP BY 1),
 x AS (SELECT {key}, dia, {_ORDERS} AS n, {_CORRECTED} AS co FROM w GROUP BY 1, 2),
@@ -277,6 +278,7 @@ JOIN (SELECT EJECUTIVO, row_number() OVER (ORDER BY {_ORDERS} DESC, EJECUTIVO) A
     "daily_dense_by_tower": _dense("TORRE"),
     "daily_dense_by_status": _dense("STATUS_REAL"),
     "daily_dense_by_executive": _dense("EJECUTIVO"),
+    "daily_dense_span_of_all": _dense("EJECUTIVO", rows="TORRE IN ('ASIA', 'EUROPE')"),
     "daily_resolution_by_executive": _resolution(),
     "daily_resolution_dense": _dense("EJECUTIVO", resolution=True),
     "daily_resolution_wide": _RESOLUTION_WIDE,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalogue import views
@@ -32,6 +32,7 @@ from kpiloom.functions.numbers import percent_text, ratio
 from kpiloom.functions.text import child_label
 from kpiloom.operators.clean import clean, filter_allow_list, lenient_timestamp
 from kpiloom.operators.counts import (
+    OWN_SPAN,
     count_by,
     daily_counts,
     daily_resolution,
@@ -115,13 +116,15 @@ def calendar_columns(spark, folder):
 def format_percent(spark, folder):
     measures = views.gestiones_measures(spark, folder)
     parts = count_by(measures, EJECUTIVO, DIA, STATUS)
-    wholes = count_by(measures, EJECUTIVO, DIA).withColumnRenamed(N, "b")
+    # A day of an executive has one row per status, so the window stays small.
+    parts = parts.withColumn("b", F.sum(N).over(Window.partitionBy(EJECUTIVO, DIA)))
     share = ratio(F.col(N), F.col("b"))
-    return (
-        parts.join(wholes, [EJECUTIVO, DIA])
-        .select(F.col(N).alias("a"), "b", percent_text(share, 0).alias("text_0"), percent_text(share, 2).alias("text_2"))
-        .distinct()
-    )
+    return parts.select(
+        F.col(N).alias("a"),
+        "b",
+        percent_text(share, 0).alias("text_0"),
+        percent_text(share, 2).alias("text_2"),
+    ).distinct()
 
 
 # --- filters -------------------------------------------------------------------------
@@ -160,11 +163,18 @@ def kpi_cards_filtered(spark, folder):
 def dense(report: Callable[..., DataFrame], key: str) -> Query:
     def run(spark, folder):
         selected = WEEK_35.apply(views.gestiones_measures(spark, folder))
-        return report(selected, key, span=week_span(selected))
+        return report(selected, key, span=OWN_SPAN)
 
     return run
 
 
+def daily_dense_span_of_all(spark, folder):
+    """The workbook rule: days span the weeks of all rows, rows are those of two towers."""
+    measures = views.gestiones_measures(spark, folder)
+    selected = KpiFilter(mode=SEMANA_MODE, weeks=(35,), towers=("ASIA", "EUROPE")).apply(measures)
+    return daily_counts(selected, EJECUTIVO, span=week_span(WEEK_35.apply(measures)))
+
+
 def daily_wide_by_tower(spark, folder):
     selected = WEEK_35_OF_1998.apply(views.gestiones_measures(spark, folder))
     return reports.daily_wide(selected, TORRE, DAYS_OF_WEEK_35)
@@ -298,6 +308,7 @@ QUERIES: dict[str, Query] = {
     "daily_dense_by_tower": dense(daily_counts, TORRE),
     "daily_dense_by_status": dense(daily_counts, STATUS),
     "daily_dense_by_executive": dense(daily_counts, EJECUTIVO),
+    "daily_dense_span_of_all": daily_dense_span_of_all,
     "daily_resolution_by_executive": over_measures(daily_resolution, EJECUTIVO),
     "daily_resolution_dense": dense(daily_resolution, EJECUTIVO),
     "daily_resolution_wide": resolution_wide,

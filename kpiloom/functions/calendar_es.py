@@ -53,8 +53,8 @@ def iso_week(moment: Column) -> Column:
 
 
 def week_start(moment: Column) -> Column:
-    # date_trunc yields a zoned timestamp even for NTZ input, hence the cast.
-    return F.date_trunc("week", moment).cast("date")
+    # Day arithmetic only: date_trunc would go through the session's time zone.
+    return F.date_sub(F.to_date(moment), F.weekday(moment))
 
 
 def week_end(moment: Column) -> Column:

@@ -13,6 +13,11 @@ from kpiloom.functions.numbers import percent_text, ratio
 TOTAL = "total"
 CORREGIDAS = "corregidas"
 
+# Days a daily table shows: those present, all of a given `lo, hi` row, or all between the
+# first and the last week of the counts themselves.
+OWN_SPAN = "own"
+Span = DataFrame | str | None
+
 
 def orders() -> Column:
     return F.sum(N)
@@ -31,15 +36,16 @@ def _over_key(key: str) -> Column:
     return F.sum(N).over(Window.partitionBy(key))
 
 
-def daily_counts(measures: DataFrame, key: str, span: DataFrame | None = None) -> DataFrame:
+def daily_counts(measures: DataFrame, key: str, span: Span = None) -> DataFrame:
     """``key, Fecha_Dia, n, total``; with ``span`` every day of it, absent ones as 0.
 
     ``total`` covers all days of the key, also outside the span.
     """
-    counts = count_by(measures, key, DIA).withColumn(TOTAL, _over_key(key))
+    counts = count_by(measures, key, DIA)
+    totalled = counts.withColumn(TOTAL, _over_key(key))
     if span is None:
-        return counts
-    return dense_days(counts, key, span, [N], per_key=[TOTAL])
+        return totalled
+    return dense_days(totalled, key, _bounds(span, counts, [N]), [N])
 
 
 def daily_totals(measures: DataFrame, key: str, grand_total: bool = True) -> DataFrame:
@@ -69,47 +75,50 @@ def week_span(measures: DataFrame) -> DataFrame:
     )
 
 
-def dense_days(
-    counts: DataFrame,
-    key: str,
-    span: DataFrame,
-    values: list[str],
-    per_key: list[str] | None = None,
-) -> DataFrame:
-    """Counts for every key on every day of ``span``; absent days hold 0.
+def _bounds(span: DataFrame | str, counts: DataFrame, values: list[str]) -> Column:
+    """The span as a scalar struct.
 
-    The missing days enter as rows of zeros and are merged by the same key, so the work
-    is one shuffle of exactly the rows of the result. Days outside the span are dropped,
-    but their keys stay.
+    For the span of the counts themselves the values are aggregated along: with every
+    column in use the subquery is the same shuffle as the counts, and Spark reuses it.
     """
-    per_key = per_key or []
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
-    keys = counts.groupBy(key).agg(*[F.max(c).alias(c) for c in per_key]) if per_key else counts.select(key).distinct()
-    bounds = keys.select(key, *per_key, lo.alias("_lo"), hi.alias("_hi"))
-    spine = bounds.select(
-        key,
-        F.explode(F.sequence("_lo", "_hi")).alias(DIA),
-        *[F.lit(0).cast("bigint").alias(v) for v in values],
-        *per_key,
-    )
-    inside = counts.filter((F.col(DIA) >= lo) & (F.col(DIA) <= hi)).select(*spine.columns)
-    return (
-        spine.unionByName(inside)
-        .groupBy(key, DIA)
-        .agg(*[F.sum(v).alias(v) for v in values], *[F.max(c).alias(c) for c in per_key])
+    if isinstance(span, DataFrame):
+        return span.select(F.struct("lo", "hi")).scalar()
+    lo, hi = F.min(week_start(F.col(DIA))), F.max(week_end(F.col(DIA)))
+    fields = [lo.alias("lo"), hi.alias("hi"), *[F.sum(v).alias(v) for v in values]]
+    return counts.agg(F.struct(*fields)).scalar()
+
+
+def dense_days(counts: DataFrame, key: str, bounds: Column, values: list[str]) -> DataFrame:
+    """Counts for every key on every day of the bounds; absent days hold 0.
+
+    Each row also stands for the empty days up to the next row of its key, the first one
+    for those before it. So only the sparse counts are shuffled, never the dense result.
+    Days outside the bounds are dropped, their keys stay.
+    """
+    ordered = Window.partitionBy(key).orderBy(DIA)
+    lo, hi = F.col("_bounds.lo"), F.col("_bounds.hi")
+    gaps = counts.withColumn("_bounds", bounds).withColumns(
+        {
+            "_from": F.when(F.lag(DIA).over(ordered).isNull(), F.least(F.col(DIA), lo)).otherwise(F.col(DIA)),
+            "_to": F.coalesce(F.date_sub(F.lead(DIA).over(ordered), 1), F.greatest(F.col(DIA), hi)),
+        }
     )
+    days = gaps.withColumn("_day", F.explode(F.sequence("_from", "_to")))
+    days = days.filter((F.col("_day") >= lo) & (F.col("_day") <= hi))
+    filled = {v: F.when(F.col("_day") == F.col(DIA), F.col(v)).otherwise(F.lit(0)) for v in values}
+    return days.withColumns(filled).withColumn(DIA, F.col("_day")).select(*counts.columns)
 
 
-def daily_resolution(measures: DataFrame, key: str = EJECUTIVO, span: DataFrame | None = None) -> DataFrame:
+def daily_resolution(measures: DataFrame, key: str = EJECUTIVO, span: Span = None) -> DataFrame:
     """Share of corrected orders per key and day; ``total`` is the key's count of orders."""
-    counts = (
-        measures.groupBy(key, DIA)
-        .agg(orders_with_status(CORREGIDO).alias(CORREGIDAS), orders().alias(N))
-        .withColumn(TOTAL, _over_key(key))
+    values = [CORREGIDAS, N]
+    counts = measures.groupBy(key, DIA).agg(
+        orders_with_status(CORREGIDO).alias(CORREGIDAS), orders().alias(N)
     )
+    totalled = counts.withColumn(TOTAL, _over_key(key))
     if span is not None:
-        counts = dense_days(counts, key, span, [CORREGIDAS, N], per_key=[TOTAL])
+        totalled = dense_days(totalled, key, _bounds(span, counts, values), values)
     share = ratio(F.col(CORREGIDAS), F.col(N))
-    return counts.select(
+    return totalled.select(
         key, DIA, CORREGIDAS, N, share.alias("pct"), percent_text(share, 0).alias("pct_text"), TOTAL
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kpiloom.session import ensure_checkpoint_dir
+from kpiloom.session import cut_lineage
 
 _SLOT_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
@@ -18,9 +18,7 @@ def with_position(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     sorted in ranges over all tasks, the order is fixed by a checkpoint, and the sizes of
     the ranges, one number per task, give where each range starts.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    slot = F.monotonically_increasing_id()
-    placed = df.orderBy(*order).withColumn("_slot", slot).checkpoint()
+    placed = cut_lineage(df.orderBy(*order).withColumn("_slot", F.monotonically_increasing_id()))
     part = F.shiftrightunsigned("_slot", _SLOT_BITS)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
     # At most as many rows as the sort had partitions: one task and a broadcast suffice.

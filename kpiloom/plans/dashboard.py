@@ -8,18 +8,23 @@ from pyspark.sql import DataFrame
 
 from kpiloom.columns import EJECUTIVO, STATUS, TORRE
 from kpiloom.config import DB, KpiFilter, Profile
-from kpiloom.operators.counts import daily_counts, daily_resolution, daily_totals, week_span
+from kpiloom.operators.counts import (
+    OWN_SPAN,
+    Span,
+    daily_counts,
+    daily_resolution,
+    daily_totals,
+    week_span,
+)
 from kpiloom.plans import reports
 
 
-def filter_span(
-    measures: DataFrame, selected: DataFrame, flt: KpiFilter, profile: Profile
-) -> DataFrame | None:
-    """Bounds of the dense daily tables; None outside week mode."""
+def filter_span(measures: DataFrame, flt: KpiFilter, profile: Profile) -> Span:
+    """Days of the daily tables: dense in week mode, over the filtered rows or over all."""
     if not (profile.dense_weeks and flt.by_week):
         return None
     if profile.span_from_filtered:
-        return week_span(selected)
+        return OWN_SPAN
     return week_span(KpiFilter(mode=flt.mode, weeks=flt.weeks).apply(measures))
 
 
@@ -35,7 +40,7 @@ def build_dashboard(
     """
     flt = flt or KpiFilter()
     selected = flt.apply(measures)
-    span = filter_span(measures, selected, flt, profile)
+    span = filter_span(measures, flt, profile)
     tables = {
         "kpi_cards": reports.kpi_cards(selected, profile),
         "diario_torre": daily_counts(selected, TORRE, span),

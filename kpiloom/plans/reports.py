@@ -38,6 +38,7 @@ from kpiloom.operators.counts import (
     orders_with_status,
 )
 from kpiloom.operators.position import with_position
+from kpiloom.session import cut_lineage
 
 LEVEL = "level"
 TOWER_TOTAL = "torre_total"
@@ -63,12 +64,18 @@ def monthly_report(measures: DataFrame) -> DataFrame:
     leveled = counts.groupingSets(sets, TORRE, EJECUTIVO, MES_NUM).agg(
         orders().alias(N), F.grouping_id().cast("bigint").alias(LEVEL)
     )
-    totals = counts.groupBy(TORRE).agg(orders().alias(TOWER_TOTAL))
-    return leveled.join(totals, TORRE).select(
+    return _with_tower_total(leveled, counts).select(
         TORRE, EJECUTIVO, MES_NUM, month_name_of(F.col(MES_NUM)).alias(MES), N, LEVEL, TOWER_TOTAL
     )
 
 
+def _with_tower_total(leveled: DataFrame, counts: DataFrame) -> DataFrame:
+    totals = counts.groupBy(F.col(TORRE).alias("_torre")).agg(orders().alias(TOWER_TOTAL))
+    # Null-safe, as plain equality would put a null test below one use of the counts only,
+    # and Spark could no longer reuse their shuffle.
+    return leveled.join(totals, F.col(TORRE).eqNullSafe(F.col("_torre"))).drop("_torre")
+
+
 def monthly_order():
     return [
         F.desc(TOWER_TOTAL),
@@ -92,12 +99,12 @@ def monthly_wide(measures: DataFrame, months: Sequence[str]) -> DataFrame:
         for m, number in numbers.items()
     ]
     # Months become columns in the same aggregation that forms the two levels.
-    leveled = monthly_counts(measures).groupingSets(
-        [[TORRE, EJECUTIVO], [TORRE]], TORRE, EJECUTIVO
-    ).agg(*columns, orders().alias(TOTAL), F.grouping_id().alias("_id"))
-    tower_totals = leveled.filter(F.col("_id") == 1).select(TORRE, F.col(TOTAL).alias(TOWER_TOTAL))
+    counts = monthly_counts(measures)
+    leveled = counts.groupingSets([[TORRE, EJECUTIVO], [TORRE]], TORRE, EJECUTIVO).agg(
+        *columns, orders().alias(TOTAL), F.grouping_id().alias("_id")
+    )
     is_tower = F.col("_id") == 1
-    return leveled.join(tower_totals, TORRE).select(
+    return _with_tower_total(leveled, counts).select(
         F.when(is_tower, F.col(TORRE)).otherwise(child_label(F.col(EJECUTIVO))).alias("etiqueta"),
         F.when(is_tower, "Torre").otherwise("Ejecutivo").alias("tipo"),
         *months,
@@ -227,7 +234,8 @@ def resolution_rate_order():
 
 def status_mix(measures: DataFrame) -> DataFrame:
     """``EJECUTIVO, STATUS_REAL, n, exec_order``: executives placed by total volume."""
-    mix = count_by(measures, EJECUTIVO, STATUS)
+    # Used twice, once to place the executives; cut so that the detail is read once.
+    mix = cut_lineage(count_by(measures, EJECUTIVO, STATUS))
     volumes = mix.groupBy(EJECUTIVO).agg(orders().alias(TOTAL))
     placed = with_position(volumes, [F.desc(TOTAL), F.asc(EJECUTIVO)], "exec_order")
     return mix.join(placed.select(EJECUTIVO, "exec_order"), EJECUTIVO).select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Time-zone free results, and plans that adapt to measured sizes and skew.
 SETTINGS = {
@@ -50,3 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="kpiloom-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows written to the checkpoint folder, so that nothing before is computed again."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from kpiloom.sources.naming import normalise_columns, require_columns
 
+CSV_NULL = "\u0000"
+
 
 def read_delivery(
     spark: SparkSession,
@@ -24,7 +26,9 @@ def read_delivery(
     reader = spark.read.format(file_format)
     if file_format == "csv":
         # With a schema, headers are compared with it instead of being overruled by it.
-        reader = reader.option("header", True).option("enforceSchema", False)
+        # Spark reads both an absent and a quoted empty text as null unless null has a
+        # mark of its own; a blank status must stay a blank status.
+        reader = reader.options(header=True, enforceSchema=False, nullValue=CSV_NULL)
     if schema is not None:
         reader = reader.schema(schema)
     return require_columns(normalise_columns(reader.options(**(options or {})).load(path)))

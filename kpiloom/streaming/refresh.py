@@ -14,7 +14,7 @@ from kpiloom.columns import FECHA, N, PEDIDO, TORRE
 from kpiloom.config import DB, Profile
 from kpiloom.operators.clean import clean
 from kpiloom.operators.cuboid import build_cuboid, merge_cuboids
-from kpiloom.sources.files import last_modified
+from kpiloom.sources.files import CSV_NULL, last_modified
 from kpiloom.sources.naming import GESTIONES_SCHEMA
 from kpiloom.sources.snapshot import SnapshotStore
 
@@ -68,7 +68,7 @@ def stream_deliveries(
 ) -> DataFrame:
     reader = spark.readStream.schema(schema).format(file_format)
     if file_format == "csv":
-        reader = reader.option("header", True)
+        reader = reader.options(header=True, nullValue=CSV_NULL)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.load(folder)

@@ -1,0 +1,124 @@
+"""Scalar functions against Python's own results."""
+
+from __future__ import annotations
+
+import sys
+import unicodedata
+from datetime import date, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from kpiloom.functions.calendar_es import (
+    MESES,
+    day_header,
+    iso_week,
+    iso_year,
+    months_touching_week,
+    month_name,
+    week_end,
+    week_start,
+)
+from kpiloom.functions.numbers import percent_text, ratio, whole
+from kpiloom.functions.text import child_label, normalise_name, strip
+
+
+@pytest.mark.parametrize(
+    "a, b, text", [(1, 8, "12%"), (5, 8, "62%"), (1, 32, "3.12%"), (5, 32, "15.62%"), (3, 8, "38%"), (0, 0, "0%")]
+)
+def test_percent_vectors(spark, a, b, text):
+    share = ratio(F.lit(a), F.lit(b))
+    decimals = 2 if "." in text else 0
+    assert spark.range(1).select(percent_text(share, decimals)).first()[0] == text
+
+
+def _python_texts(a, b):
+    share = a / b
+    return f"{share:.0%}", f"{share:.2%}"
+
+
+@pytest.mark.parametrize(
+    "denominators",
+    [range(1, 401), [640, 800, 1600, 3200, 4000, 8000], [20_000, 40_000], [12_345, 99_991]],
+    ids=["small", "near_ties", "finest_ties", "odd"],
+)
+def test_percent_text_equals_python_on_all_fractions(spark, denominators):
+    fractions = spark.createDataFrame([(b,) for b in denominators], "b int").select(
+        "b", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("a")
+    )
+    share = ratio(F.col("a"), F.col("b"))
+    found = fractions.select("a", "b", percent_text(share, 0), percent_text(share, 2)).collect()
+    wrong = [r for r in found if (r[2], r[3]) != _python_texts(r[0], r[1])]
+    assert not wrong, wrong[:5]
+    assert len(found) == sum(b + 1 for b in denominators)
+
+
+def test_percent_text_decimals():
+    with pytest.raises(ValueError):
+        percent_text(F.lit(0.5), 1)
+
+
+def test_ratio_and_whole(spark):
+    row = spark.range(1).select(
+        ratio(F.lit(1), F.lit(0)), ratio(F.lit(0), F.lit(0)), ratio(F.lit(1), F.lit(4)),
+        whole(F.lit(2.9)), whole(F.lit(-2.9)),
+    ).first()
+    assert tuple(row) == (0.0, 0.0, 0.25, 2, -2)
+
+
+def test_strip_removes_what_python_strips(spark):
+    blanks = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace()]
+    assert len(blanks) == 29
+    texts = [b + "a" + b + "c" + b for b in blanks] + ["".join(blanks), "", "x"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in frame.select(strip(F.col("t"))).collect()] == [t.strip() for t in texts]
+
+
+def test_strip_turns_numbers_into_text(spark):
+    row = spark.range(1).select(strip(F.lit(12)), strip(F.lit(12.5)), strip(F.lit(None).cast("string"))).first()
+    assert tuple(row) == ("12", "12.5", None)
+
+
+def test_names():
+    assert normalise_name("Número de pedido") == "NUMERO_DE_PEDIDO"
+    assert normalise_name("Último") == "ÚLTIMO"
+    assert normalise_name("Año fiscal") == "ANO_FISCAL"
+    assert normalise_name(7) == "7"
+    accents = [c for c in "áéíóúñ" if unicodedata.decomposition(c)]
+    assert normalise_name("".join(accents)) == "AEIOUN"
+
+
+def test_child_label(spark):
+    assert spark.range(1).select(child_label(F.lit("Ana"))).first()[0] == "     Ana"
+
+
+def test_calendar_equals_python_over_thirty_years(spark):
+    first, last = date(1999, 12, 20), date(2030, 1, 12)
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias("d"))
+    d = F.col("d").cast("timestamp_ntz")
+    found = days.select(
+        "d", iso_year(d), iso_week(d), week_start(d), week_end(d), month_name(d), day_header(F.col("d"))
+    ).collect()
+    assert len(found) == (last - first).days + 1
+    for day, *rest in found:
+        monday = day - timedelta(days=day.weekday())
+        year, week, _ = day.isocalendar()
+        assert rest == [
+            year, week, monday, monday + timedelta(days=6), MESES[day.month - 1], f"{day:%d-%m-%Y}",
+        ]
+
+
+def test_months_a_week_can_touch():
+    # A whole 400-year cycle of the calendar holds every case there is.
+    truth = {w: set() for w in range(1, 54)}
+    day = date(1801, 1, 1)
+    while day < date(2201, 1, 1):
+        truth[day.isocalendar()[1]].add(day.month)
+        day += timedelta(days=1)
+    for week, months in truth.items():
+        assert months <= months_touching_week(week)
+        assert len(months_touching_week(week)) <= 3
+
+
+def test_month_name_of_nothing_is_nothing(spark):
+    assert spark.range(1).select(month_name(F.lit(None).cast("date"))).first()[0] is None

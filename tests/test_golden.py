@@ -1,0 +1,291 @@
+"""Hand-derived expectations on the golden fixture."""
+
+from __future__ import annotations
+
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from kpiloom import DB, V1, WORKBOOK, KpiFilter
+from kpiloom.functions.calendar_es import with_calendar
+from kpiloom.operators import as_measures, build_cuboid, clean
+from kpiloom.operators.counts import (
+    OWN_SPAN,
+    count_by,
+    daily_counts,
+    daily_resolution,
+    daily_totals,
+    week_span,
+)
+from kpiloom.plans import export, options, reports
+from kpiloom.sources import normalise_columns
+from tests.fixtures import NAMES, rows
+
+WEEK_32 = KpiFilter(mode="semana", weeks=(32,))
+
+
+@pytest.fixture(scope="module")
+def detail(raw):
+    return clean(normalise_columns(raw), WORKBOOK.with_rules(allow_list=NAMES)).cache()
+
+
+@pytest.fixture(scope="module", params=["detail", "cuboid"])
+def measures(request, detail):
+    return as_measures(detail) if request.param == "detail" else build_cuboid(detail).cache()
+
+
+def test_rows_kept(detail):
+    assert detail.count() == 9
+    assert {r[0] for r in detail.select("EJECUTIVO").distinct().collect()} == set(NAMES)
+
+
+def test_db_profile_keeps_blanks(raw):
+    kept = clean(normalise_columns(raw), DB)
+    assert kept.count() == 10
+    card = reports.kpi_cards(as_measures(kept), DB).first()
+    assert (card.n, card.ejecutivos, card.dias) == (9, 5, 8)
+
+
+@pytest.mark.parametrize("profile, fte", [(WORKBOOK, 0), (DB, 0)])
+def test_cards(measures, profile, fte):
+    card = reports.kpi_cards(measures, profile).first()
+    assert (card.n, card.ejecutivos, card.dias, card.capacidad, card.corregidas) == (8, 3, 7, 1, 3)
+    assert (card.atendidas, card.resolutividad, card.fte_dia) == (7 / 8, 3 / 8, fte)
+    expected = ("87.50%", "37.50%") if profile is DB else ("88%", "38%")
+    assert (card.atendidas_text, card.resolutividad_text) == expected
+
+
+def test_first_generation_cards(measures):
+    card = reports.kpi_cards(measures, V1).first()
+    assert (card.atendidas, card.atendidas_text, card.fte_dia) == (1.0, "100%", 0)
+
+
+def test_count_by_tower_with_tie(measures):
+    assert rows(count_by(measures, "TORRE"), "TORRE", "n") == {("T1", 4), ("T2", 4)}
+    wide = reports.monthly_wide(measures, ["Agosto", "Septiembre", "Diciembre"])
+    ordered = [r.TORRE for r in wide.orderBy(*reports.monthly_wide_order()).collect()]
+    assert ordered == ["T1"] * 3 + ["T2"] * 3
+
+
+def test_monthly_report(measures):
+    report = reports.monthly_report(measures)
+    subtotals = report.filter("level = 2")
+    assert rows(subtotals, "TORRE", "Mes", "n") == {
+        ("T1", "Agosto", 3), ("T1", "Septiembre", 1), ("T2", "Agosto", 3), ("T2", "Diciembre", 1),
+    }
+    assert rows(report.filter("level = 0"), "TORRE", "EJECUTIVO", "Mes", "n") == {
+        ("T1", "Ana", "Agosto", 2), ("T1", "Beto", "Agosto", 1), ("T1", "Beto", "Septiembre", 1),
+        ("T2", "Ana", "Agosto", 2), ("T2", "Caro", "Agosto", 1), ("T2", "Caro", "Diciembre", 1),
+    }
+    assert rows(report.filter("level = 3"), "TORRE", "Mes", "n") == {("T1", None, 4), ("T2", None, 4)}
+
+
+def test_monthly_wide_in_report_order(measures):
+    months = reports.active_months(measures)
+    assert months == ["Agosto", "Septiembre", "Diciembre"]
+    wide = reports.monthly_wide(measures, months).orderBy(*reports.monthly_wide_order())
+    found = [tuple(r) for r in wide.select("etiqueta", "tipo", *months, "total").collect()]
+    assert found == [
+        ("T1", "Torre", 3, 1, 0, 4),
+        ("     Ana", "Ejecutivo", 2, 0, 0, 2),
+        ("     Beto", "Ejecutivo", 1, 1, 0, 2),
+        ("T2", "Torre", 3, 0, 1, 4),
+        ("     Ana", "Ejecutivo", 2, 0, 0, 2),
+        ("     Caro", "Ejecutivo", 1, 0, 1, 2),
+    ]
+
+
+@pytest.mark.parametrize("names", [NAMES, None, "table"])
+def test_ranking_by_every_kind_of_list(spark, measures, names):
+    if names == "table":
+        names = spark.createDataFrame([(n,) for n in NAMES], "EJECUTIVO string")
+    ranked = reports.ranking(measures, names)
+    found = [tuple(r) for r in reports.ranking_quantity(ranked).orderBy("pos").collect()]
+    assert found == [
+        (1, "Beto", 1, 2, 0.5, "50.00%"),
+        (2, "Caro", 1, 2, 0.5, "50.00%"),
+        (3, "Ana", 1, 4, 0.25, "25.00%"),
+    ]
+    tiers = [(r.tier, r.icon) for r in reports.ranking_resolution(ranked).orderBy("pos").collect()]
+    assert tiers == [("success", "trophy"), ("info", "award"), ("primary", "star")]
+
+
+@pytest.mark.parametrize("half, kept, orders", [(1, 7, 6), (2, 2, 2)])
+def test_fortnights(detail, measures, half, kept, orders):
+    flt = KpiFilter(fortnight=half)
+    assert flt.apply(detail).count() == kept
+    assert reports.kpi_cards(flt.apply(measures)).first().n == orders
+
+
+def test_week_filter_and_labels(detail, measures):
+    assert WEEK_32.apply(detail).count() == 5
+    offered = options.week_options(WEEK_32.apply(measures))
+    assert rows(offered, "value", "label") == {
+        (32, "Semana 32 (04 ago - 10 ago)"), (32, "Semana 32 (05 ago - 11 ago)"),
+    }
+    assert options.as_options(offered).first().option.value == 32
+
+
+def test_year_selector_narrows_a_week(detail):
+    assert KpiFilter(mode="semana", weeks=(32,), years=(2024,)).apply(detail).count() == 1
+
+
+def test_dense_span_of_a_week_over_years(measures):
+    selected = WEEK_32.apply(measures)
+    assert tuple(week_span(selected).first()) == (date(2024, 8, 5), date(2025, 8, 10))
+    dense = daily_counts(selected, "TORRE", OWN_SPAN).cache()
+    assert dense.count() == 2 * 371
+    assert dense.agg(F.sum("n")).first()[0] == 5
+    assert dense.filter("n > 0").count() == daily_counts(selected, "TORRE").filter("n > 0").count()
+    shares = daily_resolution(selected, "EJECUTIVO", OWN_SPAN)
+    assert shares.filter("n = 0").select("pct_text").distinct().first()[0] == "0%"
+
+
+def test_dense_span_given_from_outside(spark, measures):
+    span = spark.sql("SELECT date'2025-08-05' AS lo, date'2025-08-19' AS hi")
+    dense = daily_counts(measures, "EJECUTIVO", span)
+    # Every key stays, also Caro who has no row inside; totals are those of all days.
+    assert dense.count() == 3 * 15
+    assert rows(dense.filter("n > 0"), "EJECUTIVO", "Fecha_Dia", "n", "total") == {
+        ("Ana", date(2025, 8, 5), 1, 4), ("Ana", date(2025, 8, 7), 1, 4), ("Beto", date(2025, 8, 18), 1, 2),
+    }
+
+
+def test_iso_year_edge(detail):
+    row = with_calendar(detail).filter("NUMERO_DE_PEDIDO = 'P6'").first()
+    assert (row.WeekLabel, row.Year, row.Semana_Num) == ("Semana 1 (29 dic - 04 ene)", 2026, 1)
+    assert (row.Mes, row.WeekStartDate, row.WeekEndDate) == ("Diciembre", date(2025, 12, 29), date(2026, 1, 4))
+
+
+def test_calendar_of_the_first_generation(detail):
+    added = with_calendar(detail, week_columns=V1.week_columns)
+    assert set(added.columns) - set(detail.columns) == {"Mes", "Semana_Num"}
+
+
+def test_daily_totals(measures):
+    totals = daily_totals(measures, "TORRE")
+    assert rows(totals.filter("level = 3"), "TORRE", "n") == {("Total General", 8)}
+    assert rows(totals.filter("level = 1"), "TORRE", "n") == {("T1", 4), ("T2", 4)}
+    assert totals.filter("level = 2").count() == 7
+    assert daily_totals(measures, "TORRE", WORKBOOK.grand_total).filter("level > 1").count() == 0
+
+
+def test_null_order_keeps_its_group_but_does_not_count(detail):
+    cuboid = build_cuboid(detail)
+    group = cuboid.filter("EJECUTIVO = 'Beto' AND STATUS_REAL = 'Corregido'").first()
+    assert (group.n, group.filas) == (1, 2)
+    only_null = build_cuboid(detail.filter("NUMERO_DE_PEDIDO IS NULL"))
+    assert rows(only_null, "EJECUTIVO", "n", "filas") == {("Beto", 0, 1)}
+    assert reports.kpi_cards(only_null).first().atendidas_text == "0.00%"
+
+
+def test_daily_wide(measures):
+    days = reports.active_days(measures)
+    assert len(days) == 7
+    wide = reports.daily_wide(measures, "TORRE", days)
+    found = [tuple(r) for r in wide.orderBy(*reports.daily_wide_order("TORRE")).collect()]
+    assert found[-1] == ("Total General", 1, 2, 1, 1, 1, 1, 1, 8, 1)
+    assert [r[0] for r in found] == ["T1", "T2", "Total General"]
+    assert wide.columns[1] == "05-08-2024"
+    assert reports.daily_wide(measures, "TORRE", days, grand_total=False).count() == 2
+    with pytest.raises(ValueError, match="days"):
+        reports.active_days(measures, limit=6)
+
+
+def test_days_between(measures):
+    assert len(reports.days_between(week_span(WEEK_32.apply(measures)))) == 371
+    assert reports.days_between(week_span(measures.filter("false"))) == []
+
+
+def test_resolution_wide(measures):
+    days = reports.active_days(measures)
+    wide = reports.resolution_wide(measures, days).orderBy(F.desc("total"), "EJECUTIVO")
+    found = [tuple(r) for r in wide.collect()]
+    assert found[0] == ("Ana", "0%", "50%", "0%", "0%", "0%", "0%", "0%", 4)
+    assert found[1] == ("Beto", "0%", "0%", "0%", "0%", "0%", "100%", "0%", 2)
+
+
+def test_status_mix_in_order_of_volume(measures):
+    mix = reports.status_mix(measures)
+    assert rows(mix, "EJECUTIVO", "STATUS_REAL", "n", "exec_order") == {
+        ("Ana", "Corregido", 1, 1), ("Ana", "Capacidad", 1, 1), ("Ana", "Pendiente", 1, 1), ("Ana", "", 1, 1),
+        ("Beto", "Pendiente", 1, 2), ("Beto", "Corregido", 1, 2),
+        ("Caro", "Pendiente", 1, 3), ("Caro", "Corregido", 1, 3),
+    }
+
+
+def test_shares_and_rates(measures):
+    assert rows(reports.share_by(measures, "TORRE"), "TORRE", "share") == {("T1", 0.5), ("T2", 0.5)}
+    assert rows(reports.resolution_rate(measures), "EJECUTIVO", "rate") == {
+        ("Ana", 25.0), ("Beto", 50.0), ("Caro", 50.0),
+    }
+
+
+def test_options(measures):
+    assert rows(options.month_options(measures), "value", "orden") == {
+        ("Agosto", 8), ("Septiembre", 9), ("Diciembre", 12),
+    }
+    by_date = options.month_options(measures, V1).orderBy("orden").collect()
+    assert [r.value for r in by_date] == ["Agosto", "Septiembre", "Diciembre"]
+    assert rows(options.week_options(measures, V1), "label") >= {("Semana 1",), ("Semana 32",)}
+    assert rows(options.key_options(measures, "TORRE"), "value") == {("T1",), ("T2",)}
+    assert tuple(options.date_bounds(measures).first()) == (date(2024, 8, 5), date(2025, 12, 31))
+
+
+def test_export_ends_at_midnight(detail):
+    chosen = export.select_rows(with_calendar(detail), KpiFilter(), "2024-08-05", "2025-09-01")
+    assert export.export_row_count(chosen).first().n == 7
+    written = export.export_detail(chosen)
+    assert written.columns == ["FECHA", "EJECUTIVO", "TORRE", "STATUS_REAL", "NUMERO_DE_PEDIDO", "Mes"]
+    assert dict(written.dtypes)["FECHA"] == "date"
+
+
+def test_export_filter_depends_on_profile(detail):
+    flt = KpiFilter(towers=("T2",))
+    bounds = ("2024-01-01", "2026-01-01")
+    assert export.select_rows(detail, flt, *bounds, profile=DB).count() == 4
+    assert export.select_rows(detail, flt, *bounds, profile=WORKBOOK).count() == 9
+
+
+def test_preview_is_the_first_rows_by_date(detail):
+    shown = export.preview(with_calendar(detail), 3)
+    assert [r.NUMERO_DE_PEDIDO for r in shown.collect()] == ["P7", "P1", "P2"]
+    assert "WeekLabel" not in shown.columns and "Mes" in shown.columns
+
+
+@pytest.mark.parametrize(
+    "report",
+    [
+        reports.kpi_cards,
+        reports.monthly_report,
+        reports.status_mix,
+        reports.resolution_rate,
+        lambda m: reports.ranking(m, NAMES),
+        lambda m: reports.ranking(m, None),
+        lambda m: reports.share_by(m, "TORRE"),
+        lambda m: daily_counts(m, "TORRE"),
+        lambda m: daily_counts(m, "TORRE", OWN_SPAN),
+        lambda m: daily_totals(m, "TORRE"),
+        lambda m: daily_resolution(m, "EJECUTIVO", OWN_SPAN),
+        lambda m: reports.daily_wide(m, "TORRE", []),
+        lambda m: reports.monthly_wide(m, ["Agosto"]),
+    ],
+)
+def test_empty_selection_gives_no_rows_and_the_same_schema(detail, report):
+    everything = as_measures(detail)
+    nothing = KpiFilter(towers=("none",)).apply(everything)
+    empty = report(nothing)
+    assert empty.isEmpty()
+    assert empty.columns == report(everything).columns
+
+
+def test_cleared_filter_restricts_nothing(detail):
+    assert KpiFilter().apply(detail).count() == 9
+    assert KpiFilter().mode == "quincena"
+    # Selectors of the other mode are ignored.
+    assert KpiFilter(weeks=(1,)).apply(detail).count() == 9
+    assert KpiFilter(mode="semana", fortnight=2).apply(detail).count() == 9
+    assert KpiFilter(months=("Brumario",)).apply(detail).count() == 0
+    with pytest.raises(ValueError):
+        KpiFilter(mode="mes")

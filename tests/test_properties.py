@@ -1,0 +1,118 @@
+"""Laws that hold on any table, checked on random ones."""
+
+from __future__ import annotations
+
+from datetime import datetime, timedelta
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from kpiloom import DB, KpiFilter
+from kpiloom.operators import as_measures, build_cuboid
+from kpiloom.operators.counts import OWN_SPAN, count_by, daily_counts, daily_resolution, daily_totals
+from kpiloom.operators.cuboid import merge_cuboids
+from kpiloom.operators.position import with_position
+from kpiloom.plans import reports
+from kpiloom.sources.naming import GESTIONES_SCHEMA
+
+ORDER = st.tuples(
+    st.integers(0, 60 * 24 * 400).map(lambda m: datetime(2024, 7, 1) + timedelta(minutes=m)),
+    st.sampled_from(["a", "b", "c", "d"]),
+    st.one_of(st.none(), st.sampled_from(["1", "2", "3"])),
+    st.sampled_from(["Corregido", "Capacidad", "Pendiente", ""]),
+    st.sampled_from(["T1", "T2", "T3"]),
+)
+TABLES = st.lists(ORDER, min_size=1, max_size=60)
+SLOW = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck), derandomize=True)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, GESTIONES_SCHEMA)
+
+
+def one(df):
+    return df.first()[0]
+
+
+@SLOW
+@given(rows=TABLES)
+def test_totals_agree(spark, rows):
+    measures = as_measures(frame(spark, rows))
+    total = sum(r[2] is not None for r in rows)
+    assert one(count_by(measures, "TORRE").agg(F.sum("n"))) == total
+    assert one(daily_counts(measures, "EJECUTIVO").agg(F.sum("n"))) == total
+    assert one(daily_counts(measures, "EJECUTIVO", OWN_SPAN).agg(F.sum("n"))) == total
+    assert one(daily_totals(measures, "TORRE").filter("level = 3").select("n")) == total
+    assert one(reports.monthly_report(measures).filter("level = 3").agg(F.sum("n"))) == total
+    card = reports.kpi_cards(measures).first()
+    assert card.n == total
+    assert card.ejecutivos == len({r[1] for r in rows}) and card.dias == len({r[0].date() for r in rows})
+    assert card.corregidas == sum(r[2] is not None and r[3] == "Corregido" for r in rows)
+
+
+@SLOW
+@given(rows=TABLES)
+def test_dense_days_by_brute_force(spark, rows):
+    measures = as_measures(frame(spark, rows))
+    days = [r[0].date() for r in rows]
+    lo = min(d - timedelta(days=d.weekday()) for d in days)
+    hi = max(d + timedelta(days=6 - d.weekday()) for d in days)
+    expected = {}
+    for key in {r[1] for r in rows}:
+        for i in range((hi - lo).days + 1):
+            day = lo + timedelta(days=i)
+            mine = [r for r in rows if r[1] == key and r[0].date() == day and r[2] is not None]
+            expected[key, day] = (sum(r[3] == "Corregido" for r in mine), len(mine))
+    dense = daily_resolution(measures, "EJECUTIVO", OWN_SPAN).collect()
+    assert {(r.EJECUTIVO, r.Fecha_Dia): (r.corregidas, r.n) for r in dense} == expected
+    assert len(dense) == len(expected) and all(0 <= r.pct <= 1 for r in dense)
+
+
+@SLOW
+@given(rows=TABLES, half=st.sampled_from([None, 1, 2]), towers=st.sets(st.sampled_from(["T1", "T2"])))
+def test_filters_commute_with_the_cuboid(spark, rows, half, towers):
+    detail = frame(spark, rows)
+    flt = KpiFilter(months=("Agosto", "Octubre"), fortnight=half, towers=tuple(towers))
+    before = build_cuboid(flt.apply(detail))
+    after = flt.apply(build_cuboid(detail))
+    assert sorted(map(str, before.collect())) == sorted(map(str, after.collect()))
+    steps = KpiFilter(towers=tuple(towers)).apply(KpiFilter(fortnight=half).apply(KpiFilter(months=("Agosto", "Octubre")).apply(detail)))
+    assert steps.count() == flt.apply(detail).count()
+
+
+@SLOW
+@given(rows=TABLES, cut=st.integers(0, 60))
+def test_cuboids_of_parts_add_up(spark, rows, cut):
+    parts = build_cuboid(frame(spark, rows[:cut])).unionByName(build_cuboid(frame(spark, rows[cut:])))
+    assert sorted(map(str, merge_cuboids(parts).collect())) == sorted(
+        map(str, build_cuboid(frame(spark, rows)).collect())
+    )
+
+
+@pytest.mark.parametrize("values", [lambda i: i % 7, lambda i: 0, lambda i: 0 if i % 3 else i])
+def test_position_over_many_ranges(spark, values):
+    """Also where one value holds all rows or a third of them."""
+    pairs = [(values(i), f"k{i:05d}") for i in range(5000)]
+    df = spark.createDataFrame(pairs, "v int, k string").repartition(8)
+    placed = with_position(df, [F.desc("v"), F.asc("k")], "pos").collect()
+    expected = sorted(pairs, key=lambda p: (-p[0], p[1]))
+    assert [(r.v, r.k) for r in sorted(placed, key=lambda r: r.pos)] == expected
+    assert sorted(r.pos for r in placed) == list(range(1, 5001))
+
+
+def test_position_of_nothing(spark):
+    df = spark.createDataFrame([], "v int")
+    assert with_position(df, [F.asc("v")], "pos").collect() == []
+
+
+def test_kpis_follow_the_rules_of_their_profile(spark):
+    rows = [(datetime(2025, 9, 1 + i % 3), f"e{i % 2}", str(i), "Capacidad" if i < 4 else "Corregido", "T") for i in range(100)]
+    measures = as_measures(frame(spark, rows))
+    assert reports.kpi_cards(measures, DB).first().fte_dia == 96 // 3 // 2
+    fixed = DB.with_rules(fixed_days=6)
+    assert reports.kpi_cards(measures, fixed).first().fte_dia == 8
+    plain = fixed.with_rules(subtract_capacity=False, percent_decimals=0)
+    card = reports.kpi_cards(measures, plain).first()
+    assert (card.fte_dia, card.atendidas_text, card.resolutividad_text) == (8, "100%", "96%")

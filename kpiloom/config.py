@@ -29,6 +29,7 @@ class Profile:
     span_from_filtered: bool  # span from the filtered rows, else from all rows
     months_by_number: bool  # month options by number, else by first date
     export_uses_filter: bool
+    full_dashboard: bool  # monthly, resolution, chart and ranking tables too
     min_month: int = 8
 
     def with_rules(self, **changes) -> Profile:
@@ -48,6 +49,7 @@ DB = Profile(
     span_from_filtered=True,
     months_by_number=True,
     export_uses_filter=True,
+    full_dashboard=True,
 )
 
 # The allow-list is the caller's: WORKBOOK.with_rules(allow_list=(...)).
@@ -67,6 +69,7 @@ V1 = WORKBOOK.with_rules(
     subtract_capacity=False,
     dense_weeks=False,
     months_by_number=False,
+    full_dashboard=False,
 )
 
 QUINCENA = "quincena"

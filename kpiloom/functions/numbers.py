@@ -17,16 +17,16 @@ def whole(value: Column) -> Column:
 
 
 def percent_text(share: Column, decimals: int) -> Column:
-    """A share as percent text with 0 or 2 decimals, ties to even on the exact binary value.
+    """A share of at least 0 as percent text with 0 or 2 decimals.
 
-    ``format_string`` alone rounds half up on the shortest decimal form, which is off at
-    ties (1/8 must give 12%) and near them (1/4000 must give 0.03%, since the double lies
-    above 0.025). So the number is rounded first and only then formatted.
+    Ties go to even, on the exact binary value: 1/8 gives 12%, and 1/4000 gives 0.03%
+    since that double lies above 0.025. Formatting functions round half up on the
+    shortest decimal form instead, so the digits are worked out first.
     """
     percent = share * F.lit(100.0)
     if decimals == 0:
         # Ties at k + 0.5 are exact in binary.
-        return F.format_string("%.0f%%", F.rint(percent))
+        return F.concat(whole(F.rint(percent)).cast("string"), F.lit("%"))
     if decimals != 2:
         raise ValueError("percent text has 0 or 2 decimals")
     # `half` counts half steps of 0.01. An even count is next to a whole step; an odd one
@@ -40,4 +40,8 @@ def percent_text(share: Column, decimals: int) -> Column:
         .when(side < 0.0, (half - 1.0) / 2.0)
         .otherwise(F.rint(half / 2.0))
     )
-    return F.format_string("%.2f%%", steps / 100.0)
+    before = whole(F.floor(steps / 100.0))
+    after = whole(F.pmod(steps, F.lit(100.0)))
+    return F.concat(
+        before.cast("string"), F.lit("."), F.lpad(after.cast("string"), 2, "0"), F.lit("%")
+    )

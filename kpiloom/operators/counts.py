@@ -48,6 +48,10 @@ def daily_counts(measures: DataFrame, key: str, span: Span = None) -> DataFrame:
     return dense_days(totalled, key, _bounds(span, counts, [N]), [N])
 
 
+def daily_order(key: str) -> list[Column]:
+    return [F.desc(TOTAL), F.asc(key), F.asc(DIA)]
+
+
 def daily_totals(measures: DataFrame, key: str, grand_total: bool = True) -> DataFrame:
     """Long form with totals: ``key, Fecha_Dia, n, level``.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -28,38 +28,48 @@ def filter_span(measures: DataFrame, flt: KpiFilter, profile: Profile) -> Span:
     return week_span(KpiFilter(mode=flt.mode, weeks=flt.weeks).apply(measures))
 
 
-def build_dashboard(
+def dashboard_tables(
     measures: DataFrame,
     flt: KpiFilter | None = None,
     profile: Profile = DB,
     ranked: Sequence[str] | DataFrame | None = None,
-) -> dict[str, DataFrame]:
-    """Lazy report tables by name; an empty selection gives tables without rows.
-
-    Pass a stored or cached cuboid: each table then reads that and not the detail.
-    """
+) -> dict[str, Callable[[], DataFrame]]:
+    """How to build each table. Nothing is planned or run before one is called for, since
+    those that place every executive run a job while they are built."""
     flt = flt or KpiFilter()
     selected = flt.apply(measures)
     span = filter_span(measures, flt, profile)
     tables = {
-        "kpi_cards": reports.kpi_cards(selected, profile),
-        "diario_torre": daily_counts(selected, TORRE, span),
-        "diario_status": daily_counts(selected, STATUS, span),
-        "diario_ejecutivo": daily_counts(selected, EJECUTIVO, span),
-        "totales_torre": daily_totals(selected, TORRE, profile.grand_total),
-        "totales_status": daily_totals(selected, STATUS, profile.grand_total),
-        "totales_ejecutivo": daily_totals(selected, EJECUTIVO, profile.grand_total),
+        "kpi_cards": lambda: reports.kpi_cards(selected, profile),
+        "diario_torre": lambda: daily_counts(selected, TORRE, span),
+        "diario_status": lambda: daily_counts(selected, STATUS, span),
+        "diario_ejecutivo": lambda: daily_counts(selected, EJECUTIVO, span),
+        "totales_torre": lambda: daily_totals(selected, TORRE, profile.grand_total),
+        "totales_status": lambda: daily_totals(selected, STATUS, profile.grand_total),
+        "totales_ejecutivo": lambda: daily_totals(selected, EJECUTIVO, profile.grand_total),
     }
-    if profile.name == "v1":
+    if not profile.full_dashboard:
         return tables
-    ranking = reports.ranking(selected, ranked)
     return tables | {
-        "mensual": reports.monthly_report(selected),
-        "resolutividad_diaria": daily_resolution(selected, EJECUTIVO, span),
-        "torta_torre": reports.share_by(selected, TORRE),
-        "volumen_ejecutivo": reports.share_by(selected, EJECUTIVO),
-        "barras_resolutividad": reports.resolution_rate(selected),
-        "composicion_status": reports.status_mix(selected),
-        "ranking_resolutividad": reports.ranking_resolution(ranking),
-        "ranking_cantidad": reports.ranking_quantity(ranking),
+        "mensual": lambda: reports.monthly_report(selected),
+        "resolutividad_diaria": lambda: daily_resolution(selected, EJECUTIVO, span),
+        "torta_torre": lambda: reports.share_by(selected, TORRE),
+        "volumen_ejecutivo": lambda: reports.share_by(selected, EJECUTIVO),
+        "barras_resolutividad": lambda: reports.resolution_rate(selected),
+        "composicion_status": lambda: reports.status_mix(selected),
+        "ranking_resolutividad": lambda: reports.ranking_resolution(reports.ranking(selected, ranked)),
+        "ranking_cantidad": lambda: reports.ranking_quantity(reports.ranking(selected, ranked)),
     }
+
+
+def build_dashboard(
+    measures: DataFrame,
+    flt: KpiFilter | None = None,
+    profile: Profile = DB,
+    ranked: Sequence[str] | DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """All tables by name; an empty selection gives tables without rows.
+
+    Pass a stored or cached cuboid: each table then reads that and not the detail.
+    """
+    return {name: build() for name, build in dashboard_tables(measures, flt, profile, ranked).items()}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kpiloom.columns import ANIO, DIA, EJECUTIVO, FECHA, HELPERS, MES_NUM, PEDIDO, STATUS, TORRE
 from kpiloom.config import DB, KpiFilter, Profile
-from kpiloom.operators.counts import daily_resolution, daily_totals
+from kpiloom.operators.counts import daily_order, daily_resolution, daily_totals
 from kpiloom.operators.cuboid import as_measures
 from kpiloom.operators.filters import filter_date_range
 from kpiloom.plans.reports import (
@@ -79,10 +79,7 @@ def export_bundle(rows: DataFrame, profile: Profile = DB, wide: bool = False) ->
     else:
         counts = daily_totals(measures, EJECUTIVO, profile.grand_total)
         parts["resumen_cantidad"] = (counts, [F.asc("level"), F.asc(EJECUTIVO), F.asc(DIA)])
-        parts["resumen_resolutividad"] = (
-            daily_resolution(measures),
-            [F.desc("total"), F.asc(EJECUTIVO), F.asc(DIA)],
-        )
+        parts["resumen_resolutividad"] = (daily_resolution(measures), daily_order(EJECUTIVO))
     return parts
 
 

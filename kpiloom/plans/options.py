@@ -1,4 +1,4 @@
-"""Values offered by the selectors, and the date bounds."""
+"""Values offered by the selectors, sorted, and the date bounds."""
 
 from __future__ import annotations
 
@@ -14,9 +14,11 @@ def month_options(measures: DataFrame, profile: Profile = DB) -> DataFrame:
     """``value, orden``: months by number, or by the first day they appear."""
     number = F.month(DIA).alias("orden")
     if profile.months_by_number:
-        return measures.select(number).distinct().select(month_name_of(F.col("orden")).alias("value"), "orden")
+        offered = measures.select(number).distinct()
+        return offered.select(month_name_of(F.col("orden")).alias("value"), "orden").orderBy("orden")
     first = measures.groupBy(number).agg(F.min(DIA).alias("primera"))
-    return first.select(month_name_of(F.col("orden")).alias("value"), F.col("primera").alias("orden"))
+    offered = first.select(month_name_of(F.col("orden")).alias("value"), F.col("primera").alias("orden"))
+    return offered.orderBy("orden")
 
 
 def week_options(measures: DataFrame, profile: Profile = DB) -> DataFrame:
@@ -24,7 +26,8 @@ def week_options(measures: DataFrame, profile: Profile = DB) -> DataFrame:
     days = measures.select(DIA).distinct()
     value = iso_week(F.col(DIA))
     label = week_label(F.col(DIA)) if profile.week_columns else F.concat(F.lit("Semana "), value.cast("string"))
-    return days.select(value.cast("bigint").alias("value"), label.alias("label")).distinct()
+    offered = days.select(value.cast("bigint").alias("value"), label.alias("label")).distinct()
+    return offered.orderBy("value", "label")
 
 
 def as_options(options: DataFrame, label: str = "label", value: str = "value") -> DataFrame:
@@ -33,7 +36,7 @@ def as_options(options: DataFrame, label: str = "label", value: str = "value") -
 
 
 def key_options(measures: DataFrame, key: str) -> DataFrame:
-    return measures.select(F.col(key).alias("value")).distinct()
+    return measures.select(F.col(key).alias("value")).distinct().orderBy("value")
 
 
 def date_bounds(measures: DataFrame) -> DataFrame:

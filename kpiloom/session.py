@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Checkpoint files go when the frame they belong to does.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

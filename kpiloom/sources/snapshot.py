@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,13 @@ MANIFEST_SCHEMA = T.StructType(
 )
 
 
+def hand_off(df: DataFrame, name: str) -> DataFrame:
+    """Keep a frame for later steps under a view name; what memory cannot hold goes to disk."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept.createOrReplaceTempView(name)
+    return kept
+
+
 class SnapshotStore:
     """Snapshots below ``root``: ``detail/v=…``, ``cuboid/v=…`` and ``manifest``.
 
@@ -44,18 +52,18 @@ class SnapshotStore:
     def manifest_path(self) -> str:
         return f"{self.root}/manifest"
 
-    def publish(self, cleaned: DataFrame, version: int) -> int:
+    def publish(self, cleaned: DataFrame, version: int, rebalance: bool = True) -> int:
         """Write detail and base cuboid of one version, then announce it; returns its rows.
 
         Detail is laid out by year and month so that month filters skip folders. The
-        rebalance hint lets Spark cut a hot month into many files and join small ones.
+        rebalance hint lets Spark cut a hot month into many files and join small ones, at
+        the price of a shuffle; a source that arrives in order of date can do without.
         """
         rows = Observation("snapshot")
-        laid_out = (
-            cleaned.withColumns({ANIO: F.year(FECHA), MES_NUM: F.month(FECHA)})
-            .hint("rebalance", ANIO, MES_NUM)
-            .observe(rows, F.count(F.lit(1)).alias(FILAS))
-        )
+        laid_out = cleaned.withColumns({ANIO: F.year(FECHA), MES_NUM: F.month(FECHA)})
+        if rebalance:
+            laid_out = laid_out.hint("rebalance", ANIO, MES_NUM)
+        laid_out = laid_out.observe(rows, F.count(F.lit(1)).alias(FILAS))
         laid_out.write.mode("overwrite").partitionBy(ANIO, MES_NUM).parquet(self.detail_path(version))
         count = rows.get[FILAS]
         # Counted from the files just written: nothing of the source is read twice.
@@ -104,6 +112,18 @@ class SnapshotStore:
         newest = self.current()
         return newest["_loaded_at"] if newest else None
 
+    def superseded(self, keep: int = 2) -> list[str]:
+        """Folders of versions older than the newest ``keep``, for the storage to remove.
+
+        One short row per version is read; jobs still running may need the latest few.
+        """
+        if self.current() is None:
+            return []
+        entries = self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_path)
+        versions = sorted({row["version"] for row in entries.select("version").collect()})
+        old = versions[: max(len(versions) - keep, 0)]
+        return [path(v) for v in old for path in (self.detail_path, self.cuboid_path)]
+
     def register_views(self, detail: str = "gestiones", cuboid: str = "gestiones_cuboid") -> None:
         """Point session views at the newest version; called only after it is announced."""
         new_detail, new_cuboid = self.detail(), self.cuboid()

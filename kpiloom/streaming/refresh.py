@@ -134,10 +134,10 @@ def read_deltas(spark: SparkSession, target: str) -> DataFrame:
 
 
 def _windowed(df: DataFrame, window: Callable[[Column], Column], key: str, lateness: str | None) -> DataFrame:
-    # Watermarks refuse zone-less timestamps, and a window needs one type throughout.
-    timed = df.withColumn("_ts", F.col(FECHA).cast("timestamp"))
+    timed = df.withColumn("_ts", F.col(FECHA))
     if lateness is not None:
-        timed = timed.withWatermark("_ts", lateness)
+        # Watermarks refuse zone-less timestamps; windows then need the session in UTC.
+        timed = df.withColumn("_ts", F.col(FECHA).cast("timestamp")).withWatermark("_ts", lateness)
     counts = timed.groupBy(window(F.col("_ts")).alias("_window"), key).agg(F.count(PEDIDO).alias(N))
     return counts.select(F.to_date("_window.start").alias("inicio"), key, N)
 

@@ -13,7 +13,7 @@ from kpiloom.operators import as_measures, build_cuboid, clean
 from kpiloom.operators.counts import count_by
 from kpiloom.plans import reports
 from kpiloom.plans.load import load_to_snapshot
-from kpiloom.sources import SnapshotStore, normalise_columns
+from kpiloom.sources import SnapshotStore, hand_off, normalise_columns
 from kpiloom.sources.naming import GESTIONES_SCHEMA
 from kpiloom.streaming import (
     append_deltas,
@@ -68,11 +68,19 @@ def test_publish_and_read(spark, raw, folder):
     assert abs((store.last_updated() - datetime.now(store.last_updated().tzinfo)).total_seconds()) < 3600 * 24
     assert load_to_snapshot(raw.filter("Torre = 'T2'"), store, 1, WORKBOOK) == 4
     assert store.current()["filas"] == 4
+    assert store.superseded(keep=1) == [store.detail_path(0), store.cuboid_path(0)]
+    assert store.superseded() == []
     store.register_views()
     assert spark.table("gestiones").count() == 4
     assert spark.table("gestiones_cuboid").agg(F.sum("filas")).first()[0] == 4
 
 
+def test_hand_off(spark, typed):
+    kept = hand_off(clean(typed, WORKBOOK), "filtradas")
+    assert spark.table("filtradas").count() == 9 and kept.is_cached
+    kept.unpersist()
+
+
 def test_empty_snapshot(spark, raw, folder):
     store = SnapshotStore(spark, folder)
     assert load_to_snapshot(raw.filter("false"), store, 0, WORKBOOK) == 0

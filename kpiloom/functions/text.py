@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# All white space of Unicode, which is more than trim() removes.
-_BLANKS = r"[\s\u0085\u001c-\u001f\p{Z}]+"
-_OUTER_BLANKS = f"^{_BLANKS}|{_BLANKS}$"
+# The 29 characters of Unicode that count as white space; trim() alone
+# removes the plain blank only.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # What a header character becomes before upper-casing.
 _HEADER_CHARACTERS = str.maketrans(" áéíóúñ", "_aeioun")
@@ -15,7 +19,7 @@ _HEADER_CHARACTERS = str.maketrans(" áéíóúñ", "_aeioun")
 
 def strip(value: Column) -> Column:
     """The value as text without outer white space of any kind."""
-    return F.regexp_replace(value.cast("string"), _OUTER_BLANKS, "")
+    return F.btrim(value.cast("string"), F.lit(BLANKS))
 
 
 def child_label(value: Column) -> Column:

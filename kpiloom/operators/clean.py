@@ -35,8 +35,9 @@ def lenient_timestamp(df: DataFrame, name: str = FECHA, text_format: str | None
 def filter_allow_list(df: DataFrame, allowed: Sequence[str] | DataFrame, key: str = EJECUTIVO) -> DataFrame:
     """Rows whose key is allowed: a literal list, or a table with a column of that name."""
     if isinstance(allowed, DataFrame):
-        # Whether the list is small enough to broadcast is Spark's call, on its real size.
-        return df.join(allowed.select(key), key, "left_semi")
+        # Repeated names go before they are moved. Whether the list is small enough to
+        # broadcast is Spark's call, on its real size; a hot name in a shuffled join is split.
+        return df.join(allowed.select(key).distinct(), key, "left_semi")
     return df.filter(F.col(key).isin(list(allowed)))
 
 

@@ -35,13 +35,22 @@ def bag(rows, columns) -> Counter:
     return Counter(tuple(_plain(row[i]) for i in order) for row in rows)
 
 
+TYPES = {
+    "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def compare(frame, connection, sql: str) -> str | None:
     """None when both results are the same bag of rows, else what differs."""
     found_columns = frame.columns
+    described = {row[0]: row[1] for row in connection.execute(f"DESCRIBE {sql}").fetchall()}
     expected = connection.execute(sql)
     expected_columns = [d[0] for d in expected.description]
     if sorted(found_columns) != sorted(expected_columns):
         return f"columns {found_columns} against {expected_columns}"
+    types = {name: TYPES.get(kind, kind) for name, kind in frame.dtypes}
+    if types != described:
+        return f"types {sorted(types.items() ^ described.items())}"
     found = bag(frame.collect(), found_columns)
     wanted = bag(expected.fetchall(), expected_columns)
     if found == wanted:

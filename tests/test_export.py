@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from kpiloom import DB, WORKBOOK, KpiFilter
 from kpiloom.functions.calendar_es import with_calendar
 from kpiloom.operators import clean
-from kpiloom.plans import build_dashboard, export_bundle, ranking_bundle, write_report
+from kpiloom.plans import build_dashboard, dashboard_tables, export_bundle, ranking_bundle, write_report
 from kpiloom.plans.export import run_id, select_rows
 from kpiloom.operators.cuboid import as_measures, build_cuboid
 from kpiloom.sources import normalise_columns
 from tests.fixtures import NAMES
 
+pytestmark = pytest.mark.usefixtures("light")
+
 CLOCK = lambda: datetime(2025, 11, 5, 7, 8, 9)
 
 
@@ -79,8 +81,10 @@ def test_ranking_report(spark, detail, folder):
     assert spark.read.parquet(f"{path}/consolidado_filtrado").count() == 9
 
 
-@pytest.mark.parametrize("flt", [KpiFilter(), KpiFilter(mode="semana", weeks=(32,)), KpiFilter(towers=("no",))])
-@pytest.mark.parametrize("profile", [DB, WORKBOOK])
+@pytest.mark.parametrize(
+    "flt, profile",
+    [(KpiFilter(), DB), (KpiFilter(mode="semana", weeks=(32,)), WORKBOOK), (KpiFilter(towers=("no",)), DB)],
+)
 def test_dashboard_from_detail_and_from_cuboid(detail, flt, profile):
     direct = build_dashboard(as_measures(detail), flt, profile, NAMES)
     rolled = build_dashboard(build_cuboid(detail).cache(), flt, profile, NAMES)
@@ -89,11 +93,13 @@ def test_dashboard_from_detail_and_from_cuboid(detail, flt, profile):
         bags = [sorted(map(str, d[name].select(*direct[name].columns).collect())) for d in (direct, rolled)]
         assert bags[0] == bags[1], name
         assert bool(bags[0]) == (not flt.towers), name
-    if flt.weeks:
-        # The dense tables of one tower span its own weeks, or those of everyone.
-        one = KpiFilter(mode="semana", weeks=(32,), executives=("Ana",))
-        days = build_dashboard(as_measures(detail), one, profile)["diario_torre"]
-        assert days.filter("TORRE = 'T1'").count() == (7 if profile is DB else 371)
+
+
+@pytest.mark.parametrize("profile, days", [(DB, 7), (WORKBOOK, 371)])
+def test_dense_tables_span_own_weeks_or_those_of_everyone(detail, profile, days):
+    one = KpiFilter(mode="semana", weeks=(32,), executives=("Ana",))
+    table = dashboard_tables(as_measures(detail), one, profile)["diario_torre"]()
+    assert table.filter("TORRE = 'T1'").count() == days
 
 
 def test_first_generation_dashboard_is_smaller(detail):

@@ -22,6 +22,8 @@ from kpiloom.plans import export, options, reports
 from kpiloom.sources import normalise_columns
 from tests.fixtures import NAMES, rows
 
+pytestmark = pytest.mark.usefixtures("light")
+
 WEEK_32 = KpiFilter(mode="semana", weeks=(32,))
 
 

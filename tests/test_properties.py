@@ -17,6 +17,8 @@ from kpiloom.operators.position import with_position
 from kpiloom.plans import reports
 from kpiloom.sources.naming import GESTIONES_SCHEMA
 
+pytestmark = pytest.mark.usefixtures("light")
+
 ORDER = st.tuples(
     st.integers(0, 60 * 24 * 400).map(lambda m: datetime(2024, 7, 1) + timedelta(minutes=m)),
     st.sampled_from(["a", "b", "c", "d"]),
@@ -25,7 +27,7 @@ ORDER = st.tuples(
     st.sampled_from(["T1", "T2", "T3"]),
 )
 TABLES = st.lists(ORDER, min_size=1, max_size=60)
-SLOW = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck), derandomize=True)
+SLOW = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck), derandomize=True)
 
 
 def frame(spark, rows):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import html_extract, simhash, token_counts, topk
+from kpiloom.llm import html_extract, simhash, token_counts, topk, winnowing
 from kpiloom.llm.common import prepare, table
 
 
@@ -15,6 +15,11 @@ def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, folder, "pages"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = winnowing.contaminated_words(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("_row", "items", "spans")
+
+
 def op3_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 

@@ -1,10 +1,11 @@
 """Benchmark decontamination by winnowing, in built-in functions only.
 
 Texts become arrays of words, and each run of K words a hash. Of every W neighbouring hashes
-the smallest is kept (leftmost of equals) with its place. With K + W - 1 = 10, every span of
-ten words has a kept hash inside, and the same one wherever the span stands. Kept hashes of
-documents are joined with those of the benchmark's windows; each hit carries the words around
-it and is extended by comparing words, so no equality of hashes decides the result.
+the smallest is kept. With K + W - 1 = 10, every span of ten words has a kept hash inside, and
+the same one wherever the span stands. One pass over all documents joins their kept hashes with
+those of the benchmark. Documents with a hit are read again: there each kept hash has its place
+(leftmost of equals), and each hit is extended by comparing the words around it, so no equality
+of hashes decides the result.
 """
 
 from __future__ import annotations
@@ -13,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpiloom.llm.common import lower_ascii, with_row_id
+from kpiloom.session import cut_lineage
 
 WINDOW = 10
-K = 5
+K = 8  # so W = 3; the steps by doubling below are laid out for these
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # fixed value: all ASCII but digits and lower-case letters
 # A packed value has the hash in front and the place in the last bits: the smallest one is the
 # smallest hash, and of equals the leftmost. 2**30 words are more than a text can hold.
@@ -26,8 +28,8 @@ BROADCAST_ROWS = 200_000
 
 def words(text: Column) -> Column:
     """The words of a text, in order; none for null."""
-    cut = F.split(lower_ascii(text), BETWEEN)
-    return F.coalesce(F.filter(cut, lambda w: w != ""), F.array().cast("array<string>"))
+    cut = F.array_remove(F.split(lower_ascii(text), BETWEEN), "")
+    return F.coalesce(cut, F.array().cast("array<string>"))
 
 
 def _ahead(values: Column, by: int) -> Column:
@@ -41,24 +43,32 @@ def _zip_ahead(df: DataFrame, out: str, left: str, right: str, by: int, f) -> Da
     return df.withColumn(out, F.zip_with(both, _ahead(F.col(right), by), f))
 
 
-def kept_places(df: DataFrame, words_column: str = "_words", k: int = K, window: int = WINDOW) -> DataFrame:
-    """`_kept`: the packed (hash, place from 0) that winnowing keeps of each row's words."""
-    if (k, window) != (5, 10):
-        raise ValueError("the doubling below is laid out for k = 5 and windows of 10 words")
-    keep = df.columns
+def _gram_hashes(df: DataFrame, words_column: str) -> DataFrame:
+    """`_h8`: the hash of each eight neighbouring words, by doubling."""
     df = df.withColumn("_h1", F.transform(words_column, lambda w: F.xxhash64(w)))
-    # Hashes of 2, 4 and 5 words, then the least of 2, 4 and 6 neighbours, by doubling.
     df = _zip_ahead(df, "_h2", "_h1", "_h1", 1, lambda a, b: F.xxhash64(a, b))
-    df = _zip_ahead(df, "_h4", "_h2", "_h2", 2, lambda a, b: F.xxhash64(a, b))
-    df = _zip_ahead(df, "_h5", "_h4", "_h1", 4, lambda a, b: F.xxhash64(a, b))
-    df = df.withColumn(
+    df = _zip_ahead(df.drop("_h1"), "_h4", "_h2", "_h2", 2, lambda a, b: F.xxhash64(a, b))
+    return _zip_ahead(df.drop("_h2"), "_h8", "_h4", "_h4", 4, lambda a, b: F.xxhash64(a, b)).drop("_h4")
+
+
+def _least_of_three(df: DataFrame, out: str, column: str) -> DataFrame:
+    df = _zip_ahead(df, "_m2", column, column, 1, lambda a, b: F.least(a, b))
+    df = _zip_ahead(df, "_m3", "_m2", column, 2, lambda a, b: F.least(a, b)).drop("_m2", column)
+    return df.withColumn(out, F.array_distinct("_m3")).drop("_m3")
+
+
+def kept_hashes(df: DataFrame, words_column: str = "_words") -> DataFrame:
+    """`_kept`: the hashes that winnowing keeps of each row's words, in place of the words."""
+    return _least_of_three(_gram_hashes(df, words_column).drop(words_column), "_kept", "_h8")
+
+
+def kept_places(df: DataFrame, words_column: str = "_words") -> DataFrame:
+    """`_kept`: the packed (hash, place from 0) that winnowing keeps of each row's words."""
+    df = _gram_hashes(df, words_column).withColumn(
         "_m1",
-        F.transform("_h5", lambda h, i: F.shiftleft(F.shiftrightunsigned(h, PLACE_BITS), PLACE_BITS).bitwiseOR(i)),
+        F.transform("_h8", lambda h, i: F.shiftleft(F.shiftrightunsigned(h, PLACE_BITS), PLACE_BITS).bitwiseOR(i)),
     )
-    df = _zip_ahead(df, "_m2", "_m1", "_m1", 1, lambda a, b: F.least(a, b))
-    df = _zip_ahead(df, "_m4", "_m2", "_m2", 2, lambda a, b: F.least(a, b))
-    df = _zip_ahead(df, "_m6", "_m4", "_m2", 4, lambda a, b: F.least(a, b))
-    return df.select(*keep, F.array_distinct("_m6").alias("_kept"))
+    return _least_of_three(df.drop("_h8"), "_kept", "_m1")
 
 
 def _place(packed: Column) -> Column:
@@ -93,6 +103,47 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     )
 
 
+def _short_hashes(n: int) -> Column:
+    """The hash of each run of n words."""
+    runs = F.when(F.size("_words") >= n, F.sequence(F.lit(1), F.size("_words") - (n - 1))).otherwise(
+        F.array().cast("array<int>")
+    )
+    return F.transform(runs, lambda i: F.xxhash64(F.slice("_words", i, n)))
+
+
+def _with_hits(docs: DataFrame, benchmark: DataFrame, short: list[int]) -> DataFrame:
+    """_row, doc_id, n_words, any_hit: whether a kept hash is one of the benchmark's; written once.
+
+    `short` are the lengths under ten words that some item has (nine at most); all runs of those
+    lengths are looked up as well.
+    """
+
+    def hashed(df: DataFrame) -> DataFrame:
+        # n_words and the hashes of short runs need the words, which go no further.
+        extra = F.concat(F.array().cast("array<bigint>"), *[_short_hashes(n) for n in short])
+        return kept_hashes(df.withColumn("n_words", F.size("_words").cast("long")).withColumn("_short", extra))
+
+    items = benchmark.select(words(F.col("text")).alias("_words")).where(F.size("_words") > 0)
+    whole = items.where(F.size("_words") < WINDOW).select(F.xxhash64("_words").alias("hash"))
+    wanted = hashed(items.where(F.size("_words") >= WINDOW)).select(F.explode_outer("_kept").alias("hash")).union(whole)
+    wanted = cut_lineage(wanted.distinct())
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+
+    kept = hashed(docs.select("_row", "doc_id", words(F.col("text")).alias("_words")))
+    # The outer forms of explode and inline matter: for the inner ones Spark adds a filter on the
+    # array's size below, and with it computes all that the array is made of once more.
+    # A null hash stands for the row itself, which so survives the join.
+    probed = kept.select(
+        "_row", "doc_id", "n_words", F.explode_outer(F.concat(F.array(F.lit(None).cast("long")), "_kept", "_short")).alias("h")
+    )
+    joined = probed.join(side, F.col("h") == F.col("hash"), "left").where("h is null or hash is not null")
+    return cut_lineage(
+        joined.groupBy("_row").agg(
+            F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.count("hash").alias("n")
+        ).select("_row", "doc_id", "n_words", (F.col("n") > 0).alias("any_hit"))
+    )
+
+
 def contaminated_words(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """For each row of `documents`: _row, doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans.
 
@@ -111,10 +162,11 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     ).first()
 
     docs = with_row_id(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    docs = docs.select("_row", "doc_id", words(F.col("text")).alias("_words"))
-    docs = kept_places(docs).withColumn("n_words", F.size("_words").cast("long"))
+    every = _with_hits(docs, benchmark, sorted(lengths))
+    docs = docs.join(every.where("any_hit").select("_row"), "_row", "left_semi")
+    docs = kept_places(docs.select("_row", words(F.col("text")).alias("_words")))
 
-    # Up to five words before and after a kept place are in some window with it.
+    # The words before and after a kept place that before and after a kept place are in some window with it.
     reach = WINDOW - K
     probes = F.transform(
         "_kept",
@@ -143,28 +195,18 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             for n in sorted(lengths)
         ],
     )
-    # The row itself goes along as a probe without a hash, so that texts are read once only.
-    row = F.struct(
-        F.lit(None).cast("long").alias("hash"),
-        F.lit(None).cast("int").alias("place"),
-        F.lit(None).cast("int").alias("lead"),
-        F.lit(None).cast("array<string>").alias("around"),
-    )
-    probed = docs.select("_row", "doc_id", "n_words", F.inline(F.concat(F.array(row), probes)))
+    probed = docs.select("_row", F.inline_outer(probes))
     wanted = windows.withColumn("window", F.xxhash64("span"))
     side = wanted.select("hash", "at", "span", "window")
-    if n_windows <= BROADCAST_ROWS:
-        side = F.broadcast(side)
-    hits = probed.join(side, "hash", "left").where("place is null or span is not null")
+    hits = probed.join(F.broadcast(side) if n_windows <= BROADCAST_ROWS else side, "hash")
 
     offset = F.coalesce(F.col("at"), F.lit(0))
     same = (F.col("lead") >= offset) & (F.slice("around", F.col("lead") - offset + 1, F.size("span")) == F.col("span"))
     first = F.col("place") - offset
-    hit = F.when(F.col("place").isNotNull() & same, F.struct(first.alias("first"), (first + F.size("span")).alias("last")))
     found = (
-        hits.select("_row", "doc_id", "n_words", hit.alias("hit"), F.when(hit.isNotNull(), F.col("window")).alias("window"))
-        .where("window is not null or hit is null")
-        .groupBy("_row", "doc_id", "n_words")
+        hits.where(same)
+        .select("_row", "window", F.struct(first.alias("first"), (first + F.size("span")).alias("last")).alias("hit"))
+        .groupBy("_row")
         .agg(F.collect_set("hit").alias("hits"), F.collect_set("window").alias("found"))
     )
     # Overlapping windows become runs: the list is sorted, and each window adds to the last run or opens one.
@@ -185,17 +227,20 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             ),
         ).otherwise(F.concat(acc, F.array(h))),
     )
-    found = found.withColumn("spans", runs)
+    found = found.select("_row", "found", runs.alias("spans"))
     named = (
-        found.where(F.size("found") > 0)
-        .select("_row", F.explode("found").alias("window"))
+        found.select("_row", "spans", F.explode("found").alias("window"))
         .join(wanted.select("window", "items"), "window")
-        .select("_row", F.explode("items").alias("_item"))
+        .select("_row", "spans", F.explode_outer("items").alias("_item"))
         .groupBy("_row")
-        .agg(F.array_sort(F.collect_set("_item")).alias("items"))
+        .agg(F.first("spans").alias("spans"), F.array_sort(F.collect_set("_item")).alias("items"))
     )
-    result = found.join(named, "_row", "left").withColumn(
-        "items", F.coalesce("items", F.array().cast("array<string>"))
+    result = every.join(named, "_row", "left").select(
+        "_row",
+        "doc_id",
+        "n_words",
+        F.coalesce("spans", F.array().cast(kind)).alias("spans"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
     return result.select(

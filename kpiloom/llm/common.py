@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def sample_by_hash(df: DataFrame, rows: int, key: Column, seed: int) -> DataFram
 
 def pieces_of(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch cut so that `column` has at most `most` bytes in each piece, or one row."""
-    sizes = [0 if v is None else v for v in pa.compute.binary_length(batch.column(column)).to_pylist()]
+    sizes = [0 if v is None else v for v in pc.binary_length(batch.column(column)).to_pylist()]
     begin = total = 0
     for i, size in enumerate(sizes):
         if i > begin and total + size > most:

@@ -14,7 +14,6 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
 from kpiloom.llm.common import pieces_of

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import html_extract, langid, simhash, token_counts, topk, toxicity, winnowing
+from kpiloom.llm import html_extract, langid, simhash, substring, token_counts, topk, toxicity, winnowing
 from kpiloom.llm.common import prepare, table
 
 
@@ -40,6 +40,10 @@ def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).drop("_row")
 
 
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, folder, "documents")).drop("_row", "kept")
+
+
 def _prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         prepare(spark)

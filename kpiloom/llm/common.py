@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,8 +23,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings that the operators with Python tasks rely on for bounded memory."""
+    """Session settings that the operators with Python tasks rely on, and their code for the executors."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    context = spark.sparkContext
+    if not any(name.startswith("kpiloom-") for name in context._python_includes):
+        root = Path(__file__).resolve().parents[2]
+        archive = Path(tempfile.mkdtemp(prefix="kpiloom-code-"), "kpiloom-code.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted((root / "kpiloom").rglob("*.py")):
+                out.write(file, file.relative_to(root))
+        context.addPyFile(str(archive))
 
 
 def lower_ascii(text: Column) -> Column:
@@ -68,3 +79,16 @@ def pieces_of(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterat
         total += size
     if begin < len(sizes):
         yield batch.slice(begin)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str, least: int) -> Iterator[pa.RecordBatch]:
+    """The batches joined until `column` has `least` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if size >= least:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()

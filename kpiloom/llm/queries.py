@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import html_extract, langid, ngram_lm, simhash, substring, token_counts, topk, toxicity, winnowing
+from kpiloom.llm import html_extract, langid, ngram_lm, sentence_pieces, simhash, substring, token_counts, topk, toxicity, winnowing
 from kpiloom.llm.common import prepare, table
 
 
@@ -28,6 +28,12 @@ def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_lm.score_documents(table(spark, folder, "documents"), ngram_lm.held_out_fold(F.col("doc_id")))
 
 
+def op5_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return sentence_pieces.segmentations(
+        table(spark, folder, "documents"), columns=("rank", "score", "n_pieces", "ids_sha256", "round_trip")
+    )
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.encoded_lengths(table(spark, folder, "documents")))
 

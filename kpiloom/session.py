@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +55,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def checkpoint_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, for a table that later steps read."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows written to the checkpoint folder, so that nothing before is computed again."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -227,7 +228,9 @@ def train(documents: DataFrame, usable: Column, per_language: int = 1500, seed:
     return model
 
 
-def predict(documents: DataFrame, model: ByteTagger | None, keep: list[str]) -> DataFrame:
+def predict(
+    documents: DataFrame, model: ByteTagger | None, keep: list[str], carry_text: bool = False
+) -> DataFrame:
     """Columns `keep` with lang_pred and score for each row of `documents`.
 
     A null text and one without a letter get `und` and score 0, and so does every text if
@@ -235,16 +238,17 @@ def predict(documents: DataFrame, model: ByteTagger | None, keep: list[str]) ->
     texts get equal answers; ties go to the language that sorts first. Columns of the input
     that are not in `keep` are not read.
     """
-    inner = documents.select(
-        *keep, F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("_text")
-    )
+    told = F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))
+    # With `carry_text` the text is among `keep` and goes to the tasks once, with a flag.
+    inner = documents.select(*keep, told.isNotNull().alias("_told") if carry_text else told.alias("_text"))
     schema = inner.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces_of(whole, "_text"):
-                texts = batch.column("_text")
-                empty = np.array(texts.is_null().to_numpy(zero_copy_only=False), bool)
+            for batch in pieces_of(whole, "text" if carry_text else "_text"):
+                texts = batch.column("text" if carry_text else "_text")
+                empty = texts.is_null() if not carry_text else pc.invert(batch.column("_told").fill_null(False))
+                empty = empty.to_numpy(zero_copy_only=False).astype(bool)
                 if model is None or not len(texts):
                     names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 else:

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from kpiloom.llm.common import pieces_of, with_row_id
 from kpiloom.llm.flat import Words, chain, gram_hashes, span_hashes, words_of
 from kpiloom.llm.fm_index import FMIndex, least_in
-from kpiloom.session import cut_lineage
 
 LENGTH = 50
 ANCHOR = 10
@@ -104,20 +103,25 @@ def _slots(anchor):
     return [(F.shiftrightunsigned(anchor, s).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))) for s in (0, 32)]
 
 
-def _repeated_filter(docs: DataFrame) -> np.ndarray:
-    """A filter of the anchors that occur under different doc_ids, as 64-bit words."""
+def _repeated_filter(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """A filter of the anchors that occur under different doc_ids, as 64-bit words; how often those occur."""
     seen = docs.select("doc_id", "text").mapInArrow(_anchor_rows, "anchor long, doc_id long")
-    repeated = seen.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    bits = repeated.select(F.explode(F.array(*_slots(F.col("anchor")))).alias("bit"))
+    repeated = (
+        seen.groupBy("anchor")
+        .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
+        .where("a < b")
+    )
+    slots = _slots(F.col("anchor"))
+    bits = repeated.select("n", F.explode_outer(F.array(*slots)).alias("bit"))
     words = (
-        bits.select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask"))
+        bits.select("n", F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask"))
         .groupBy("word")
-        .agg(F.bit_or("mask").alias("mask"))
+        .agg(F.bit_or("mask").alias("mask"), F.sum("n").alias("n"))
         .toArrow()
     )
     out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     out[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
-    return out
+    return out, int(words.column("n").to_numpy().sum()) // len(slots)
 
 
 def _maybe(words: np.ndarray, anchors: np.ndarray) -> np.ndarray:
@@ -235,11 +239,12 @@ def _removed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """_row, runs: an array of (first, last exclusive) words to remove, for rows that have any."""
     known = docs.where("doc_id is not null")
-    found = cut_lineage(_passages(known, _repeated_filter(known)))
+    repeated, total = _repeated_filter(known)
+    # Read twice below, and cheaper to cut out of the texts again than to write down.
+    found = _passages(known, repeated)
     distinct = found.groupBy("anchor", "passage").agg(
-        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("words", ignorenulls=True).alias("words")
+        F.min("doc_id").alias("least"), F.first("words", ignorenulls=True).alias("words")
     )
-    total = found.where("words is not null").count()
     shards = max(1, -(-total // SHARD_PASSAGES))
     firsts = (
         distinct.withColumn("shard", F.pmod(F.xxhash64("anchor", F.lit(3)), F.lit(shards)).cast("int"))

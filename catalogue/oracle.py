@@ -150,30 +150,38 @@ SELECT {columns} FROM (
 
 
 _BEST = f"EJECUTIVO IN {_SEVEN}"
-_WEEK_35_OF_1998 = [f"2{4 + i}-08-1998" for i in range(6)] + ["30-08-1998"]
-_WEEK_ROWS = "SELECT *, strftime(dia, '%d-%m-%Y') AS h FROM gestiones WHERE weekofyear(FECHA) = 35 AND year(FECHA) = 1998"
-
-_DAILY_WIDE = _over_gestiones(
-    "SELECT CASE WHEN GROUPING(TORRE) = 1 THEN 'Total General' ELSE TORRE END AS TORRE,\n"
-    + ",\n".join(f"count(NUMERO_DE_PEDIDO) FILTER (WHERE h = '{d}') AS \"{d}\"" for d in _WEEK_35_OF_1998)
-    + f",\n{_ORDERS} AS total, CAST(GROUPING(TORRE) AS BIGINT) AS level\n"
-    + f"FROM ({_WEEK_ROWS}) GROUP BY GROUPING SETS ((TORRE), ())"
-)
-
-
-def _percent_of_day(day: str) -> str:
-    inside = f"STATUS_REAL = 'Corregido' AND h = '{day}'"
-    return (
-        f"printf('%.0f%%', 100 * coalesce((count(NUMERO_DE_PEDIDO) FILTER (WHERE {inside}))::DOUBLE"
-        f" / nullif(count(NUMERO_DE_PEDIDO) FILTER (WHERE h = '{day}'), 0), 0.0)) AS \"{day}\""
-    )
-
+_WEEK_35 = "SELECT *, strftime(dia, '%d-%m-%Y') AS h FROM gestiones WHERE weekofyear(FECHA) = 35"
+
+_DAILY_WIDE = f"""PIVOT (WITH {_GESTIONES}, w AS ({_WEEK_35}),
+c AS (SELECT CASE WHEN GROUPING(TORRE) = 1 THEN 'Total General' ELSE TORRE END AS TORRE, h, {_ORDERS} AS n,
+             CAST(GROUPING(TORRE) AS BIGINT) AS level
+      FROM w GROUP BY GROUPING SETS ((TORRE, h), (h)))
+SELECT TORRE, h, n, CAST(sum(n) OVER (PARTITION BY TORRE, level) AS BIGINT) AS total, level FROM c)
+ON h USING CAST(coalesce(sum(n), 0) AS BIGINT) GROUP BY TORRE, total, level"""
+
+_RESOLUTION_WIDE = f"""PIVOT (WITH {_GESTIONES}, w AS ({_WEEK_35}),
+c AS (SELECT EJECUTIVO, h, {_CORRECTED} AS co, {_ORDERS} AS n FROM w GROUP BY 1, 2)
+SELECT EJECUTIVO, h, printf('%.0f%%', 100 * coalesce(co::DOUBLE / nullif(n, 0), 0.0)) AS p,
+       CAST(sum(n) OVER (PARTITION BY EJECUTIVO) AS BIGINT) AS total FROM c)
+ON h USING coalesce(any_value(p), '0%') GROUP BY EJECUTIVO, total"""
+
+
+def _dense_totals(key: str) -> str:
+    return f"""WITH {_GESTIONES},
+w AS (SELECT * FROM gestiones WHERE weekofyear(FECHA) = 35),
+b AS (SELECT min({_MONDAY}) AS lo, max({_SUNDAY}) AS hi FROM w),
+sp AS (SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS dia FROM b),
+k AS (SELECT {key} AS k, CAST(0 AS BIGINT) AS level FROM w GROUP BY 1 UNION ALL SELECT 'Total General', 2 FROM w GROUP BY 2),
+x AS (SELECT CASE WHEN GROUPING({key}) = 1 THEN 'Total General' ELSE {key} END AS k, dia, {_ORDERS} AS n,
+             CAST(GROUPING({key}) * 2 AS BIGINT) AS level
+      FROM w GROUP BY GROUPING SETS (({key}, dia), (dia)))
+SELECT k.k AS {key}, sp.dia AS Fecha_Dia, coalesce(x.n, 0) AS n, k.level
+FROM k CROSS JOIN sp LEFT JOIN x ON x.k = k.k AND x.level = k.level AND x.dia = sp.dia
+UNION ALL
+SELECT CASE WHEN GROUPING({key}) = 1 THEN 'Total General' ELSE {key} END, NULL, {_ORDERS},
+       CAST(GROUPING({key}) * 2 + 1 AS BIGINT)
+FROM w GROUP BY GROUPING SETS (({key}), ())"""
 
-_RESOLUTION_WIDE = _over_gestiones(
-    "SELECT EJECUTIVO,\n"
-    + ",\n".join(_percent_of_day(d) for d in _WEEK_35_OF_1998)
-    + f",\n{_ORDERS} AS total FROM ({_WEEK_ROWS}) GROUP BY 1"
-)
 
 _MONTHLY_WIDE = _over_gestiones(
     "SELECT CASE WHEN GROUPING(EJECUTIVO) = 1 THEN TORRE ELSE '     ' || EJECUTIVO END AS etiqueta,\n"
@@ -278,6 +286,9 @@ JOIN (SELECT EJECUTIVO, row_number() OVER (ORDER BY {_ORDERS} DESC, EJECUTIVO) A
     "daily_dense_by_tower": _dense("TORRE"),
     "daily_dense_by_status": _dense("STATUS_REAL"),
     "daily_dense_by_executive": _dense("EJECUTIVO"),
+    "daily_dense_totals_by_tower": _dense_totals("TORRE"),
+    "daily_dense_totals_by_status": _dense_totals("STATUS_REAL"),
+    "daily_dense_totals_by_executive": _dense_totals("EJECUTIVO"),
     "daily_dense_span_of_all": _dense("EJECUTIVO", rows="TORRE IN ('ASIA', 'EUROPE')"),
     "daily_resolution_by_executive": _resolution(),
     "daily_resolution_dense": _dense("EJECUTIVO", resolution=True),
@@ -326,6 +337,10 @@ SELECT {_MONTH.format('month(FECHA)')} AS value, min(dia) AS orden FROM gestione
     "export_detail": f"""WITH {_EXPORT}
 SELECT dia AS FECHA, EJECUTIVO, NUMERO_DE_PEDIDO, STATUS_REAL, TORRE,
        {_MONTH.format('month(dia)')} AS Mes
+FROM elegidas""",
+    "export_passthrough": f"""WITH {_EXPORT}
+SELECT dia AS FECHA, EJECUTIVO, NUMERO_DE_PEDIDO, STATUS_REAL, TORRE, 'm' || day(FECHA) AS MES,
+       'a' || year(FECHA) AS ANIO, {_MONTH.format('month(dia)')} AS " Mes"
 FROM elegidas""",
     "export_daily_counts": _daily_totals("EJECUTIVO", _EXPORT, "elegidas"),
     "export_daily_resolution": _resolution(_EXPORT, "elegidas"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,8 +49,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 EVENT_PROFILES = {p.name: p.with_rules(min_month=1) for p in (DB, WORKBOOK, V1)}
 HALF_OF_JANUARY = ("2024-01-05", "2024-01-10")
 WEEK_35 = KpiFilter(mode=SEMANA_MODE, weeks=(35,))
-WEEK_35_OF_1998 = KpiFilter(mode=SEMANA_MODE, weeks=(35,), years=(1998,))
-DAYS_OF_WEEK_35 = [date(1998, 8, 24 + i) for i in range(7)]
 MONTHS_IN_SCOPE = MESES[DB.min_month - 1 :]
 COMBINED = KpiFilter(months=("Agosto", "Diciembre"), fortnight=1, towers=("ASIA", "EUROPE"))
 
@@ -168,6 +165,13 @@ def dense(report: Callable[..., DataFrame], key: str) -> Query:
     return run
 
 
+def dense_totals(key: str) -> Query:
+    def run(spark, folder):
+        return daily_totals(WEEK_35.apply(views.gestiones_measures(spark, folder)), key, span=OWN_SPAN)
+
+    return run
+
+
 def daily_dense_span_of_all(spark, folder):
     """The workbook rule: days span the weeks of all rows, rows are those of two towers."""
     measures = views.gestiones_measures(spark, folder)
@@ -176,13 +180,14 @@ def daily_dense_span_of_all(spark, folder):
 
 
 def daily_wide_by_tower(spark, folder):
-    selected = WEEK_35_OF_1998.apply(views.gestiones_measures(spark, folder))
-    return reports.daily_wide(selected, TORRE, DAYS_OF_WEEK_35)
+    """Week 35 of every year; the columns are the days found."""
+    selected = WEEK_35.apply(views.gestiones_measures(spark, folder))
+    return reports.daily_wide(selected, TORRE, reports.active_days(selected))
 
 
 def resolution_wide(spark, folder):
-    selected = WEEK_35_OF_1998.apply(views.gestiones_measures(spark, folder))
-    return reports.resolution_wide(selected, DAYS_OF_WEEK_35)
+    selected = WEEK_35.apply(views.gestiones_measures(spark, folder))
+    return reports.resolution_wide(selected, reports.active_days(selected))
 
 
 def monthly_counts(spark, folder):
@@ -241,8 +246,17 @@ def export_detail(spark, folder):
     return export.export_detail(with_calendar(export_rows(spark, folder)))
 
 
+def export_passthrough(spark, folder):
+    """A delivery with columns `MES` and `ANIO` of its own: both reach the export beside the month's name."""
+    own = views.eventos(spark, folder).withColumns(
+        {"MES": F.concat(F.lit("m"), F.dayofmonth(FECHA)), "ANIO": F.concat(F.lit("a"), F.year(FECHA))}
+    )
+    rows = export.select_rows(own, KpiFilter(fortnight=1), *HALF_OF_JANUARY)
+    return export.export_detail(with_calendar(rows))
+
+
 def export_counts(spark, folder):
-    return export.export_bundle(export_rows(spark, folder))["resumen_cantidad"][0]
+    return export.export_bundle(export_rows(spark, folder))["resumen_cantidad"][0].drop("total")
 
 
 def export_shares(spark, folder):
@@ -308,6 +322,9 @@ QUERIES: dict[str, Query] = {
     "daily_dense_by_tower": dense(daily_counts, TORRE),
     "daily_dense_by_status": dense(daily_counts, STATUS),
     "daily_dense_by_executive": dense(daily_counts, EJECUTIVO),
+    "daily_dense_totals_by_tower": dense_totals(TORRE),
+    "daily_dense_totals_by_status": dense_totals(STATUS),
+    "daily_dense_totals_by_executive": dense_totals(EJECUTIVO),
     "daily_dense_span_of_all": daily_dense_span_of_all,
     "daily_resolution_by_executive": over_measures(daily_resolution, EJECUTIVO),
     "daily_resolution_dense": dense(daily_resolution, EJECUTIVO),
@@ -331,6 +348,7 @@ QUERIES: dict[str, Query] = {
     "options_executive": over_measures(options.key_options, EJECUTIVO),
     "date_bounds": over_measures(options.date_bounds),
     "export_detail": export_detail,
+    "export_passthrough": export_passthrough,
     "export_daily_counts": export_counts,
     "export_daily_resolution": export_shares,
     "export_row_count": export_row_count,

@@ -20,7 +20,9 @@ DIA = "Fecha_Dia"
 N = "n"
 FILAS = "filas"
 MES_NUM = "mes_num"
-ANIO = "anio"
+# Layout of stored rows. A normalised header has no blank, so these can be no user's column.
+LAYOUT_ANIO = "anio de fecha"
+LAYOUT_MES = "mes de fecha"
 
 # The two outcomes the indicators single out, and the label of totals.
 CORREGIDO = "Corregido"

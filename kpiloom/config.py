@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiloom.columns import ANIO, DIA, EJECUTIVO, FECHA, MES_NUM, TORRE
+from kpiloom.columns import LAYOUT_ANIO, DIA, EJECUTIVO, FECHA, LAYOUT_MES, TORRE
 from kpiloom.functions.calendar_es import MESES, months_touching_week
 
 
@@ -107,12 +107,12 @@ class KpiFilter:
     def predicate(self, columns: list[str]) -> Column:
         """The filter over detail rows (FECHA) or day-level counts (Fecha_Dia).
 
-        Where the layout carries the partition columns ``anio``/``mes_num`` the time
+        Where the layout carries the partition columns of stored rows the time
         selectors are also stated on them, so that the scan skips whole folders.
         """
         day = F.col(FECHA if FECHA in columns else DIA)
-        month = F.col(MES_NUM) if MES_NUM in columns else F.month(day)
-        year = F.col(ANIO) if ANIO in columns else F.year(day)
+        month = F.col(LAYOUT_MES) if LAYOUT_MES in columns else F.month(day)
+        year = F.col(LAYOUT_ANIO) if LAYOUT_ANIO in columns else F.year(day)
         tests = []
         if self.months:
             tests.append(month.isin([MESES.index(m) + 1 for m in self.months if m in MESES]))
@@ -121,7 +121,7 @@ class KpiFilter:
             tests.append(first if self.fortnight == 1 else ~first)
         if self.by_week:
             tests.append(F.weekofyear(day).isin(list(self.weeks)))
-            if MES_NUM in columns:
+            if LAYOUT_MES in columns:
                 touched = sorted(set().union(*(months_touching_week(w) for w in self.weeks)))
                 tests.append(month.isin(touched))
         if self.towers:

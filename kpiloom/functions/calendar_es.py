@@ -89,7 +89,10 @@ def with_calendar(df: DataFrame, moment: str = FECHA, week_columns: bool = True)
             WEEK_END: week_end(at),
             WEEK_LABEL: week_label(at),
         }
-    return df.withColumns(added)
+    # Spark compares names without case: a delivered column of the same letters stays, and the
+    # calendar's gets a blank in front, which no normalised header has.
+    taken = {name.upper() for name in df.columns}
+    return df.withColumns({f" {name}" if name.upper() in taken else name: c for name, c in added.items()})
 
 
 def months_touching_week(week: int) -> set[int]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kpiloom.columns import EJECUTIVO, FECHA, MES_NUM, STATUS, TORRE
+from kpiloom.columns import EJECUTIVO, FECHA, LAYOUT_MES, STATUS, TORRE
 from kpiloom.config import DB, Profile
 from kpiloom.functions.text import strip
 
@@ -56,7 +56,7 @@ def clean(
     # Stated one by one, since na.drop() does not reach the file scan.
     present = [F.col(c).isNotNull() for c in (FECHA, EJECUTIVO, TORRE, STATUS)]
     if profile.min_month > 1:
-        month = F.col(MES_NUM) if MES_NUM in df.columns else F.month(FECHA)
+        month = F.col(LAYOUT_MES) if LAYOUT_MES in df.columns else F.month(FECHA)
         present.append(month >= profile.min_month)
     df = df.filter(reduce(and_, present))
     if profile.trim:

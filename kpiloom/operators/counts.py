@@ -52,11 +52,12 @@ def daily_order(key: str) -> list[Column]:
     return [F.desc(TOTAL), F.asc(key), F.asc(DIA)]
 
 
-def daily_totals(measures: DataFrame, key: str, grand_total: bool = True) -> DataFrame:
+def daily_totals(measures: DataFrame, key: str, grand_total: bool = True, span: Span = None) -> DataFrame:
     """Long form with totals: ``key, Fecha_Dia, n, level``.
 
     Levels: 0 key and day, 1 key over all days, 2 day over all keys, 3 everything; the
-    last two, labelled as the grand total, only where ``grand_total``.
+    last two, labelled as the grand total, only where ``grand_total``. With ``span`` levels
+    0 and 2 have every day of it, absent ones as 0.
     """
     sets = [[key, DIA], [key]]
     if grand_total:
@@ -69,7 +70,11 @@ def daily_totals(measures: DataFrame, key: str, grand_total: bool = True) -> Dat
         # An empty selection still has an empty grouping set; no rows, no total.
         totals = totals.filter(F.col(N).isNotNull())
     label = F.when(F.col("level") >= 2, F.lit(TOTAL_GENERAL)).otherwise(F.col(key))
-    return totals.select(label.alias(key), DIA, N, "level")
+    totals = totals.select(label.alias(key), DIA, N, "level")
+    if span is None:
+        return totals
+    dated = dense_days(totals.filter("level in (0, 2)"), [key, "level"], _bounds(span, counts, [N]), [N])
+    return dated.union(totals.filter("level in (1, 3)"))
 
 
 def week_span(measures: DataFrame) -> DataFrame:
@@ -92,8 +97,8 @@ def _bounds(span: DataFrame | str, counts: DataFrame, values: list[str]) -> Colu
     return counts.agg(F.struct(*fields)).scalar()
 
 
-def dense_days(counts: DataFrame, key: str, bounds: Column, values: list[str]) -> DataFrame:
-    """Counts for every key on every day of the bounds; absent days hold 0.
+def dense_days(counts: DataFrame, key: str | list[str], bounds: Column, values: list[str]) -> DataFrame:
+    """Counts for every key (or keys) on every day of the bounds; absent days hold 0.
 
     Each row also stands for the empty days up to the next row of its key, the first one
     for those before it. So only the sparse counts are shuffled, never the dense result.

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-from kpiloom.columns import EJECUTIVO, STATUS, TORRE
+from kpiloom.columns import DIA, EJECUTIVO, N, STATUS, TORRE
 from kpiloom.config import DB, KpiFilter, Profile
 from kpiloom.operators.counts import (
     OWN_SPAN,
     Span,
     daily_counts,
+    daily_order,
     daily_resolution,
     daily_totals,
     week_span,
@@ -44,9 +46,9 @@ def dashboard_tables(
         "diario_torre": lambda: daily_counts(selected, TORRE, span),
         "diario_status": lambda: daily_counts(selected, STATUS, span),
         "diario_ejecutivo": lambda: daily_counts(selected, EJECUTIVO, span),
-        "totales_torre": lambda: daily_totals(selected, TORRE, profile.grand_total),
-        "totales_status": lambda: daily_totals(selected, STATUS, profile.grand_total),
-        "totales_ejecutivo": lambda: daily_totals(selected, EJECUTIVO, profile.grand_total),
+        "totales_torre": lambda: daily_totals(selected, TORRE, profile.grand_total, span),
+        "totales_status": lambda: daily_totals(selected, STATUS, profile.grand_total, span),
+        "totales_ejecutivo": lambda: daily_totals(selected, EJECUTIVO, profile.grand_total, span),
     }
     if not profile.full_dashboard:
         return tables
@@ -62,6 +64,33 @@ def dashboard_tables(
     }
 
 
+def dashboard_orders(profile: Profile = DB) -> dict[str, list[Column]]:
+    """The keys that put each table of ``dashboard_tables`` in report order."""
+
+    def totals(key: str) -> list[Column]:
+        # Keys by their total, then the grand total; inside each the days, then the total.
+        own = F.max(F.when(F.col("level").isin(1, 3), F.col(N))).over(Window.partitionBy(key, F.col("level") >= 2))
+        return [F.asc(F.col("level") >= 2), F.desc(own), F.asc(key), F.col(DIA).asc_nulls_last()]
+
+    place = [F.asc("pos")]
+    orders = {"kpi_cards": []}
+    for name, key in (("torre", TORRE), ("status", STATUS), ("ejecutivo", EJECUTIVO)):
+        orders[f"diario_{name}"] = daily_order(key)
+        orders[f"totales_{name}"] = totals(key)
+    if not profile.full_dashboard:
+        return orders
+    return orders | {
+        "mensual": reports.monthly_order(),
+        "resolutividad_diaria": daily_order(EJECUTIVO),
+        "torta_torre": [F.desc(N), F.asc(TORRE)],
+        "volumen_ejecutivo": [F.desc(N), F.asc(EJECUTIVO)],
+        "barras_resolutividad": reports.resolution_rate_order(),
+        "composicion_status": [F.asc("exec_order"), F.desc(N), F.asc(STATUS)],
+        "ranking_resolutividad": place,
+        "ranking_cantidad": place,
+    }
+
+
 def build_dashboard(
     measures: DataFrame,
     flt: KpiFilter | None = None,

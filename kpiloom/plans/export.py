@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiloom.columns import ANIO, DIA, EJECUTIVO, FECHA, HELPERS, MES_NUM, PEDIDO, STATUS, TORRE
+from kpiloom.columns import LAYOUT_ANIO, DIA, EJECUTIVO, FECHA, HELPERS, LAYOUT_MES, PEDIDO, STATUS, TORRE
 from kpiloom.config import DB, KpiFilter, Profile
 from kpiloom.operators.counts import daily_order, daily_resolution, daily_totals
-from kpiloom.operators.cuboid import as_measures
+from kpiloom.operators.cuboid import as_measures, build_cuboid
 from kpiloom.operators.filters import filter_date_range
 from kpiloom.plans.reports import (
     active_days,
@@ -24,7 +25,21 @@ from kpiloom.plans.reports import (
 )
 
 PREVIEW_ROWS = 10
-_LAYOUT = (DIA, ANIO, MES_NUM)
+
+
+class Bundle(dict):
+    """The parts of a report, and what they share, kept from the first part to the last."""
+
+    def keep(self, shared: DataFrame) -> DataFrame:
+        self.shared = shared.persist(StorageLevel.MEMORY_AND_DISK)
+        return self.shared
+
+    def release(self) -> None:
+        if hasattr(self, "shared"):
+            self.shared.unpersist()
+
+
+_LAYOUT = (DIA, LAYOUT_ANIO, LAYOUT_MES)
 
 Part = DataFrame | tuple[DataFrame, list[Column]]
 
@@ -45,9 +60,15 @@ def select_rows(
     return filter_date_range(rows, start, end)
 
 
+def _without_helpers(rows: DataFrame) -> DataFrame:
+    """Helper columns go by their exact names; a user's column that differs in case only stays."""
+    out = {*HELPERS, *_LAYOUT, *(f" {name}" for name in HELPERS)}
+    return rows.select(*[f"`{c}`" for c in rows.columns if c not in out])
+
+
 def export_detail(rows: DataFrame, date_only: bool = True) -> DataFrame:
     """Selected rows without helper columns, and the date without its time of day."""
-    rows = rows.drop(*HELPERS, *_LAYOUT)
+    rows = _without_helpers(rows)
     return rows.withColumn(FECHA, F.to_date(FECHA)) if date_only else rows
 
 
@@ -57,7 +78,7 @@ def export_row_count(rows: DataFrame) -> DataFrame:
 
 def preview(rows: DataFrame, limit: int = PREVIEW_ROWS) -> DataFrame:
     """The first rows by date; ties are settled so that the choice is the same each time."""
-    return rows.drop(*HELPERS, *_LAYOUT).orderBy(*detail_order()).limit(limit)
+    return _without_helpers(rows).orderBy(*detail_order()).limit(limit)
 
 
 def export_bundle(rows: DataFrame, profile: Profile = DB, wide: bool = False) -> dict[str, Part]:
@@ -68,8 +89,9 @@ def export_bundle(rows: DataFrame, profile: Profile = DB, wide: bool = False) ->
     """
     if not profile.export_uses_filter:
         return {"datos": (export_detail(rows, date_only=False), detail_order())}
-    measures = as_measures(rows)
-    parts: dict[str, Part] = {"datos_detallados": (export_detail(rows), detail_order())}
+    # The daily parts share one cuboid, so the detail is read twice in all, however many they are.
+    parts = Bundle(datos_detallados=(export_detail(rows), detail_order()))
+    measures = parts.keep(build_cuboid(rows))
     if wide:
         days = active_days(measures)
         counts = daily_wide(measures, EJECUTIVO, days, profile.grand_total)
@@ -78,23 +100,27 @@ def export_bundle(rows: DataFrame, profile: Profile = DB, wide: bool = False) ->
         parts["resumen_resolutividad"] = (shares, [F.desc("total"), F.asc(EJECUTIVO)])
     else:
         counts = daily_totals(measures, EJECUTIVO, profile.grand_total)
-        parts["resumen_cantidad"] = (counts, [F.asc("level"), F.asc(EJECUTIVO), F.asc(DIA)])
+        # A key has a row a day at most, so the window stays small.
+        own = Window.partitionBy(EJECUTIVO, F.col("level") >= 2)
+        counts = counts.withColumn("total", F.max(F.when(F.col("level").isin(1, 3), F.col("n"))).over(own))
+        by_total = [F.asc(F.col("level") >= 2), F.desc("total"), F.asc(EJECUTIVO), F.col(DIA).asc_nulls_last()]
+        parts["resumen_cantidad"] = (counts, by_total)
         parts["resumen_resolutividad"] = (daily_resolution(measures), daily_order(EJECUTIVO))
     return parts
 
 
 def ranking_bundle(rows: DataFrame, allowed: Sequence[str] | DataFrame | None) -> dict[str, Part]:
     """The parts of the ranking report; its percentages are text."""
-    ranked = ranking(as_measures(rows), allowed)
+    parts = Bundle()
+    ranked = parts.keep(ranking(as_measures(rows), allowed))
     by_place = [F.asc("pos")]
-    return {
-        "ranking_resolutividad": (ranking_resolution(ranked).select("pos", EJECUTIVO, "text"), by_place),
-        "ranking_cantidad": (
-            ranking_quantity(ranked).select("pos", EJECUTIVO, "corregidas", "asignadas"),
-            by_place,
-        ),
-        "consolidado_filtrado": (export_detail(rows), detail_order()),
-    }
+    parts["ranking_resolutividad"] = (ranking_resolution(ranked).select("pos", EJECUTIVO, "text"), by_place)
+    parts["ranking_cantidad"] = (
+        ranking_quantity(ranked).select("pos", EJECUTIVO, "corregidas", "asignadas"),
+        by_place,
+    )
+    parts["consolidado_filtrado"] = (export_detail(rows), detail_order())
+    return parts
 
 
 def run_id(clock: Callable[[], datetime] = datetime.now) -> str:
@@ -122,4 +148,6 @@ def write_report(
         if file_format == "csv":
             writer = writer.option("header", True)
         writer.format(file_format).save(f"{folder}/{part}")
+    if isinstance(parts, Bundle):
+        parts.release()
     return folder

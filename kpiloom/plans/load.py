@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kpiloom.columns import FILAS
 from kpiloom.config import DB, Profile
 from kpiloom.operators.clean import clean
-from kpiloom.sources.jdbc import WRITE_BATCH, replace_table
+from kpiloom.sources.jdbc import CONNECTIONS, WRITE_BATCH, replace_table
 from kpiloom.sources.naming import normalise_columns, require_columns
 from kpiloom.sources.snapshot import SnapshotStore
 
@@ -20,7 +20,7 @@ def load_to_database(
     options: Mapping[str, str],
     table: str,
     batch_size: int = WRITE_BATCH,
-    connections: int | None = None,
+    connections: int | None = CONNECTIONS,
 ) -> int:
     """Normalise names, replace the table, and return the rows written.
 
@@ -36,11 +36,11 @@ def load_to_database(
 def load_to_snapshot(
     raw: DataFrame,
     store: SnapshotStore,
-    version: int,
+    batch: int | None = None,
     profile: Profile = DB,
     text_format: str | None = None,
     allowed: Sequence[str] | DataFrame | None = None,
 ) -> int:
-    """Clean a delivery, publish it as a version, and return its rows."""
+    """Clean a delivery, publish it, and return its rows; a ``batch`` published before is not repeated."""
     named = require_columns(normalise_columns(raw))
-    return store.publish(clean(named, profile, text_format, allowed), version)
+    return store.publish(clean(named, profile, text_format, allowed), batch)

@@ -1,5 +1,5 @@
 """The reports. Inputs are measure rows, already filtered; outputs are unsorted unless
-stated, and carry what a sink needs to sort them (``ORDER`` lists the keys)."""
+stated, and carry what a sink needs to sort them (``dashboard_orders`` lists the keys)."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ from kpiloom.columns import (
     TOTAL_GENERAL,
 )
 from kpiloom.config import DB, Profile
-from kpiloom.functions.calendar_es import MESES, day_header, month_name_of
+from kpiloom.functions.calendar_es import MESES, month_name_of
 from kpiloom.functions.numbers import percent_text, ratio, whole
 from kpiloom.functions.text import child_label
 from kpiloom.operators.clean import filter_allow_list
@@ -32,8 +32,6 @@ from kpiloom.operators.counts import (
     CORREGIDAS,
     TOTAL,
     count_by,
-    daily_counts,
-    daily_resolution,
     orders,
     orders_with_status,
 )
@@ -122,12 +120,9 @@ def monthly_wide_order():
 # --- daily, wide presentations -------------------------------------------------------
 
 
-def active_days(measures: DataFrame, limit: int = 10_000) -> list[date]:
-    """The days present, sorted. Too many for a table's columns is an error, not a cut."""
-    found = measures.select(DIA).distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} days: use the long form or a narrower filter")
-    return sorted(row[DIA] for row in found)
+def active_days(measures: DataFrame) -> list[date]:
+    """The days present, sorted; the calendar bounds how many there are."""
+    return sorted(row[DIA] for row in measures.select(DIA).distinct().collect())
 
 
 def days_between(span: DataFrame) -> list[date]:
@@ -142,12 +137,14 @@ def _headers(days: Sequence[date]) -> list[str]:
 def daily_wide(measures: DataFrame, key: str, days: Sequence[date], grand_total: bool = True) -> DataFrame:
     """One column per day and the total over all days; last a total row if asked for."""
     headers = _headers(days)
-    counts = daily_counts(measures, key).withColumn("_header", day_header(F.col(DIA)))
-    rows = counts.groupBy(key, TOTAL).pivot("_header", headers).agg(F.sum(N))
-    filled = [F.coalesce(F.sum(h), F.lit(0)).alias(h) for h in headers]
+    # Days become columns in the same aggregation that forms the total row.
+    columns = [
+        F.sum(F.when(F.col(DIA) == F.lit(d), F.col(N)).otherwise(0)).alias(h)
+        for d, h in zip(days, headers, strict=True)
+    ]
     sets = [[key], []] if grand_total else [[key]]
-    rows = rows.groupingSets(sets, key).agg(
-        *filled, F.sum(TOTAL).alias(TOTAL), F.grouping_id().alias("_id")
+    rows = count_by(measures, key, DIA).groupingSets(sets, key).agg(
+        *columns, orders().alias(TOTAL), F.grouping_id().alias("_id")
     )
     rows = rows.filter(F.col(TOTAL).isNotNull())
     label = F.when(F.col("_id") == 1, TOTAL_GENERAL).otherwise(F.col(key))
@@ -160,10 +157,21 @@ def daily_wide_order(key: str):
 
 def resolution_wide(measures: DataFrame, days: Sequence[date], key: str = EJECUTIVO) -> DataFrame:
     """Percent texts per day, ``0%`` where nothing was handled, and the count of orders."""
-    headers = _headers(days)
-    shares = daily_resolution(measures, key).withColumn("_header", day_header(F.col(DIA)))
-    rows = shares.groupBy(key, TOTAL).pivot("_header", headers).agg(F.first("pct_text"))
-    return rows.select(key, *[F.coalesce(F.col(h), F.lit("0%")).alias(h) for h in headers], TOTAL)
+    counts = measures.groupBy(key, DIA).agg(
+        orders_with_status(CORREGIDO).alias(CORREGIDAS), orders().alias(N)
+    )
+    sums = [
+        F.sum(F.when(F.col(DIA) == F.lit(d), F.col(c)).otherwise(0)).alias(f"{c} {i}")
+        for i, d in enumerate(days)
+        for c in (CORREGIDAS, N)
+    ]
+    rows = counts.groupBy(key).agg(*sums, orders().alias(TOTAL))
+    # Texts are made last, one for each cell, so that only numbers are aggregated.
+    cells = [
+        percent_text(ratio(F.col(f"{CORREGIDAS} {i}"), F.col(f"{N} {i}")), 0).alias(h)
+        for i, h in enumerate(_headers(days))
+    ]
+    return rows.select(key, *cells, TOTAL)
 
 
 # --- headline indicators -------------------------------------------------------------

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 SETTINGS = ("HOST", "USUARIO", "CONTRASENA", "PUERTO", "BASE_DE_DATOS")
 
 WRITE_BATCH = 1000
+CONNECTIONS = 16  # open at a time while a table is written
 CONNECT_TIMEOUT_S = 60
 MYSQL_URL = "jdbc:mysql://{host}:{port}/{database}?connectTimeout={timeout_ms}"
 
@@ -64,7 +65,8 @@ def jdbc_options(
 def read_options(
     options: Mapping[str, str], table: str, split: JdbcSplit | None = None, fetch_size: int = 10_000
 ) -> dict[str, str]:
-    found = {**options, "dbtable": table, "fetchsize": str(fetch_size)}
+    # A zone-less time stays as the database has it, whatever zones the JVM and the session are in.
+    found = {**options, "dbtable": table, "fetchsize": str(fetch_size), "preferTimestampNTZ": "true"}
     if split is not None:
         found |= split.options()
     return found
@@ -85,7 +87,7 @@ def read_table(
 
 
 def write_options(
-    options: Mapping[str, str], table: str, batch_size: int = WRITE_BATCH, connections: int | None = None
+    options: Mapping[str, str], table: str, batch_size: int = WRITE_BATCH, connections: int | None = CONNECTIONS
 ) -> dict[str, str]:
     found = {**options, "dbtable": table.lower(), "batchsize": str(batch_size)}
     if connections is not None:
@@ -98,7 +100,7 @@ def replace_table(
     options: Mapping[str, str],
     table: str,
     batch_size: int = WRITE_BATCH,
-    connections: int | None = None,
+    connections: int | None = CONNECTIONS,
 ) -> None:
     """Drop, recreate and fill the lower-cased table, one connection per partition.
 

@@ -1,30 +1,48 @@
 """Versioned Parquet snapshots of the cleaned table.
 
-Every version lies in a folder of its own and becomes visible only by a row in the
+Every attempt to write lies in a folder of its own and becomes visible only by a row in the
 manifest, written last. A failed or repeated write therefore never disturbs readers.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from datetime import datetime
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kpiloom.columns import ANIO, FECHA, FILAS, MES_NUM
+from kpiloom.columns import DIA, EJECUTIVO, FECHA, FILAS, LAYOUT_ANIO, LAYOUT_MES, N, STATUS, TORRE
 from kpiloom.operators.cuboid import build_cuboid
 
 MANIFEST_SCHEMA = T.StructType(
     [
         T.StructField("version", T.LongType()),
+        T.StructField("folder", T.StringType()),
+        T.StructField("detail_schema", T.StringType()),
+        T.StructField("stream", T.StringType()),
+        T.StructField("batch", T.LongType()),
         T.StructField(FILAS, T.LongType()),
         T.StructField("_loaded_at", T.TimestampType()),
     ]
 )
 
 
+_LAYOUT_FIELDS = [T.StructField(LAYOUT_ANIO, T.IntegerType()), T.StructField(LAYOUT_MES, T.IntegerType())]
+CUBOID_SCHEMA = T.StructType(
+    [T.StructField(c, T.StringType()) for c in (TORRE, EJECUTIVO, STATUS)]
+    + [T.StructField(DIA, T.DateType()), T.StructField(N, T.LongType()), T.StructField(FILAS, T.LongType())]
+    + _LAYOUT_FIELDS
+)
+
+
+def _layout(moment: Column) -> dict[str, Column]:
+    return {LAYOUT_ANIO: F.year(moment), LAYOUT_MES: F.month(moment)}
+
+
 def hand_off(df: DataFrame, name: str) -> DataFrame:
     """Keep a frame for later steps under a view name; what memory cannot hold goes to disk."""
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -33,96 +51,119 @@ def hand_off(df: DataFrame, name: str) -> DataFrame:
 
 
 class SnapshotStore:
-    """Snapshots below ``root``: ``detail/v=…``, ``cuboid/v=…`` and ``manifest``.
+    """Snapshots below ``root``: ``detail/…``, ``cuboid/…`` and ``manifest``.
 
-    A store has one writer: either a poll or a stream, which number versions on their own.
+    A store has one writer. Versions are numbered by the store, whatever the writer counts.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def detail_path(self, version: int) -> str:
-        return f"{self.root}/detail/v={version}"
+    def detail_path(self, folder: str) -> str:
+        return f"{self.root}/detail/{folder}"
 
-    def cuboid_path(self, version: int) -> str:
-        return f"{self.root}/cuboid/v={version}"
+    def cuboid_path(self, folder: str) -> str:
+        return f"{self.root}/cuboid/{folder}"
 
     @property
     def manifest_path(self) -> str:
         return f"{self.root}/manifest"
 
-    def publish(self, cleaned: DataFrame, version: int, rebalance: bool = True) -> int:
-        """Write detail and base cuboid of one version, then announce it; returns its rows.
+    def _entries(self) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_path)
+        except Exception as error:
+            if "PATH_NOT_FOUND" in str(error):
+                return None
+            raise
+
+    def publish(
+        self, cleaned: DataFrame, batch: int | None = None, stream: str = "load", rebalance: bool = True
+    ) -> int:
+        """Write detail and base cuboid of a new version, then announce it; returns its rows.
 
-        Detail is laid out by year and month so that month filters skip folders. The
-        rebalance hint lets Spark cut a hot month into many files and join small ones, at
-        the price of a shuffle; a source that arrives in order of date can do without.
+        A batch that this stream has announced before is recognised and not written again.
+        Every attempt writes to a folder of its own, so nothing that is being read changes.
+
+        Detail and cuboid are laid out by year and month so that month filters skip folders.
+        The rebalance hint lets Spark cut a hot month into many files and join small ones, at
+        the price of a shuffle; a source that arrives in order of date can do without. The
+        cutting is adaptive execution's, hence that must be on.
         """
+        if rebalance and self.spark.conf.get("spark.sql.adaptive.enabled") != "true":
+            raise ValueError("rebalance needs spark.sql.adaptive.enabled")
+        entries = self._entries()
+        version = 0
+        if entries is not None:
+            if batch is not None:
+                before = entries.where((F.col("stream") == stream) & (F.col("batch") == batch)).first()
+                if before is not None:
+                    return before[FILAS]
+            version = (entries.agg(F.max("version")).first()[0] or 0) + 1
+        folder = f"v={version}-{uuid.uuid4().hex[:12]}"
         rows = Observation("snapshot")
-        laid_out = cleaned.withColumns({ANIO: F.year(FECHA), MES_NUM: F.month(FECHA)})
+        laid_out = cleaned.withColumns(_layout(F.col(FECHA)))
         if rebalance:
-            laid_out = laid_out.hint("rebalance", ANIO, MES_NUM)
+            laid_out = laid_out.hint("rebalance", F.col(f"`{LAYOUT_ANIO}`"), F.col(f"`{LAYOUT_MES}`"))
         laid_out = laid_out.observe(rows, F.count(F.lit(1)).alias(FILAS))
-        laid_out.write.mode("overwrite").partitionBy(ANIO, MES_NUM).parquet(self.detail_path(version))
+        laid_out.write.partitionBy(LAYOUT_ANIO, LAYOUT_MES).parquet(self.detail_path(folder))
         count = rows.get[FILAS]
+        schema = T.StructType(cleaned.schema.fields + _LAYOUT_FIELDS)
         # Counted from the files just written: nothing of the source is read twice.
-        cuboid = build_cuboid(self._read_detail(version, cleaned))
-        cuboid.write.mode("overwrite").parquet(self.cuboid_path(version))
+        cuboid = build_cuboid(self.spark.read.schema(schema).parquet(self.detail_path(folder)))
+        cuboid = cuboid.withColumns(_layout(F.col(DIA)))
+        cuboid.write.partitionBy(LAYOUT_ANIO, LAYOUT_MES).parquet(self.cuboid_path(folder))
         entry = self.spark.range(1).select(
             F.lit(version).cast("bigint").alias("version"),
+            F.lit(folder).alias("folder"),
+            F.lit(schema.json()).alias("detail_schema"),
+            F.lit(stream).alias("stream"),
+            F.lit(batch).cast("bigint").alias("batch"),
             F.lit(count).cast("bigint").alias(FILAS),
             F.current_timestamp().alias("_loaded_at"),
         )
         entry.coalesce(1).write.mode("append").parquet(self.manifest_path)
         return count
 
-    def _read_detail(self, version: int, like: DataFrame) -> DataFrame:
-        # An empty snapshot has no files to take a schema from.
-        schema = T.StructType(
-            like.schema.fields
-            + [T.StructField(ANIO, T.IntegerType()), T.StructField(MES_NUM, T.IntegerType())]
-        )
-        return self.spark.read.schema(schema).parquet(self.detail_path(version))
-
     def current(self) -> dict | None:
         """The newest announced version, or None before the first one."""
-        try:
-            entries = self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_path)
-        except Exception as error:
-            if "PATH_NOT_FOUND" in str(error):
-                return None
-            raise
-        newest = entries.orderBy(F.desc("version"), F.desc("_loaded_at")).first()
+        entries = self._entries()
+        newest = entries.orderBy(F.desc("version")).first() if entries is not None else None
         return newest.asDict() if newest else None
 
-    def _current_version(self) -> int:
+    def _newest(self) -> dict:
         newest = self.current()
         if newest is None:
             raise LookupError(f"no snapshot published below {self.root}")
-        return newest["version"]
+        return newest
 
     def detail(self) -> DataFrame:
-        return self.spark.read.parquet(self.detail_path(self._current_version()))
+        newest = self._newest()
+        # An empty snapshot has no files to take a schema from.
+        schema = T.StructType.fromJson(json.loads(newest["detail_schema"]))
+        return self.spark.read.schema(schema).parquet(self.detail_path(newest["folder"]))
 
     def cuboid(self) -> DataFrame:
-        return self.spark.read.parquet(self.cuboid_path(self._current_version()))
+        return self.spark.read.schema(CUBOID_SCHEMA).parquet(self.cuboid_path(self._newest()["folder"]))
 
     def last_updated(self) -> datetime | None:
         newest = self.current()
         return newest["_loaded_at"] if newest else None
 
-    def superseded(self, keep: int = 2) -> list[str]:
-        """Folders of versions older than the newest ``keep``, for the storage to remove.
+    def superseded(self, keep: int = 2) -> DataFrame:
+        """Folders (``path``) of all but the newest ``keep`` versions, for the storage to remove.
 
-        One short row per version is read; jobs still running may need the latest few.
+        Jobs still running may need the latest few. The list grows with every version, so it
+        is a frame and not collected.
         """
-        if self.current() is None:
-            return []
-        entries = self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_path)
-        versions = sorted({row["version"] for row in entries.select("version").collect()})
-        old = versions[: max(len(versions) - keep, 0)]
-        return [path(v) for v in old for path in (self.detail_path, self.cuboid_path)]
+        entries = self._entries()
+        if entries is None:
+            return self.spark.createDataFrame([], "path string")
+        oldest_kept = entries.select("version").distinct().orderBy(F.desc("version")).limit(keep)
+        edge = oldest_kept.agg(F.min("version")).first()[0]
+        paths = F.array(F.concat(F.lit(self.detail_path("")), "folder"), F.concat(F.lit(self.cuboid_path("")), "folder"))
+        return entries.where(F.col("version") < edge).select(F.explode(paths).alias("path"))
 
     def register_views(self, detail: str = "gestiones", cuboid: str = "gestiones_cuboid") -> None:
         """Point session views at the newest version; called only after it is announced."""

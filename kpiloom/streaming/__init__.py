@@ -1,6 +1,8 @@
 from kpiloom.streaming.refresh import (
     append_deltas,
+    compact_deltas,
     daily_windows,
+    read_delta_rows,
     read_deltas,
     refresh_if_newer,
     refresh_snapshot,
@@ -11,7 +13,9 @@ from kpiloom.streaming.refresh import (
 
 __all__ = [
     "append_deltas",
+    "compact_deltas",
     "daily_windows",
+    "read_delta_rows",
     "read_deltas",
     "refresh_if_newer",
     "refresh_snapshot",

@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from kpiloom.columns import FECHA, N, PEDIDO, TORRE
+from kpiloom.columns import DIA, EJECUTIVO, FECHA, FILAS, N, PEDIDO, STATUS, TORRE
 from kpiloom.config import DB, Profile
 from kpiloom.operators.clean import clean
 from kpiloom.operators.cuboid import build_cuboid, merge_cuboids
-from kpiloom.sources.files import CSV_NULL, last_modified
-from kpiloom.sources.naming import GESTIONES_SCHEMA
+from kpiloom.sources.files import CSV_NULL, last_modified, read_delivery
+from kpiloom.sources.naming import normalise_columns, require_columns
 from kpiloom.sources.snapshot import SnapshotStore
 
 log = logging.getLogger(__name__)
 
+CUBOID_DDL = f"{TORRE} string, {EJECUTIVO} string, {STATUS} string, {DIA} date, {N} bigint, {FILAS} bigint"
+
 # How often the sources are looked at.
 FILE_INTERVAL = "30 seconds"
 DATABASE_INTERVAL_S = 60
@@ -28,11 +32,15 @@ DATABASE_INTERVAL_S = 60
 # --- polling -------------------------------------------------------------------------
 
 
-def refresh_snapshot(store: SnapshotStore, load: Callable[[], DataFrame], profile: Profile = DB) -> bool:
-    """Reload everything and publish it; on failure the last good version stays served."""
+def refresh_snapshot(
+    store: SnapshotStore, load: Callable[[], DataFrame], profile: Profile = DB, **cleaning
+) -> bool:
+    """Reload everything and publish it; on failure the last good version stays served.
+
+    Names are normalised and required columns checked, as for every delivery.
+    """
     try:
-        newest = store.current()
-        store.publish(clean(load(), profile), newest["version"] + 1 if newest else 0)
+        store.publish(clean(require_columns(normalise_columns(load())), profile, **cleaning))
     except Exception:
         log.exception("refresh failed, keeping the last snapshot")
         return False
@@ -63,15 +71,42 @@ def stream_deliveries(
     spark: SparkSession,
     folder: str,
     file_format: str = "parquet",
-    schema: T.StructType = GESTIONES_SCHEMA,
+    schema: T.StructType | None = None,
     max_files: int | None = None,
 ) -> DataFrame:
+    """The rows delivered to a folder as a stream, with normalised, checked column names.
+
+    Columns are those of the files already there, or of ``schema``. All files must have them:
+    CSV headers are compared, not overruled. Deliveries that differ among themselves go through
+    ``replace_on_delivery`` or ``append_deltas``, which read each file by its own header.
+    """
+    if schema is None:
+        # The headers only: text for CSV, the files' own types for Parquet.
+        options = {"header": "true"} if file_format == "csv" else {}
+        schema = spark.read.format(file_format).options(**options).load(folder).schema
     reader = spark.readStream.schema(schema).format(file_format)
     if file_format == "csv":
-        reader = reader.options(header=True, nullValue=CSV_NULL)
+        reader = reader.options(header=True, enforceSchema=False, nullValue=CSV_NULL)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(folder)
+    return require_columns(normalise_columns(reader.load(folder)))
+
+
+def _arrivals(spark: SparkSession, folder: str, max_files: int) -> DataFrame:
+    """A stream of the paths that arrive; their content is not read."""
+    fields = "path string, modificationTime timestamp, length bigint, content binary"
+    reader = spark.readStream.schema(fields).format("binaryFile").option("maxFilesPerTrigger", max_files)
+    return reader.load(folder).select("path")
+
+
+def _delivered(spark: SparkSession, arrivals: DataFrame, file_format: str, options: dict | None) -> DataFrame | None:
+    """What the files of one batch hold, each read by its own header; None without files.
+
+    A batch has as many files as the stream was told to take at most.
+    """
+    paths = sorted(row["path"] for row in arrivals.collect())
+    frames = [read_delivery(spark, path, file_format, options=options) for path in paths]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
 
 
 def _start(stream: DataFrame, batch_job, progress: str, once: bool) -> StreamingQuery:
@@ -87,20 +122,29 @@ def replace_on_delivery(
     progress: str,
     profile: Profile = DB,
     once: bool = False,
-    **source,
+    file_format: str = "parquet",
+    options: dict | None = None,
+    **cleaning,
 ) -> StreamingQuery:
     """Every delivered file replaces the snapshot before it.
 
-    The batch number is the version, so a batch repeated after a failure overwrites its
-    own folder and nothing counts twice. ``progress`` is the stream's own record, in
-    shared storage.
+    Each file is read by its own header; one that lacks a required column ends the stream with
+    an error, and the last snapshot stays. The store knows a repeated batch by the progress
+    folder and the batch number. ``progress`` is the stream's own record, in shared storage.
+    ``cleaning`` is passed on: ``text_format``, ``allowed``.
     """
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        store.publish(clean(batch, profile), batch_id)
+        rows = _delivered(spark, batch, file_format, options)
+        if rows is not None:
+            store.publish(clean(rows, profile, **cleaning), batch_id, stream=_stream_id(spark, progress))
 
-    stream = stream_deliveries(spark, folder, max_files=1, **source)
-    return _start(stream, publish, progress, once)
+    return _start(_arrivals(spark, folder, 1), publish, progress, once)
+
+
+def _stream_id(spark: SparkSession, progress: str) -> str:
+    """What Spark wrote down for this progress folder when it was first used."""
+    return spark.read.text(f"{progress.rstrip('/')}/metadata").first()[0]
 
 
 def append_deltas(
@@ -110,24 +154,72 @@ def append_deltas(
     progress: str,
     profile: Profile = DB,
     once: bool = False,
-    **source,
+    max_files: int = 32,
+    file_format: str = "parquet",
+    options: dict | None = None,
+    **cleaning,
 ) -> StreamingQuery:
-    """Deliveries add up: each batch leaves its own small cuboid below ``target``.
+    """Deliveries add up: each batch leaves its rows and a small cuboid below ``target``.
 
     Counts are additive, so no state is kept between batches and a row may come as late
-    as it likes. A repeated batch overwrites its own folder.
+    as it likes. A repeated batch overwrites its own folders. Files are read as in
+    ``replace_on_delivery``.
     """
 
     def write_delta(batch: DataFrame, batch_id: int) -> None:
-        build_cuboid(clean(batch, profile)).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        rows = _delivered(spark, batch, file_format, options)
+        if rows is not None:
+            detail = f"{target}/detail/batch={batch_id}"
+            cleaned = clean(rows, profile, **cleaning)
+            cleaned.write.mode("overwrite").parquet(detail)
+            stored = spark.read.schema(cleaned.schema).parquet(detail)
+            build_cuboid(stored).write.mode("overwrite").parquet(f"{target}/cuboid/batch={batch_id}")
 
-    stream = stream_deliveries(spark, folder, **source)
-    return _start(stream, write_delta, progress, once)
+    return _start(_arrivals(spark, folder, max_files), write_delta, progress, once)
 
 
 def read_deltas(spark: SparkSession, target: str) -> DataFrame:
-    """The cuboid over all deliveries so far."""
-    return merge_cuboids(spark.read.parquet(target))
+    """The cuboid over all deliveries so far: what was compacted, and the batches after that."""
+    base = _base(spark, target)
+    deltas = spark.read.schema(f"{CUBOID_DDL}, batch bigint").parquet(f"{target}/cuboid")
+    if base is None:
+        return merge_cuboids(deltas)
+    upto, path = base
+    return merge_cuboids(spark.read.schema(CUBOID_DDL).parquet(path).unionByName(deltas.where(F.col("batch") > upto).drop("batch")))
+
+
+def read_delta_rows(spark: SparkSession, target: str) -> DataFrame:
+    """The cleaned rows of all deliveries so far, for previews and detail exports."""
+    return spark.read.option("mergeSchema", True).parquet(f"{target}/detail").drop("batch")
+
+
+def _base(spark: SparkSession, target: str) -> tuple[int, str] | None:
+    try:
+        entries = spark.read.schema("upto bigint, path string").parquet(f"{target}/bases")
+    except Exception as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return None
+        raise
+    newest = entries.orderBy(F.desc("upto")).first()
+    return (newest["upto"], newest["path"]) if newest else None
+
+
+def compact_deltas(spark: SparkSession, target: str) -> int:
+    """Merge the cuboids of all batches so far into one base; returns the last batch in it.
+
+    Readers take the base and later batches from then on. Folders of merged batches may be
+    removed by the storage. One entry announces the base, written last.
+    """
+    upto = spark.read.schema(f"{CUBOID_DDL}, batch bigint").parquet(f"{target}/cuboid").agg(F.max("batch")).first()[0]
+    path = f"{target}/base/{uuid.uuid4().hex}"
+    base = _base(spark, target)
+    deltas = spark.read.schema(f"{CUBOID_DDL}, batch bigint").parquet(f"{target}/cuboid").where(F.col("batch") <= upto)
+    if base is not None:
+        earlier = spark.read.schema(CUBOID_DDL).parquet(base[1])
+        deltas = deltas.where(F.col("batch") > base[0]).drop("batch").unionByName(earlier)
+    merge_cuboids(deltas).write.parquet(path)
+    spark.createDataFrame([(upto, path)], "upto bigint, path string").coalesce(1).write.mode("append").parquet(f"{target}/bases")
+    return upto
 
 
 # --- windowed counts, for batch and stream alike -------------------------------------

@@ -36,7 +36,7 @@ def bag(rows, columns) -> Counter:
 
 
 TYPES = {
-    "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+    "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "date": "DATE", "timestamp_ntz": "TIMESTAMP",
 }
 
 
@@ -62,7 +62,7 @@ def main(folder: str, names: list[str]) -> int:
     spark, connection = local_session(8), duck(folder)
     queries, sql = entry_points.queries(), entry_points.oracle_sql()
     bad = 0
-    for name in names or queries:
+    for name in names or sql:
         begin = time.time()
         try:
             problem = compare(queries[name](spark, folder), connection, sql[name])
@@ -70,7 +70,7 @@ def main(folder: str, names: list[str]) -> int:
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         bad += problem is not None
         print(f"{'ok ' if problem is None else 'BAD'} {time.time() - begin:6.2f}s {name} {problem or ''}", flush=True)
-    print(f"{len(names or queries)} queries, {bad} differ")
+    print(f"{len(names or sql)} queries, {bad} differ")
     spark.stop()
     return bad
 

@@ -191,8 +191,6 @@ def test_daily_wide(measures):
     assert [r[0] for r in found] == ["T1", "T2", "Total General"]
     assert wide.columns[1] == "05-08-2024"
     assert reports.daily_wide(measures, "TORRE", days, grand_total=False).count() == 2
-    with pytest.raises(ValueError, match="days"):
-        reports.active_days(measures, limit=6)
 
 
 def test_days_between(measures):

@@ -34,7 +34,7 @@ def test_read_in_parallel_ranges():
     split = jdbc.JdbcSplit("FECHA", "2024-01-01", "2026-01-01", 48)
     found = jdbc.read_options({"url": "x"}, "gestiones", split)
     assert found == {
-        "url": "x", "dbtable": "gestiones", "fetchsize": "10000", "partitionColumn": "FECHA",
+        "url": "x", "dbtable": "gestiones", "fetchsize": "10000", "preferTimestampNTZ": "true", "partitionColumn": "FECHA",
         "lowerBound": "2024-01-01", "upperBound": "2026-01-01", "numPartitions": "48",
     }
     assert "partitionColumn" not in jdbc.read_options({"url": "x"}, "gestiones")
@@ -75,7 +75,7 @@ def test_read_table_asks_the_connector(raw):
         read = Recorder(raw)
 
     assert jdbc.read_table(Session, {"url": "x"}, "t") is raw
-    assert Session.read.calls == {"format": "jdbc", "options": {"url": "x", "dbtable": "t", "fetchsize": "10000"}}
+    assert Session.read.calls == {"format": "jdbc", "options": {"url": "x", "dbtable": "t", "fetchsize": "10000", "preferTimestampNTZ": "true"}}
 
 
 def test_load_replaces_the_table_and_counts_while_writing(raw, monkeypatch, folder):

@@ -9,15 +9,20 @@ import pytest
 from pyspark.sql import functions as F
 
 from kpiloom import WORKBOOK, KpiFilter
+from kpiloom.columns import LAYOUT_ANIO, LAYOUT_MES
+from kpiloom.functions.calendar_es import with_calendar
 from kpiloom.operators import as_measures, build_cuboid, clean
 from kpiloom.operators.counts import count_by
 from kpiloom.plans import reports
+from kpiloom.plans.export import export_detail
 from kpiloom.plans.load import load_to_snapshot
 from kpiloom.sources import SnapshotStore, hand_off, normalise_columns
 from kpiloom.sources.naming import GESTIONES_SCHEMA
 from kpiloom.streaming import (
     append_deltas,
+    compact_deltas,
     daily_windows,
+    read_delta_rows,
     read_deltas,
     refresh_if_newer,
     refresh_snapshot,
@@ -68,8 +73,10 @@ def test_publish_and_read(spark, raw, folder):
     assert abs((store.last_updated() - datetime.now(store.last_updated().tzinfo)).total_seconds()) < 3600 * 24
     assert load_to_snapshot(raw.filter("Torre = 'T2'"), store, 1, WORKBOOK) == 4
     assert store.current()["filas"] == 4
-    assert store.superseded(keep=1) == [store.detail_path(0), store.cuboid_path(0)]
-    assert store.superseded() == []
+    old = sorted(r.path for r in store.superseded(keep=1).collect())
+    assert len(old) == 2 and "/cuboid/v=0-" in old[0] and "/detail/v=0-" in old[1]
+    assert store.superseded().isEmpty()
+    assert load_to_snapshot(raw, store, 1, WORKBOOK) == 4 and store.current()["version"] == 1  # a repeat
     store.register_views()
     assert spark.table("gestiones").count() == 4
     assert spark.table("gestiones_cuboid").agg(F.sum("filas")).first()[0] == 4
@@ -85,6 +92,27 @@ def test_empty_snapshot(spark, raw, folder):
     store = SnapshotStore(spark, folder)
     assert load_to_snapshot(raw.filter("false"), store, 0, WORKBOOK) == 0
     assert store.cuboid().isEmpty() and reports.kpi_cards(store.cuboid()).isEmpty()
+    assert store.detail().isEmpty() and "TORRE" in store.detail().columns
+    store.register_views()
+    assert spark.table("gestiones").isEmpty()
+
+
+def test_a_reader_outlives_the_next_version_and_a_repeat(spark, raw, folder):
+    store = SnapshotStore(spark, folder)
+    load_to_snapshot(raw, store, 0, WORKBOOK)
+    open_reader = store.detail()
+    store.publish(clean(normalise_columns(raw), WORKBOOK), 0, stream="another")
+    load_to_snapshot(raw.filter("false"), store, 0, WORKBOOK)
+    assert open_reader.count() == 9 and store.current()["version"] == 1
+
+
+def test_columns_of_the_layout_names_survive(spark, raw, folder):
+    store = SnapshotStore(spark, folder)
+    load_to_snapshot(raw.withColumns({"Mes": F.lit("x"), "Anio": F.lit("y")}), store, 0, WORKBOOK)
+    found = store.detail().select("MES", "ANIO").distinct().collect()
+    assert [tuple(r) for r in found] == [("x", "y")]
+    august = export_detail(with_calendar(KpiFilter(months=("Agosto",)).apply(store.detail())))
+    assert {"MES", "ANIO", " Mes"} <= set(august.columns) and august.count() == 6
 
 
 def test_month_filters_skip_folders(spark, raw, folder):
@@ -94,9 +122,12 @@ def test_month_filters_skip_folders(spark, raw, folder):
     for flt in (KpiFilter(months=("Agosto",)), KpiFilter(mode="semana", weeks=(32,))):
         chosen = flt.apply(detail)
         scan = chosen._jdf.queryExecution().executedPlan().toString()
-        assert "mes_num" in scan.split("PartitionFilters: [")[1].split("]")[0]
-        assert all("mes_num=8" in f for f in chosen.inputFiles()) or len(chosen.inputFiles()) > 0
-        assert chosen.count() == flt.apply(detail.drop("mes_num", "anio")).count()
+        assert LAYOUT_MES in scan.split("PartitionFilters: [")[1].split("]")[0]
+        read = {r[0] for r in chosen.select(F.input_file_name()).distinct().collect()}
+        assert read and all("=8/" in f for f in read)
+        assert chosen.count() == flt.apply(detail.drop(LAYOUT_ANIO, LAYOUT_MES)).count()
+    one = KpiFilter(months=("Agosto",)).apply(store.cuboid())
+    assert all("=8/" in r[0] for r in one.select(F.input_file_name()).distinct().collect())
 
 
 def test_failed_refresh_keeps_the_last_snapshot(spark, typed, folder):
@@ -161,10 +192,67 @@ def test_deltas_add_up(spark, typed, folder):
 def test_repeated_batch_counts_once(spark, typed, folder):
     """The same batch number writes over its own folder."""
     for _ in range(2):
-        build_cuboid(clean(typed, WORKBOOK)).write.mode("overwrite").parquet(f"{folder}/d/batch=0")
+        build_cuboid(clean(typed, WORKBOOK)).write.mode("overwrite").parquet(f"{folder}/d/cuboid/batch=0")
     assert cuboid_bag(read_deltas(spark, f"{folder}/d")) == cuboid_bag(build_cuboid(clean(typed, WORKBOOK)))
 
 
+def finish(query):
+    query.awaitTermination()
+    assert query.exception() is None
+
+
+def test_raw_headers_other_order_and_further_columns_stream(spark, raw, folder):
+    """What a batch load understands a stream understands too, in CSV and Parquet."""
+    expected = cuboid_bag(build_cuboid(clean(normalise_columns(raw), WORKBOOK)))
+    other_order = raw.select(F.lit("k").alias("Canal"), *reversed(raw.columns))
+    for kind, rows in (("parquet", raw), ("csv", other_order)):
+        writer = rows.coalesce(1).write.format(kind)
+        (writer.option("header", True) if kind == "csv" else writer).save(f"{folder}/{kind}/in")
+        store = SnapshotStore(spark, f"{folder}/{kind}/store")
+        arguments = (spark, f"{folder}/{kind}/in")
+        finish(replace_on_delivery(*arguments, store, f"{folder}/{kind}/p", WORKBOOK, once=True, file_format=kind))
+        assert store.current()["filas"] == 9
+        if kind == "parquet":
+            assert cuboid_bag(store.cuboid()) == expected
+        else:
+            assert store.detail().select("CANAL").distinct().collect() == [("k",)]
+        finish(append_deltas(*arguments, f"{folder}/{kind}/d", f"{folder}/{kind}/q", WORKBOOK, True, file_format=kind))
+        assert read_deltas(spark, f"{folder}/{kind}/d").agg(F.sum("filas")).first()[0] == 9
+        assert export_detail(read_delta_rows(spark, f"{folder}/{kind}/d")).count() == 9
+
+
+def test_a_delivery_without_a_required_column_fails_and_the_last_stays(spark, raw, folder):
+    store = SnapshotStore(spark, f"{folder}/store")
+    assert refresh_snapshot(store, lambda: raw, WORKBOOK)  # raw headers
+    assert not refresh_snapshot(store, lambda: raw.drop("Torre"), WORKBOOK)
+    raw.drop("Torre").coalesce(1).write.parquet(f"{folder}/in")
+    query = replace_on_delivery(spark, f"{folder}/in", store, f"{folder}/p", WORKBOOK, once=True)
+    with pytest.raises(Exception, match="required columns missing"):
+        query.awaitTermination()
+    assert store.current()["version"] == 0 and store.detail().count() == 9
+
+
+def test_a_new_progress_folder_is_served(spark, typed, folder):
+    source, store = f"{folder}/in", SnapshotStore(spark, f"{folder}/store")
+    deliver(typed, source, [typed, typed])
+    finish(replace_on_delivery(spark, source, store, f"{folder}/p1", WORKBOOK, once=True))
+    typed.filter("TORRE = 'T2'").coalesce(1).write.parquet(f"{folder}/later")
+    finish(replace_on_delivery(spark, f"{folder}/later", store, f"{folder}/p2", WORKBOOK, once=True))
+    assert store.current()["version"] == 2 and store.detail().count() == 4
+
+
+def test_compacted_deltas_count_the_same(spark, typed, folder):
+    source, target = f"{folder}/in", f"{folder}/deltas"
+    whole = cuboid_bag(build_cuboid(clean(typed, WORKBOOK)))
+    deliver(typed, source, halves(typed)[:1])
+    finish(append_deltas(spark, source, target, f"{folder}/p", WORKBOOK, once=True, max_files=1))
+    assert compact_deltas(spark, target) == 0
+    deliver(typed, source, halves(typed)[1:])
+    finish(append_deltas(spark, source, target, f"{folder}/p", WORKBOOK, once=True, max_files=1))
+    assert cuboid_bag(read_deltas(spark, target)) == whole
+    assert compact_deltas(spark, target) == 1 and cuboid_bag(read_deltas(spark, target)) == whole
+
+
 @pytest.mark.parametrize("windows, name", [(daily_windows, "day"), (weekly_windows, "week")])
 def test_streamed_windows_equal_batch(spark, typed, folder, windows, name):
     source = f"{folder}/in"

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from kpiloom.llm.common import gathered, pieces_of
 from kpiloom.llm.flat import span_hashes, text_bytes
@@ -361,8 +362,8 @@ class Encoder:
 
 
 COLUMNS = {
-    "rank": "integer", "score": "double", "n_pieces": "long", "ids": "array<int>", "text": "string",
-    "ids_sha256": "string", "round_trip": "boolean",
+    "rank": T.IntegerType(), "score": T.DoubleType(), "n_pieces": T.LongType(), "ids": T.ArrayType(T.IntegerType()),
+    "text": T.StringType(), "ids_sha256": T.StringType(), "round_trip": T.BooleanType(),
 }
 
 

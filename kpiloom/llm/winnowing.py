@@ -103,12 +103,28 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     )
 
 
+def _runs(n: int) -> Column:
+    """Where runs of n words begin, from 1."""
+    starts = F.sequence(F.lit(1), F.size("_words") - (n - 1))
+    return F.when(F.size("_words") >= n, starts).otherwise(F.array().cast("array<int>"))
+
+
 def _short_hashes(n: int) -> Column:
     """The hash of each run of n words."""
-    runs = F.when(F.size("_words") >= n, F.sequence(F.lit(1), F.size("_words") - (n - 1))).otherwise(
-        F.array().cast("array<int>")
+    return F.transform(_runs(n), lambda i: F.xxhash64(F.slice("_words", i, n)))
+
+
+def _short_probes(n: int) -> Column:
+    """Each run of n words as something to look up."""
+    return F.transform(
+        _runs(n),
+        lambda i: F.struct(
+            F.xxhash64(F.slice("_words", i, n)).alias("hash"),
+            (i - 1).alias("place"),
+            F.lit(0).alias("lead"),
+            F.slice("_words", i, n).alias("around"),
+        ),
     )
-    return F.transform(runs, lambda i: F.xxhash64(F.slice("_words", i, n)))
 
 
 def _with_hits(docs: DataFrame, benchmark: DataFrame, short: list[int]) -> DataFrame:
@@ -178,23 +194,7 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         ),
     )
     # Each length under ten that some item has: all spans of that length are looked up (9 lengths at most).
-    probes = F.concat(
-        probes,
-        *[
-            F.transform(
-                F.when(F.size("_words") >= n, F.sequence(F.lit(0), F.size("_words") - n)).otherwise(
-                    F.array().cast("array<int>")
-                ),
-                lambda i, n=n: F.struct(
-                    F.xxhash64(F.slice("_words", i + 1, n)).alias("hash"),
-                    i.alias("place"),
-                    F.lit(0).alias("lead"),
-                    F.slice("_words", i + 1, n).alias("around"),
-                ),
-            )
-            for n in sorted(lengths)
-        ],
-    )
+    probes = F.concat(probes, *[_short_probes(n) for n in sorted(lengths)])
     probed = docs.select("_row", F.inline_outer(probes))
     wanted = windows.withColumn("window", F.xxhash64("span"))
     side = wanted.select("hash", "at", "span", "window")

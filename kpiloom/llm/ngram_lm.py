@@ -24,8 +24,10 @@ from kpiloom.session import cut_lineage
 ORDER = 2
 DISCOUNT = 0.75
 SHARD_CHARS = 12_000_000  # text whose n-grams one shard takes, on average
-BATCH_ROWS = 10  # 2**10 rows make a batch; of long texts 2**4
-LONG_TEXT = 32_768
+# Texts of up to so many characters come in batches of up to 2**n rows, longer ones of LONG_ROWS:
+# large batches ask for fewer n-grams in all, and none holds much more than 32 MB of usual texts.
+BATCHES = ((4_096, 12), (16_384, 11), (65_536, 9))
+LONG_ROWS = 6
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6BC2B2AE35)  # any two numbers
 LEAST_LOG = -12.0
 TOP = 65_535
@@ -38,6 +40,16 @@ def quantise(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.clip(steps, 1, TOP), 0).astype(np.uint16)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Counts in the narrowest type that holds them, named by the first byte."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    return bytes([kind.itemsize]) + values.astype(kind).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"u{raw[0]}", offset=1).astype(np.int64)
+
+
 def restore(code: np.ndarray) -> np.ndarray:
     return np.where(code > 0, 10.0 ** ((code.astype(np.float64) - 1) / (TOP - 1) * -LEAST_LOG + LEAST_LOG), 0.0)
 
@@ -154,8 +166,8 @@ def _ask(shards: int, order: int):
                 a, b, c, d = cut[s], cut[s + 1], inner[s], inner[s + 1]
                 if a < b:
                     rows.append(
-                        (level, s, number, contexts[a:b].tobytes(), b"" if level == 1 else sizes[a:b].astype(np.uint32).tobytes(),
-                         successors[c:d].tobytes(), counts[c:d].tobytes())
+                        (level, s, number, contexts[a:b].tobytes(), b"" if level == 1 else packed(sizes[a:b]),
+                         successors[c:d].tobytes(), packed(counts[c:d]))
                     )
         kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
         names = ["level", "shard", "batch", "contexts", "sizes", "successors", "counts"]
@@ -175,7 +187,7 @@ def _ask(shards: int, order: int):
 
         for rows in batches:
             # Batches are runs of row keys, so one that is left behind never comes again.
-            groups = rows.column("_row").to_numpy() >> BATCH_ROWS
+            groups = rows.column("_row").to_numpy() >> BATCHES[0][1]
             numbers = rows.column("_batch").to_numpy()
             for g in dict.fromkeys(groups.tolist()):
                 if g != group:
@@ -193,20 +205,21 @@ def _answer(shard: pa.Table) -> pa.Table:
     """Learn one shard of one level from all batches, and answer what each of them asked."""
     level, number = shard.column("level")[0].as_py(), shard.column("shard")[0].as_py()
 
-    def all_of(name: str, kind) -> tuple[np.ndarray, np.ndarray]:
-        parts = [np.frombuffer(x, kind) for x in shard.column(name).to_pylist()]
+    def all_of(name: str, kind=None) -> tuple[np.ndarray, np.ndarray]:
+        raw = shard.column(name).to_pylist()
+        parts = [np.frombuffer(x, kind) if kind else unpacked(x) for x in raw]
         return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
     contexts, cut = all_of("contexts", np.uint64)
-    counts, inner = all_of("counts", np.uint32)
+    counts, inner = all_of("counts")
     distinct, of_context = np.unique(contexts, return_inverse=True)
     if level == 1:
         total = np.bincount(of_context, weights=counts, minlength=len(distinct)).astype(np.int64)
         asked = total[of_context]
-        answers = [(asked[a:b].tobytes(), b"") for a, b in zip(cut, cut[1:], strict=False)]
+        answers = [(packed(asked[a:b]), b"") for a, b in zip(cut, cut[1:], strict=False)]
         tokens, words = int(total.sum()), int((total > 0).sum())
     else:
-        sizes, _ = all_of("sizes", np.uint32)
+        sizes, _ = all_of("sizes")
         successors, _ = all_of("successors", np.uint32)
         keys = (np.repeat(of_context, sizes).astype(np.uint64) << np.uint64(32)) | successors
         some = counts > 0
@@ -246,11 +259,11 @@ def _score(tokens: int, words: int, order: int):
         answers = answers.sort_by([("level", "ascending"), ("shard", "ascending")])
         levels = answers.column("level").to_numpy()
 
-        def joined(level: int, name: str, kind) -> np.ndarray:
+        def joined(level: int, name: str, kind=None) -> np.ndarray:
             parts = answers.column(name).take(pa.array(np.flatnonzero(levels == level))).to_pylist()
-            return np.frombuffer(b"".join(parts), kind)
+            return np.frombuffer(b"".join(parts), kind) if kind else np.concatenate([unpacked(x) for x in parts])
 
-        counts = joined(1, "seen", np.int64)[batch.unigrams()[1]]
+        counts = joined(1, "seen")[batch.unigrams()[1]]
         p = (counts + 0.5) / (tokens + 0.5 * (words + 1))
         n = len(batch.count)
 
@@ -300,11 +313,11 @@ def score_documents(documents: DataFrame, held_out: Column, order: int = ORDER)
             F.coalesce(held_out, F.lit(False)).alias("held_out"),
         )
     )
-    long_text = F.length("text") > LONG_TEXT
-    rows = rows.withColumn(
-        "_batch",
-        F.when(long_text, F.shiftright("_row", 4) * 2 + 1).otherwise(F.shiftright("_row", BATCH_ROWS) * 2),
-    )
+    kinds = len(BATCHES) + 1
+    number = F.shiftright("_row", LONG_ROWS) * kinds
+    for kind, (most, bits) in reversed([*enumerate(BATCHES, 1)]):
+        number = F.when(F.length("text") <= most, F.shiftright("_row", bits) * kinds + kind).otherwise(number)
+    rows = rows.withColumn("_batch", number)
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-chars // SHARD_CHARS))
     asked = rows.select("_row", "_batch", "held_out", "text").mapInArrow(_ask(shards, order), ASKED)

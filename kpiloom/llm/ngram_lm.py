@@ -51,6 +51,17 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(raw[1:]), f"u{raw[0]}").astype(np.int64)
 
 
+def packed_sorted(values: np.ndarray) -> bytes:
+    """Sorted 64-bit hashes as differences, byte by byte of their places: the first bytes are zeros and vanish."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpacked_sorted(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
 def restore(code: np.ndarray) -> np.ndarray:
     return np.where(code > 0, 10.0 ** ((code.astype(np.float64) - 1) / (TOP - 1) * -LEAST_LOG + LEAST_LOG), 0.0)
 
@@ -167,7 +178,7 @@ def _ask(shards: int, order: int):
                 a, b, c, d = cut[s], cut[s + 1], inner[s], inner[s + 1]
                 if a < b:
                     rows.append(
-                        (level, s, number, contexts[a:b].tobytes(), b"" if level == 1 else packed(sizes[a:b]),
+                        (level, s, number, packed_sorted(contexts[a:b]), b"" if level == 1 else packed(sizes[a:b]),
                          successors[c:d].tobytes(), packed(counts[c:d]))
                     )
         kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
@@ -206,12 +217,11 @@ def _answer(shard: pa.Table) -> pa.Table:
     """Learn one shard of one level from all batches, and answer what each of them asked."""
     level, number = shard.column("level")[0].as_py(), shard.column("shard")[0].as_py()
 
-    def all_of(name: str, kind=None) -> tuple[np.ndarray, np.ndarray]:
-        raw = shard.column(name).to_pylist()
-        parts = [np.frombuffer(x, kind) if kind else unpacked(x) for x in raw]
+    def all_of(name: str, read=unpacked) -> tuple[np.ndarray, np.ndarray]:
+        parts = [read(x) for x in shard.column(name).to_pylist()]
         return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
-    contexts, cut = all_of("contexts", np.uint64)
+    contexts, cut = all_of("contexts", unpacked_sorted)
     counts, inner = all_of("counts")
     distinct, of_context = np.unique(contexts, return_inverse=True)
     if level == 1:
@@ -221,7 +231,7 @@ def _answer(shard: pa.Table) -> pa.Table:
         tokens, words = int(total.sum()), int((total > 0).sum())
     else:
         sizes, _ = all_of("sizes")
-        successors, _ = all_of("successors", np.uint32)
+        successors, _ = all_of("successors", lambda x: np.frombuffer(x, np.uint32))
         keys = (np.repeat(of_context, sizes).astype(np.uint64) << np.uint64(32)) | successors
         some = counts > 0
         learned, of_key = np.unique(keys[some], return_inverse=True)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kpiloom.session import cut_lineage
+
 # Where the public vocabularies lie; files are read in the tasks and never copied.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern that belongs to the byte-level vocabularies.
@@ -50,10 +52,9 @@ def length_histogram(lengths: DataFrame, width: int = 1024) -> DataFrame:
     each range, so no task gets all lengths; what meets in one place is one row a range.
     An empty table gives no rows.
     """
-    counts = (
-        lengths.groupBy("n_tokens")
-        .agg(F.count("*").alias("n_docs"))
-        .withColumn("part", F.floor(F.col("n_tokens") / width))
+    # Used twice below: written down, since the encoding before it would else run twice.
+    counts = cut_lineage(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))).withColumn(
+        "part", F.floor(F.col("n_tokens") / width)
     )
     ranges = counts.groupBy("part").agg(
         F.sum("n_docs").alias("docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("tokens")

@@ -15,6 +15,7 @@ from kpiloom import KpiFilter
 from kpiloom.operators import as_measures
 from kpiloom.operators.counts import OWN_SPAN, daily_counts, daily_resolution
 from kpiloom.plans import reports
+
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = {name: run for name, run in entry_points.queries().items() if name in CATALOGUE}
 

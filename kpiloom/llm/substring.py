@@ -5,7 +5,8 @@ hash, and equal windows hold anchors of equal hash. So a window can only repeat
 does. Passages around anchors that occur in several documents go to the shard of the anchor's
 hash, equal passages once. Each shard builds a compressed FM-index over its passages and streams
 them through it: backward search gives the matches of every window of LENGTH words,
-and the least doc_id among them says whether an earlier document has it.
+and the least doc_id among them says whether an earlier document has it. Anchors too frequent for
+one shard are cut by their windows instead: each distinct window's least doc_id is an aggregate.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ ANCHOR = 10
 # Bits of the filter that tells tasks which anchors repeat: a fixed 4 MB at most, whatever the
 # input. Where it says yes wrongly, a passage is looked up in vain; it never says no wrongly.
 FILTER_BITS = 25
-# Passages of one shard: what one task indexes at a time.
+# Passages of one shard, on average: what one task indexes at a time. An anchor that occurs more often goes to none.
 SHARD_PASSAGES = 16_384
 NO_DOC = np.iinfo(np.int64).max
 
@@ -94,8 +96,9 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places, found = anchors_of(hashes, words.count)
             owner = np.repeat(np.arange(batch.num_rows), words.count)[places]
             doc_id = batch.column("doc_id").to_numpy(zero_copy_only=False)[owner]
-            pairs = np.unique(np.rec.fromarrays([found.view(np.int64), doc_id.astype(np.int64)], names="anchor,doc_id"))
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.anchor), pa.array(pairs.doc_id)], ["anchor", "doc_id"])
+            pairs = np.rec.fromarrays([found.view(np.int64), doc_id.astype(np.int64)], names="anchor,doc_id")
+            pairs, n = np.unique(pairs, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.anchor), pa.array(pairs.doc_id), pa.array(n)], ["anchor", "doc_id", "n"])
 
 
 def _slots(anchor):
@@ -103,25 +106,37 @@ def _slots(anchor):
     return [(F.shiftrightunsigned(anchor, s).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))) for s in (0, 32)]
 
 
-def _repeated_filter(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """A filter of the anchors that occur under different doc_ids, as 64-bit words; how often those occur."""
-    seen = docs.select("doc_id", "text").mapInArrow(_anchor_rows, "anchor long, doc_id long")
-    repeated = (
-        seen.groupBy("anchor")
-        .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
-        .where("a < b")
-    )
-    slots = _slots(F.col("anchor"))
-    bits = repeated.select("n", F.explode_outer(F.array(*slots)).alias("bit"))
+def _repeated_filter(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Filters, as 64-bit words, of the anchors under different doc_ids and of those too frequent for a shard.
+
+    Also how many passages pass the first one: those of its anchors, and of the others as many as
+    its share of set bits lets through.
+    """
+    seen = docs.select("doc_id", "text").mapInArrow(_anchor_rows, "anchor long, doc_id long, n long")
+    anchors = seen.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.sum("n").alias("n"))
+    slots = F.when(F.col("a") < F.col("b"), F.array(*_slots(F.col("anchor"))))
+    bits = anchors.select("n", F.explode_outer(slots).alias("bit"))
+    mask = F.expr("shiftleft(1L, cast(bit & 63 as int))")
     words = (
-        bits.select("n", F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask"))
+        bits.select("n", F.shiftright("bit", 6).alias("word"), mask.alias("mask"))
         .groupBy("word")
-        .agg(F.bit_or("mask").alias("mask"), F.sum("n").alias("n"))
+        .agg(
+            F.bit_or("mask").alias("mask"),
+            F.bit_or(F.when(F.col("n") > SHARD_PASSAGES, F.col("mask"))).alias("hot"),
+            F.sum("n").alias("n"),
+        )
         .toArrow()
     )
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    out[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
-    return out, int(words.column("n").to_numpy().sum()) // len(slots)
+    # The row without a word counts the anchors of one doc_id.
+    single = sum(words.filter(pc.is_null(words.column("word"))).column("n").to_pylist())
+    words = words.filter(pc.is_valid(words.column("word")))
+    repeated, hot = np.zeros((2, 1 << (FILTER_BITS - 6)), np.uint64)
+    at = words.column("word").to_numpy()
+    repeated[at] = words.column("mask").to_numpy().view(np.uint64)
+    hot[at] = pc.fill_null(words.column("hot"), 0).to_numpy().view(np.uint64)
+    share = int(np.bitwise_count(repeated).sum()) / (1 << FILTER_BITS)
+    total = int(words.column("n").to_numpy().sum()) // 2 + int(single * share**2)
+    return repeated, hot, total
 
 
 def _maybe(words: np.ndarray, anchors: np.ndarray) -> np.ndarray:
@@ -132,16 +147,16 @@ def _maybe(words: np.ndarray, anchors: np.ndarray) -> np.ndarray:
     return yes
 
 
-def _passages(docs: DataFrame, repeated: np.ndarray) -> DataFrame:
-    """_row, doc_id, begin, anchor, passage (a hash of its words), words (null if the batch had it before)."""
-    shared = docs.sparkSession.sparkContext.broadcast(repeated)
+def _passages(docs: DataFrame, repeated: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """_row, doc_id, begin, anchor, passage (a hash of its words), hot, words (null if the batch had it before)."""
+    shared = docs.sparkSession.sparkContext.broadcast((repeated, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces_of(whole, "text"):
                 words, hashes = _word_hashes(batch.column("text"))
                 places, found = anchors_of(hashes, words.count)
-                some = _maybe(shared.value, found)
+                some = _maybe(shared.value[0], found)
                 places, found = places[some], found[some]
                 owner = np.repeat(np.arange(batch.num_rows), words.count)[places]
                 first = words.first
@@ -164,12 +179,13 @@ def _passages(docs: DataFrame, repeated: np.ndarray) -> DataFrame:
                         pa.array((begin - first[owner]).astype(np.int32)),
                         pa.array(found.view(np.int64)),
                         pa.array(name.view(np.int64)),
+                        pa.array(_maybe(shared.value[1], found)),
                         pa.array(spans, pa.binary()),
                     ],
-                    ["_row", "doc_id", "begin", "anchor", "passage", "words"],
+                    ["_row", "doc_id", "begin", "anchor", "passage", "hot", "words"],
                 )
 
-    return docs.mapInArrow(run, "_row long, doc_id long, begin int, anchor long, passage long, words binary")
+    return docs.mapInArrow(run, "_row long, doc_id long, begin int, anchor long, passage long, hot boolean, words binary")
 
 
 def index_passages(spans: list[bytes]) -> tuple[FMIndex, np.ndarray, np.ndarray, np.ndarray]:
@@ -210,6 +226,53 @@ def _search_shard(shard: pa.Table) -> pa.Table:
     )
 
 
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of each window of some passages."""
+    for batch in batches:
+        spans = batch.column("words").to_pylist()
+        count = np.array([len(s) // 8 for s in spans], np.int64)
+        grams = gram_hashes(np.frombuffer(b"".join(spans), np.uint64), LENGTH) if count.sum() >= LENGTH else np.empty(0, np.uint64)
+        windows = np.maximum(count - LENGTH + 1, 0)
+        begin = np.cumsum(count) - count
+        shift = np.cumsum(windows) - windows
+        at = np.arange(int(windows.sum())) + np.repeat(begin - shift, windows)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("anchor"),
+                batch.column("passage"),
+                batch.column("least"),
+                pa.ListArray.from_arrays(
+                    pa.array(np.append(shift, windows.sum()).astype(np.int32)), pa.array(grams[at].view(np.int64))
+                ),
+            ],
+            ["anchor", "passage", "least", "windows"],
+        )
+
+
+def _hot_firsts(hot: DataFrame) -> DataFrame:
+    """anchor, passage, firsts as `_search_shard` gives them, for passages of any number under one anchor.
+
+    A passage has a row with its own least doc_id at each window and, where another passage
+    has one of its windows under a smaller one, a second row that says so.
+    """
+    cut = hot.mapInArrow(_window_rows, "anchor long, passage long, least long, windows array<bigint>")
+    each = cut.select("anchor", "passage", "least", F.size("windows").alias("size"), F.posexplode("windows").alias("at", "window"))
+    shared = (
+        each.groupBy("anchor", "window").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first < last")
+    )
+    lower = (
+        each.join(shared.drop("last"), ["anchor", "window"])
+        .where("first < least")
+        .groupBy("anchor", "passage")
+        .agg(F.first("least").alias("least"), F.first("size").alias("size"), F.map_from_entries(F.collect_list(F.struct("at", "first"))).alias("of"))
+    )
+    places = F.sequence(F.lit(0), F.col("size") - 1)
+    own = cut.select("anchor", "passage", F.array_repeat("least", F.size("windows")).alias("firsts"))
+    return own.union(
+        lower.select("anchor", "passage", F.transform(places, lambda i: F.coalesce(F.try_element_at("of", i), "least")).alias("firsts"))
+    )
+
+
 def _removed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of words that windows with an earlier document cover."""
     for batch in batches:
@@ -239,18 +302,21 @@ def _removed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """_row, runs: an array of (first, last exclusive) words to remove, for rows that have any."""
     known = docs.where("doc_id is not null")
-    repeated, total = _repeated_filter(known)
+    repeated, hot, total = _repeated_filter(known)
     # Read twice below, and cheaper to cut out of the texts again than to write down.
-    found = _passages(known, repeated)
+    found = _passages(known, repeated, hot)
     distinct = found.groupBy("anchor", "passage").agg(
-        F.min("doc_id").alias("least"), F.first("words", ignorenulls=True).alias("words")
+        F.min("doc_id").alias("least"), F.bool_or("hot").alias("hot"), F.first("words", ignorenulls=True).alias("words")
     )
     shards = max(1, -(-total // SHARD_PASSAGES))
     firsts = (
-        distinct.withColumn("shard", F.pmod(F.xxhash64("anchor", F.lit(3)), F.lit(shards)).cast("int"))
+        distinct.where(~F.col("hot"))
+        .withColumn("shard", F.pmod(F.xxhash64("anchor", F.lit(3)), F.lit(shards)).cast("int"))
         .groupBy("shard")
         .applyInArrow(_search_shard, "anchor long, passage long, firsts array<bigint>")
     )
+    if hot.any():
+        firsts = firsts.union(_hot_firsts(distinct.where("hot")))
     at = found.select("_row", "doc_id", "begin", "anchor", "passage")
     hits = at.join(firsts, ["anchor", "passage"]).select("_row", "doc_id", "begin", "firsts")
     runs = hits.mapInArrow(_removed_runs, "_row long, first int, last int")

@@ -125,6 +125,26 @@ def test_substring_dedup(stored):
     assert substring.remove_repeats(stored.limit(0)).isEmpty()
 
 
+def test_an_anchor_too_frequent_for_a_shard(spark, monkeypatch, tmp_path):
+    hot = [PASSAGE, text(55, 6)]
+    rows = [(i, f"{text(60, 100 + i)} {hot[i % 2]} {text(60, 200 + i)}") for i in range(60)]
+    rows += [(60, rows[3][1]), (2, rows[4][1]), (61, " ".join(f"{text(60, 300 + i)} {hot[0]}" for i in range(20))), (70, PASSAGE)]
+    frame(spark, rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    search = substring._search_shard
+
+    def bounded(shard):
+        if shard.num_rows > 60:
+            raise ValueError(f"{shard.num_rows} passages in a shard")
+        return search(shard)
+
+    monkeypatch.setattr(substring, "SHARD_PASSAGES", 12)
+    monkeypatch.setattr(substring, "_search_shard", bounded)
+    found = substring.remove_repeats(spark.read.parquet(str(tmp_path / "d")))
+    expected = brute.without_repeats(rows)
+    assert bag(found, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(map(str, expected))
+    assert sum(r[2] >= 55 for r in expected) >= 55
+
+
 def test_language_model(stored):
     found = ngram_lm.score_documents(stored, ngram_lm.held_out_fold(F.col("doc_id"))).collect()
     expected = sorted(brute.bigram_scores(DOCS), key=str)

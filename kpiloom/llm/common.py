@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kpiloom.session import checkpoint_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Rows of an Arrow batch. Texts differ in size by orders of magnitude, so batches are kept
 # small here and cut by bytes in the tasks (see pieces_of).
@@ -45,12 +47,19 @@ def lower_ascii(text: Column) -> Column:
 def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     """A key for each row, so that rows with equal or null ids stay apart.
 
-    It is made of the partition and the place in it, and so is the same whenever the same
-    files are read by the same plan; a task that is run again after a loss repeats it.
+    It is made of the partition and the place in it, so a task that is run again after a loss repeats
+    it, but another plan over the same files need not: their splits follow the cores at hand.
     """
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def written_rows(df: DataFrame) -> DataFrame:
+    """The rows with `_row`, written once to the checkpoint folder: every plan over them has the same keys."""
+    folder = checkpoint_folder(df.sparkSession, "rows")
+    with_row_id(df).write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))

@@ -186,29 +186,12 @@ def _ask(shards: int, order: int):
         columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: dict[int, list[pa.RecordBatch]] = {}
-        group = None
-
-        def close() -> Iterator[pa.RecordBatch]:
-            for number, parts in open_.items():
-                rows = pa.Table.from_batches(parts).combine_chunks()
+    def run(bundles: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in bundles:
+            for number, blob in zip(some.column("_batch").to_pylist(), some.column("rows"), strict=True):
+                rows = _unbundled(blob.as_buffer())
                 training = ~rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
                 yield from of_batch(number, rows.column("text").chunk(0), training)
-            open_.clear()
-
-        for rows in batches:
-            # Batches are runs of row keys, so one that is left behind never comes again.
-            groups = rows.column("_row").to_numpy() >> BATCHES[0][1]
-            numbers = rows.column("_batch").to_numpy()
-            for g in dict.fromkeys(groups.tolist()):
-                if g != group:
-                    yield from close()
-                    group = g
-                for number in np.unique(numbers[groups == g]).tolist():
-                    mine = np.flatnonzero((numbers == number) & (groups == g))
-                    open_.setdefault(number, []).append(rows.take(pa.array(mine)))
-        yield from close()
 
     return run
 
@@ -262,16 +245,36 @@ def _answer(shard: pa.Table) -> pa.Table:
 def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of each batch as one compressed value: texts move in a third of their size."""
     options = pa.ipc.IpcWriteOptions(compression="zstd")
+    open_: dict[int, list[pa.RecordBatch]] = {}
+    group = None
+
+    def close() -> Iterator[pa.RecordBatch]:
+        for number, parts in open_.items():
+            rows = pa.Table.from_batches(parts).select(["doc_id", "held_out", "text"]).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+                out.write_table(rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["_batch", "rows"]
+            )
+        open_.clear()
+
     for rows in batches:
+        # Batches are runs of row keys, so one that is left behind never comes again.
+        groups = rows.column("_row").to_numpy() >> BATCHES[0][1]
         numbers = rows.column("_batch").to_numpy()
-        distinct, blobs = np.unique(numbers), []
-        for number in distinct:
-            part = rows.take(pa.array(np.flatnonzero(numbers == number))).select(["doc_id", "held_out", "text"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.schema, options=options) as out:
-                out.write_batch(part)
-            blobs.append(sink.getvalue().to_pybytes())
-        yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(blobs, pa.binary())], ["_batch", "rows"])
+        for g in dict.fromkeys(groups.tolist()):
+            if g != group:
+                yield from close()
+                group = g
+            for number in np.unique(numbers[groups == g]).tolist():
+                mine = np.flatnonzero((numbers == number) & (groups == g))
+                open_.setdefault(number, []).append(rows.take(pa.array(mine)))
+    yield from close()
+
+
+def _unbundled(blob: bytes | pa.Buffer) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all().combine_chunks()
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -279,10 +282,8 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def _score(tokens: int, words: int, order: int):
     def run(documents: pa.Table, answers: pa.Table) -> pa.Table:
-        blobs = documents.column("rows").to_pylist()
-        documents = pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blobs]).combine_chunks()
-        text = documents.column("text")
-        batch = Batch(text.chunk(0) if text.num_chunks else pa.array([], pa.string()))
+        documents = _unbundled(documents.column("rows")[0].as_buffer())
+        batch = Batch(documents.column("text").chunk(0))
         answers = answers.sort_by([("level", "ascending"), ("shard", "ascending")])
         levels = answers.column("level").to_numpy()
 
@@ -328,8 +329,7 @@ def score_documents(documents: DataFrame, held_out: Column, order: int = ORDER)
 
     Null and empty texts are one end. Repeated rows each count and each give a row. A null
     doc_id passes through. If nothing is learned, all words score alike. An empty table gives no
-    rows; other columns are not read. `documents` has to give the same rows in the same
-    partitions each time, as files and written tables do.
+    rows; other columns are not read.
     """
     if order < 2:
         raise ValueError("the model needs n-grams of two words or more")
@@ -347,13 +347,13 @@ def score_documents(documents: DataFrame, held_out: Column, order: int = ORDER)
     rows = rows.withColumn("_batch", number)
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-chars // SHARD_CHARS))
-    asked = rows.select("_row", "_batch", "held_out", "text").mapInArrow(_ask(shards, order), ASKED)
+    # Asked and scored from what is written once: a second plan over the files may cut them into other batches.
+    bundles = cut_lineage(rows.mapInArrow(_bundled, "_batch long, rows binary"))
+    asked = bundles.mapInArrow(_ask(shards, order), ASKED)
     answers = cut_lineage(asked.groupBy("level", "shard").applyInArrow(_answer, ANSWERED))
     tokens, words = answers.where("batch = -1").agg(F.sum("tokens"), F.sum("words")).first()
     return (
-        rows.select("_batch", "doc_id", "held_out", "text")
-        .mapInArrow(_bundled, "_batch long, rows binary")
-        .groupBy("_batch")
+        bundles.groupBy("_batch")
         .cogroup(answers.where("batch <> -1").withColumnRenamed("batch", "_batch").groupBy("_batch"))
         .applyInArrow(_score(tokens or 0, words or 0, order), SCORED)
     )

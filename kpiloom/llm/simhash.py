@@ -48,12 +48,13 @@ def _pack(bits: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(np.int64).reshape(-1)
 
 
-def fingerprints(documents: DataFrame, shingle: int = 4) -> DataFrame:
+def fingerprints(documents: DataFrame, shingle: int = 4, numbered: bool = False) -> DataFrame:
     """The rows of `documents` with `_row` and `_fp` (signed long) in place of the text.
 
     Words `[^\\x20\\x09-\\x0D]+` of the text in lower case (A-Z only), shingles of `shingle` words
     joined by a space, repeats included; a text of fewer words is one shingle. A bit is set if
     over half the XXH64 (seed 42) values have it. Null and empty texts have fingerprint 0.
+    `numbered` documents have their `_row`, others are given one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +66,8 @@ def fingerprints(documents: DataFrame, shingle: int = 4) -> DataFrame:
                     ["_row", "doc_id", "_fp"],
                 )
 
-    rows = with_row_id(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows = documents if numbered else with_row_id(documents)
+    rows = rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "_row long, doc_id long, _fp long")
 
 
@@ -142,7 +144,7 @@ def near_pairs(values: DataFrame, distance: int = 4, tile: int = TILE) -> DataFr
     return work.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
+def near_duplicates(documents: DataFrame, shingle: int = 4, distance: int = 4, numbered: bool = False) -> DataFrame:
     """For each row of `documents`: _row, doc_id, fingerprint (16 hex digits), component_id.
 
     Rows link when their fingerprints differ in at most `distance` bits; component_id is the
@@ -151,9 +153,9 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, distance: int = 4) -
     lost to a cap. Null and empty texts have fingerprint 0 and link like any other. Repeated
     rows each give a row. A null doc_id gives a row that links, but is never the smallest; a
     component of nulls only has a null component_id. An empty table gives no rows. Other
-    columns are not read.
+    columns are not read, but for `_row` if they are `numbered`.
     """
-    rows = cut_lineage(fingerprints(documents, shingle))
+    rows = cut_lineage(fingerprints(documents, shingle, numbered))
     members = rows.groupBy("_fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(near_pairs(members, distance)).withColumnRenamed("node", "_fp")
     merged = members.join(roots, "_fp")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiloom.llm.common import lower_ascii, with_row_id
+from kpiloom.llm.common import lower_ascii, written_rows
 from kpiloom.session import cut_lineage
 
 WINDOW = 10
@@ -160,7 +160,7 @@ def _with_hits(docs: DataFrame, benchmark: DataFrame, short: list[int]) -> DataF
     )
 
 
-def contaminated_words(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated_words(documents: DataFrame, benchmark: DataFrame, numbered: bool = False) -> DataFrame:
     """For each row of `documents`: _row, doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans.
 
     A word is hit if it lies inside any occurrence of a window of a benchmark item: ten
@@ -170,14 +170,16 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null and empty texts have no words; such items have no window. An item without an id counts
     for hits, but has no name in `items`. Repeated documents each give a row, repeated items and
     equal windows are one window. Empty tables give no rows, or rows without hits. Texts of any
-    length are taken whole. Other columns are not read.
+    length are taken whole. Other columns are not read. Documents are read twice: those that
+    are `numbered` come from `written_rows`, others are written by it.
     """
     windows = benchmark_windows(benchmark)
     n_windows, lengths = windows.agg(
         F.count("*"), F.collect_set(F.when(F.col("at").isNull(), F.size("span")))
     ).first()
 
-    docs = with_row_id(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    docs = documents if numbered else written_rows(documents.select("doc_id", "text"))
+    docs = docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = _with_hits(docs, benchmark, sorted(lengths))
     docs = docs.join(every.where("any_hit").select("_row"), "_row", "left_semi")
     docs = kept_places(docs.select("_row", words(F.col("text")).alias("_words")))

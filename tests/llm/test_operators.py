@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from kpiloom.llm import (
     common,
     html_extract,
@@ -88,6 +89,50 @@ def test_decontamination(spark, stored):
     assert winnowing.contaminated_words(stored, items.limit(0)).where("contaminated or n_items > 0").isEmpty()
 
 
+@pytest.fixture
+def resplit(spark, stored, monkeypatch):
+    """Makes files be read in other splits from the time a function of a module has been called."""
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+
+    def after(module, name):
+        function = getattr(module, name)
+
+        def run(*args, **kwargs):
+            out = function(*args, **kwargs)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            spark.conf.set("spark.sql.files.minPartitionNum", "1")
+            return out
+
+        monkeypatch.setattr(module, name, run)
+
+    yield after
+    spark.conf.set("spark.sql.files.openCostInBytes", before)
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_decontamination_with_other_splits(spark, stored, resplit):
+    resplit(winnowing, "_with_hits")
+    found = winnowing.contaminated_words(stored, frame(spark, ITEMS, "item_id long, text string"))
+    expected = [r[:3] for r in brute.contaminated(DOCS, ITEMS)]
+    assert bag(found, "doc_id", "n_words", "n_hit") == sorted(map(str, expected))
+
+
+def test_near_dedup_with_other_splits(spark, stored, resplit):
+    whole = stored.selectExpr("doc_id", "text", "lang", "'s' as source", "1L as n_chars")
+    expected = bag(corpus_pipeline.near_dedup(spark, whole, ""), "doc_id", "text")
+    resplit(simhash, "near_duplicates")
+    assert bag(corpus_pipeline.near_dedup(spark, whole, ""), "doc_id", "text") == expected
+    assert {"4", "5", "6"} & {s[1:-1].split(",")[0] for s in expected} == {"4"}
+
+
+def test_decontamination_stage_with_other_splits(spark, stored, resplit, tmp_path):
+    frame(spark, ITEMS, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    whole = stored.selectExpr("doc_id", "text", "lang", "'s' as source", "1L as n_chars")
+    resplit(winnowing, "contaminated_words")
+    found = corpus_pipeline.decontamination(spark, whole, str(tmp_path))
+    assert bag(found, "doc_id") == sorted(f"({r[0]},)" for r in brute.contaminated(DOCS, ITEMS) if not r[-1])
+
+
 def test_simhash(stored):
     found = simhash.near_duplicates(stored)
     assert bag(found, "doc_id", "fingerprint", "component_id") == sorted(map(str, brute.groups(DOCS)))
@@ -157,6 +202,16 @@ def test_language_model(stored):
     assert tuple(nothing_learned) == (0, 0)
 
 
+def test_language_model_with_other_splits(stored, resplit):
+    def scores():
+        found = ngram_lm.score_documents(stored, ngram_lm.held_out_fold(F.col("doc_id"))).collect()
+        return sorted(str((r.doc_id, r.n_tokens, r.n_known, round(r.score, 9))) for r in found)
+
+    expected = scores()
+    resplit(ngram_lm, "cut_lineage")
+    assert scores() == expected
+
+
 def test_trigrams_score_a_copied_text_higher(stored):
     two, three = (
         {r.doc_id: r.score for r in ngram_lm.score_documents(stored, F.lit(False), order=n).collect()} for n in (2, 3)

@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -174,6 +175,8 @@ class Vocabulary:
 
     def n_best(self, word: str, n: int) -> list[tuple[float, np.ndarray]]:
         """The n best segmentations of a word: A* from its end, with the forward scores as the estimate."""
+        if len(word) > LONG_WORD:
+            return self._n_best_long(word, n)
         best, ending = self.forward(word)
         found, count = [], 0
         queue = [(-best[-1], 0, len(word), 0.0, None)]
@@ -192,6 +195,37 @@ class Vocabulary:
                 heapq.heappush(queue, (-(best[begin] + total), count, begin, total, ((begin, place, piece), path)))
         return found
 
+    def _n_best_long(self, word: str, n: int) -> list[tuple[float, np.ndarray]]:
+        """The same by a forward pass that keeps the n best ways up to each place.
+
+        A queue of ways grows over all orders of equal pieces; this takes n numbers a place whatever the ties.
+        """
+        held = self.longest + 1
+        scores: list[list[float]] = [[0.0], *([[]] * self.longest)]  # of the last places, by their rest
+        begins, ranks, pieces = array("q", [0] * n), array("i", [0] * n), array("i", [0] * n)
+        for end in range(1, len(word) + 1):
+            ways = [
+                (-(score + s), begin, rank, piece)
+                for begin, s, piece in self.edges(word, end)
+                for rank, score in enumerate(scores[begin % held])
+            ]
+            ways.sort()  # an edge that begins earlier wins a tie
+            del ways[n:]
+            scores[end % held] = [-way[0] for way in ways]
+            ways += [(0.0, 0, 0, 0)] * (n - len(ways))
+            begins.extend(way[1] for way in ways)
+            ranks.extend(way[2] for way in ways)
+            pieces.extend(way[3] for way in ways)
+        found = []
+        for rank, score in enumerate(scores[len(word) % held]):
+            cuts, place = [], len(word)
+            while place:
+                at = place * n + rank
+                cuts.append((begins[at], place, pieces[at]))
+                place, rank = begins[at], ranks[at]
+            found.append((score, self.expand(word, cuts[::-1])))
+        return found
+
     def two_best(self, words: Words) -> Ways:
         """Best and second best score (-inf if none) of each word, and the ids of its best way."""
         n = len(words.size)

@@ -263,6 +263,29 @@ def test_n_best_equals_all_ways(given):
     assert all(vocab.decode(ids) == given for _, ids in found)
 
 
+@pytest.mark.parametrize("given", ["the cat", "x\ny", "日本 ab\U0001f600", "aaaa aa", "-----------"])
+def test_long_words_equal_all_ways(given, monkeypatch):
+    monkeypatch.setattr(sentence_pieces, "LONG_WORD", 1)
+    test_n_best_equals_all_ways(given)
+
+
+def test_a_long_run_of_one_character(monkeypatch):
+    pops, pop = [], sentence_pieces.heapq.heappop
+
+    def counted(queue):
+        pops.append(1)
+        if len(pops) > 20_000:
+            raise MemoryError("the search widens")
+        return pop(queue)
+
+    monkeypatch.setattr(sentence_pieces.heapq, "heappop", counted)
+    vocab = sentence_pieces.vocabulary(sentence_pieces.VOCABULARY)
+    for n in (1, 3):
+        found = next(iter(sentence_pieces.Encoder(vocab).encode(pa.array(["-" * 10_003]), n)))
+        assert len({tuple(ids.tolist()) for _, ids in found}) == n
+        assert all(vocab.decode(ids) == "-" * 10_003 for _, ids in found)
+
+
 def test_segmentations(docs):
     columns = ("rank", "score", "n_pieces", "ids", "text", "round_trip")
     found = sentence_pieces.segmentations(docs, 2, columns).collect()

@@ -3,7 +3,8 @@
 Every block of text has a path of block elements from the root. Text length and punctuation
 are summed per path and divided by its number of blocks; the two ratios are smoothed along
 the page (near blocks on like paths lend each other weight), fused into one score per path,
-and paths that score above a multiple of the deviation are content.
+and paths that score above a multiple of the deviation are content. They say where the article
+is: all that stands under their nearest common ancestor belongs to it, but for blocks of links.
 """
 
 from __future__ import annotations
@@ -50,6 +51,10 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 WORD = re.compile(r"[a-z]+")
+# Elements that are parts of a text and do not hold an article.
+PARTS = frozenset(
+    "p ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption h1 h2 h3 h4 h5 h6".split()
+)
 HEADING = re.compile(r"h[1-6](?:\.|$)")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
@@ -63,7 +68,7 @@ def _label(tag: str, attributes: str) -> tuple[str, bool]:
     out = bool(NOT_CONTENT_WORDS.intersection(WORD.findall(said)))
     out |= named.get("aria-hidden") == "true" or bool(HIDDEN.search(named.get("style", "")))
     out |= re.search(r"(?:^|\s)hidden(?:\s|/|$)", attributes) is not None
-    kind = named.get("class", "")[:40]
+    kind = named.get("class", "")
     return (f"{tag}.{kind}" if kind else tag), out and tag not in ROOTS
 
 
@@ -198,13 +203,35 @@ def content_paths(
     return {path for path, value in score.items() if value > 0 and value >= strictness * deviation}
 
 
+def container_of(paths: set[tuple[str, ...]]) -> tuple[str, ...] | None:
+    """The nearest common ancestor of some paths, outside of parts of a text; headings do not count beside others."""
+    holders = []
+    for path in [p for p in paths if not (p and HEADING.match(p[-1]))] or paths:
+        size = len(path)
+        while size and path[size - 1].split(".", 1)[0] in PARTS:
+            size -= 1
+        holders.append(path[:size])
+    if not holders:
+        return None
+    first, last = min(holders), max(holders)
+    shared = 0
+    while shared < min(len(first), len(last)) and first[shared] == last[shared]:
+        shared += 1
+    return first[:shared]
+
+
 def main_text(page: str | None) -> str:
     """The article of one page, blocks joined by an empty line; empty if there is none."""
     if not page:
         return ""
     blocks = blocks_of(page)
     kept = content_paths(blocks)
-    return "\n\n".join(text for path, text, _ in blocks if path in kept)
+    holder = container_of(kept)
+
+    def stays(path: tuple[str, ...], text: str, linked: int) -> bool:
+        return path in kept or (holder is not None and path[: len(holder)] == holder and 2 * linked <= len(text))
+
+    return "\n\n".join(text for path, text, linked in blocks if stays(path, text, linked))
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"

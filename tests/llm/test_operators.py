@@ -316,6 +316,23 @@ def test_html(spark):
     assert html_extract.extract_pages(frame(spark, pages, "page_id long, url string, html string").limit(0)).isEmpty()
 
 
+def test_html_keeps_short_parts_of_an_article():
+    line = "A sentence of the article, with commas, points, and so on, that goes on for a while. "
+    paragraphs = [(line * 5).strip() for _ in range(6)]
+    parts = ["Points", "one item of the list", "another item", "Term", "its meaning", "Cell", "42", "Caption", "To be.", "x = 1"]
+    p, (h, i, j, t, m, a, b, c, q, x) = paragraphs, parts
+    long = "entry-content " + "wide " * 10
+    page = (
+        f'<body><div class="links"><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></div><div class="{long}text">'
+        f"<p>{p[0]}</p><p>{p[1]}</p><h2>{h}</h2><ul><li>{i}<li>{j}</ul><section><p>{p[2]}</p></section><dl><dt>{t}<dd>{m}</dl>"
+        f"<p>{p[3]}</p><table><tr><td>{a}<td>{b}</table><figure><figcaption>{c}</figcaption></figure><p>{p[4]}</p>"
+        f"<blockquote>{q}</blockquote><pre>{x}</pre><ul><li><a href=c>Read this too</a></ul><p>{p[5]}</p></div>"
+        f'<div class="{long}end"><p>Short end.</p></div></body>'
+    )
+    expected = [p[0], p[1], h, i, j, p[2], t, m, p[3], a, b, c, p[4], q, x, p[5]]
+    assert html_extract.main_text(page).split("\n\n") == expected
+
+
 def test_top_k(spark):
     vectors = [(int(i), [float(x) for x in RNG.normal(size=6).round(1)]) for i in range(120)]
     vectors += [(7, vectors[8][1]), (200, None), (201, [1.0, None]), (202, [float("nan")] * 6), (None, [1.0] * 6),

@@ -25,10 +25,9 @@ from kpiloom.session import cut_lineage
 ORDER = 2
 DISCOUNT = 0.75
 SHARD_CHARS = 12_000_000  # text whose n-grams one shard takes, on average
-# Texts of up to so many characters come in batches of up to 2**n rows, longer ones of LONG_ROWS:
-# large batches ask for fewer n-grams in all, and none holds much more than 32 MB of usual texts.
-BATCHES = ((4_096, 12), (16_384, 11), (65_536, 9))
-LONG_ROWS = 6
+# Texts of up to so many bytes come in batches of up to 2**n rows, longer ones by themselves: large
+# batches ask for fewer n-grams in all, and none holds more than 32 MB of text, or one text.
+BATCHES = ((4_096, 12), (16_384, 11), (65_536, 9), (1 << 20, 5))
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6BC2B2AE35)  # any two numbers
 LEAST_LOG = -12.0
 TOP = 65_535
@@ -317,6 +316,15 @@ def _score(tokens: int, words: int, order: int):
     return run
 
 
+def batch_number() -> Column:
+    """The batch of a row, by its key and the size of its text."""
+    kinds = len(BATCHES) + 1
+    number = F.col("_row") * kinds
+    for kind, (most, bits) in reversed([*enumerate(BATCHES, 1)]):
+        number = F.when(F.octet_length("text") <= most, F.shiftright("_row", bits) * kinds + kind).otherwise(number)
+    return number
+
+
 def score_documents(documents: DataFrame, held_out: Column, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row.
 
@@ -340,11 +348,7 @@ def score_documents(documents: DataFrame, held_out: Column, order: int = ORDER)
             F.coalesce(held_out, F.lit(False)).alias("held_out"),
         )
     )
-    kinds = len(BATCHES) + 1
-    number = F.shiftright("_row", LONG_ROWS) * kinds
-    for kind, (most, bits) in reversed([*enumerate(BATCHES, 1)]):
-        number = F.when(F.length("text") <= most, F.shiftright("_row", bits) * kinds + kind).otherwise(number)
-    rows = rows.withColumn("_batch", number)
+    rows = rows.withColumn("_batch", batch_number())
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-chars // SHARD_CHARS))
     # Asked and scored from what is written once: a second plan over the files may cut them into other batches.

@@ -212,6 +212,12 @@ def test_language_model_with_other_splits(stored, resplit):
     assert scores() == expected
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    rows = spark.range(0, 80, 1, 1).selectExpr("id as _row", "repeat('ä ', 700000 * cast(id % 2 as int) + 10000) as text")
+    batches = rows.groupBy(ngram_lm.batch_number()).agg(F.sum(F.octet_length("text")), F.count("*")).collect()
+    assert sum(r[2] for r in batches) == 80 and all(r[1] <= 32 << 20 or r[2] == 1 for r in batches)
+
+
 def test_trigrams_score_a_copied_text_higher(stored):
     two, three = (
         {r.doc_id: r.score for r in ngram_lm.score_documents(stored, F.lit(False), order=n).collect()} for n in (2, 3)

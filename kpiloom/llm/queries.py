@@ -25,7 +25,7 @@ def op3_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_lm.score_documents(table(spark, folder, "documents"), ngram_lm.held_out_fold(F.col("doc_id")))
+    return ngram_lm.score_documents(table(spark, folder, "documents"), ngram_lm.held_out_fold(F.col("doc_id")), order=3)
 
 
 def op5_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:

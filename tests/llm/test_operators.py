@@ -13,6 +13,7 @@ from kpiloom.llm import (
     html_extract,
     langid,
     ngram_lm,
+    queries,
     sentence_pieces,
     simhash,
     substring,
@@ -212,6 +213,13 @@ def test_language_model_with_other_splits(stored, resplit):
     assert scores() == expected
 
 
+def test_the_registered_model_is_of_three_words(spark, stored, tmp_path):
+    stored.write.parquet(str(tmp_path / "documents.parquet"))
+    held_out = ngram_lm.held_out_fold(F.col("doc_id"))
+    found, three = queries.op4_lm_scoring(spark, str(tmp_path)), ngram_lm.score_documents(stored, held_out, order=3)
+    assert [bag(df, "doc_id", F.round("score", 9)) for df in (found, three)] == [bag(three, "doc_id", F.round("score", 9))] * 2
+
+
 def test_batches_are_bounded_by_bytes(spark):
     rows = spark.range(0, 80, 1, 1).selectExpr("id as _row", "repeat('ä ', 700000 * cast(id % 2 as int) + 10000) as text")
     batches = rows.groupBy(ngram_lm.batch_number()).agg(F.sum(F.octet_length("text")), F.count("*")).collect()

@@ -24,6 +24,7 @@ FIT_WINDOW = 64
 LANES = 1024  # windows evaluated side by side
 PAD = 256
 UNKNOWN = "und"
+LETTER = r"\p{L}"  # fixed value: a text without one has no language
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -200,7 +201,7 @@ def train(documents: DataFrame, usable: Column, per_language: int = 1500, seed:
     Each window is cut from a row chosen by a hash, at a place chosen by a hash. The bound is
     this parameter times the number of languages; predictions then cover all rows and bytes.
     """
-    rows = with_row_id(documents.where(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text"))
+    rows = with_row_id(documents.where(usable & F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).select("lang", "text"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
@@ -238,7 +239,7 @@ def predict(
     texts get equal answers; ties go to the language that sorts first. Columns of the input
     that are not in `keep` are not read.
     """
-    told = F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))
+    told = F.when(F.col("text").rlike(LETTER), F.col("text"))
     # With `carry_text` the text is among `keep` and goes to the tasks once, with a flag.
     inner = documents.select(*keep, told.isNotNull().alias("_told") if carry_text else told.alias("_text"))
     schema = inner.select(*keep).schema.add("lang_pred", "string").add("score", "double")

@@ -47,7 +47,7 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, folder, "documents")).drop("_row")
+    return simhash.near_duplicates(table(spark, folder, "documents")).drop("_row", "root")
 
 
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:

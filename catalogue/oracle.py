@@ -21,7 +21,7 @@ lines AS (
 
 _GESTIONES = _LINES + """,
 gestiones AS (
-  SELECT FECHA, EJECUTIVO, NUMERO_DE_PEDIDO, STATUS_REAL, TORRE, CAST(FECHA AS DATE) AS dia
+  SELECT FECHA, EJECUTIVO, NUMERO_DE_PEDIDO, STATUS_REAL, TORRE, CAST(FECHA AS DATE) AS dia, linea
   FROM lines
   WHERE FECHA IS NOT NULL AND EJECUTIVO IS NOT NULL AND TORRE IS NOT NULL
     AND STATUS_REAL IS NOT NULL AND month(FECHA) >= 8)"""
@@ -275,6 +275,34 @@ JOIN (SELECT EJECUTIVO, row_number() OVER (ORDER BY {_ORDERS} DESC, EJECUTIVO) A
         "n - capacidad",
         2,
     ),
+    "kpi_cards_stored": _cards(_GESTIONES, "gestiones", "dias", "n - capacidad", 2),
+    "kpi_cards_stored_filtered": _cards(
+        _GESTIONES,
+        "(SELECT * FROM gestiones WHERE month(FECHA) IN (8, 12) AND day(FECHA) <= 15"
+        " AND TORRE IN ('ASIA', 'EUROPE'))",
+        "dias",
+        "n - capacidad",
+        2,
+    ),
+    "kpi_cards_stored_week": _cards(
+        _GESTIONES,
+        "(SELECT * FROM gestiones WHERE weekofyear(FECHA) IN (35, 40) AND year(FECHA) IN (1996, 1998))",
+        "dias",
+        "n - capacidad",
+        2,
+    ),
+    "kpi_cards_stored_executives": _cards(
+        _GESTIONES,
+        "(SELECT * FROM gestiones WHERE day(FECHA) > 15"
+        " AND EJECUTIVO IN (SELECT s_name FROM supplier ORDER BY s_name LIMIT 3))",
+        "dias",
+        "n - capacidad",
+        2,
+    ),
+    "snapshot_reload": f"""WITH {_GESTIONES}
+SELECT CAST(year(FECHA) * 100 + month(FECHA) AS INTEGER) AS mes, count(*) AS filas, {_ORDERS} AS n,
+       CAST(CASE WHEN year(any_value(FECHA)) = 1996 AND month(any_value(FECHA)) = 10 THEN 1 ELSE 0 END AS BIGINT) AS version
+FROM gestiones WHERE NOT (linea = 3 AND year(FECHA) = 1996 AND month(FECHA) = 10) GROUP BY 1""",
     "daily_count_by_tower": _daily("TORRE"),
     "daily_count_by_status": _daily("STATUS_REAL"),
     "daily_count_by_executive": _daily("EJECUTIVO"),

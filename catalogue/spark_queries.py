@@ -26,7 +26,7 @@ from kpiloom.columns import (
     YEAR,
 )
 from kpiloom.config import DB, SEMANA_MODE, V1, WORKBOOK, KpiFilter
-from kpiloom.functions.calendar_es import MESES, month_name_of, with_calendar
+from kpiloom.functions.calendar_es import MESES, half_month, month_name_of, with_calendar
 from kpiloom.functions.numbers import percent_text, ratio
 from kpiloom.functions.text import child_label
 from kpiloom.operators.clean import clean, filter_allow_list, lenient_timestamp
@@ -40,9 +40,11 @@ from kpiloom.operators.counts import (
 )
 from kpiloom.operators.cuboid import as_measures, build_cuboid
 from kpiloom.operators.filters import filter_date_range
-from kpiloom.plans import export, options, reports
+from kpiloom.plans import export, options, reports, stored_kpi_cards
+from kpiloom.session import checkpoint_folder
 from kpiloom.sources.naming import normalise_columns
-from kpiloom.streaming.refresh import daily_windows, fortnight_key, month_key, weekly_windows
+from kpiloom.sources.snapshot import SnapshotStore
+from kpiloom.streaming.refresh import daily_windows, month_key, weekly_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -157,6 +159,34 @@ def kpi_cards_filtered(spark, folder):
     return reports.kpi_cards(COMBINED.apply(views.gestiones_measures(spark, folder)), DB)
 
 
+def _published(spark, folder) -> SnapshotStore:
+    store = SnapshotStore(spark, checkpoint_folder(spark, "store"))
+    store.publish(views.gestiones(spark, folder))
+    return store
+
+
+def stored_cards(flt: KpiFilter) -> Query:
+    """Published first; then figures come from merged bitmaps and masks."""
+    return lambda spark, folder: stored_kpi_cards(_published(spark, folder), flt)
+
+
+def stored_cards_of_executives(spark, folder):
+    flt = KpiFilter(executives=tuple(views.first_names(spark, folder, 3)), fortnight=2)
+    return stored_kpi_cards(_published(spark, folder), flt)
+
+
+def snapshot_reload(spark, folder):
+    """A second delivery without the third lines of October 1996: per month its rows, orders, and the versions that wrote it."""
+    store = _published(spark, folder)
+    later = views.lines(spark, folder).where(~((F.col("linea") == 3) & (F.date_format(FECHA, "yyyy-MM") == "1996-10")))
+    store.publish(clean(later.drop("linea")))
+    folders = {m["folder"] for m in store.version(0)["months"]}
+    kept = [m["anio"] * 100 + m["mes"] for m in store.current()["months"] if m["folder"] in folders]
+    month = (F.year(FECHA) * 100 + F.month(FECHA)).alias("mes")
+    counts = store.detail().groupBy(month).agg(F.count("*").alias("filas"), F.count(PEDIDO).alias(N))
+    return counts.withColumn("version", F.when(F.col("mes").isin(kept), 0).otherwise(1).cast("bigint"))
+
+
 def dense(report: Callable[..., DataFrame], key: str) -> Query:
     def run(spark, folder):
         selected = WEEK_35.apply(views.gestiones_measures(spark, folder))
@@ -311,6 +341,11 @@ QUERIES: dict[str, Query] = {
     "kpi_cards_workbook": cards("workbook"),
     "kpi_cards_v1": cards("v1"),
     "kpi_cards_filtered": kpi_cards_filtered,
+    "kpi_cards_stored": stored_cards(KpiFilter()),
+    "kpi_cards_stored_filtered": stored_cards(COMBINED),
+    "kpi_cards_stored_week": stored_cards(KpiFilter(mode=SEMANA_MODE, weeks=(35, 40), years=(1996, 1998))),
+    "kpi_cards_stored_executives": stored_cards_of_executives,
+    "snapshot_reload": snapshot_reload,
     "daily_count_by_tower": over_measures(daily_counts, TORRE),
     "daily_count_by_status": over_measures(daily_counts, STATUS),
     "daily_count_by_executive": over_measures(daily_counts, EJECUTIVO),
@@ -355,6 +390,6 @@ QUERIES: dict[str, Query] = {
     "preview_detail": preview_detail,
     "events_tumbling_day": windows(daily_windows),
     "events_tumbling_week": windows(weekly_windows),
-    "events_tumbling_fortnight": buckets(fortnight_key),
+    "events_tumbling_fortnight": buckets(half_month),
     "events_tumbling_month": buckets(month_key),
 }

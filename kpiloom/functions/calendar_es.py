@@ -57,6 +57,12 @@ def week_start(moment: Column) -> Column:
     return F.date_sub(F.to_date(moment), F.weekday(moment))
 
 
+def half_month(day: Column) -> Column:
+    """First day of the half month a day lies in."""
+    first = F.trunc(day, "month")
+    return F.when(F.dayofmonth(day) <= 15, first).otherwise(F.date_add(first, 15))
+
+
 def week_end(moment: Column) -> Column:
     return F.date_add(week_start(moment), 6)
 

@@ -19,6 +19,7 @@ from kpiloom.operators.counts import (
     week_span,
 )
 from kpiloom.plans import reports
+from kpiloom.sources.snapshot import SnapshotStore
 
 
 def filter_span(measures: DataFrame, flt: KpiFilter, profile: Profile) -> Span:
@@ -30,6 +31,28 @@ def filter_span(measures: DataFrame, flt: KpiFilter, profile: Profile) -> Span:
     return week_span(KpiFilter(mode=flt.mode, weeks=flt.weeks).apply(measures))
 
 
+def stored_kpi_cards(store: SnapshotStore, flt: KpiFilter | None = None, profile: Profile = DB) -> DataFrame:
+    """Headline figures of a selection of the newest snapshot, from merged bitmaps and masks.
+
+    Read are the cells, or where executives are chosen their slices: never a row for each of an
+    executive's days.
+    """
+    flt = flt or KpiFilter()
+    stored = store.slices() if flt.executives else store.cells()
+    return reports.kpi_cards_merged(flt.apply(stored), profile)
+
+
+def snapshot_tables(
+    store: SnapshotStore,
+    flt: KpiFilter | None = None,
+    profile: Profile = DB,
+    ranked: Sequence[str] | DataFrame | None = None,
+) -> dict[str, Callable[[], DataFrame]]:
+    """``dashboard_tables`` over the newest snapshot, headline figures from what is stored for them."""
+    tables = dashboard_tables(store.cuboid(), flt, profile, ranked)
+    return tables | {"kpi_cards": lambda: stored_kpi_cards(store, flt, profile)}
+
+
 def dashboard_tables(
     measures: DataFrame,
     flt: KpiFilter | None = None,

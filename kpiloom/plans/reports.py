@@ -35,6 +35,7 @@ from kpiloom.operators.counts import (
     orders,
     orders_with_status,
 )
+from kpiloom.operators.figures import merged_totals
 from kpiloom.operators.position import with_position
 from kpiloom.session import cut_lineage
 
@@ -190,7 +191,17 @@ def kpi_cards(measures: DataFrame, profile: Profile = DB) -> DataFrame:
         *[F.sum(c).alias(c) for c in (N, "capacidad", CORREGIDAS, FILAS)],
         F.count_distinct(EJECUTIVO).alias("ejecutivos"),
         F.count_distinct(DIA).alias("dias"),
-    ).filter(F.col(FILAS) > 0)
+    )
+    return _cards(totals, profile)
+
+
+def kpi_cards_merged(cells: DataFrame, profile: Profile = DB) -> DataFrame:
+    """The same row from stored cells or executive slices (see ``figures``), already filtered."""
+    return _cards(merged_totals(cells), profile)
+
+
+def _cards(totals: DataFrame, profile: Profile) -> DataFrame:
+    totals = totals.filter(F.col(FILAS) > 0)
     handled = F.col(N) - F.col("capacidad") if profile.subtract_capacity else F.col(N)
     days = F.col("dias") if profile.fixed_days is None else F.lit(profile.fixed_days)
     per_executive = F.try_divide(

@@ -244,11 +244,5 @@ def weekly_windows(df: DataFrame, key: str = TORRE, lateness: str | None = None)
     return _windowed(df, lambda ts: F.window(ts, "7 days", "7 days", "4 days"), key, lateness)
 
 
-def fortnight_key(day: Column) -> Column:
-    """First day of the half month a day lies in."""
-    first = F.trunc(day, "month")
-    return F.when(F.dayofmonth(day) <= 15, first).otherwise(F.date_add(first, 15))
-
-
 def month_key(day: Column) -> Column:
     return F.trunc(day, "month")

@@ -1,9 +1,6 @@
+from kpiloom.streaming.deltas import add_delta, append_deltas, compact_deltas, ledger, read_delta_rows, read_deltas
 from kpiloom.streaming.refresh import (
-    append_deltas,
-    compact_deltas,
     daily_windows,
-    read_delta_rows,
-    read_deltas,
     refresh_if_newer,
     refresh_snapshot,
     replace_on_delivery,
@@ -12,9 +9,11 @@ from kpiloom.streaming.refresh import (
 )
 
 __all__ = [
+    "add_delta",
     "append_deltas",
     "compact_deltas",
     "daily_windows",
+    "ledger",
     "read_delta_rows",
     "read_deltas",
     "refresh_if_newer",

@@ -20,7 +20,6 @@ from kpiloom.sources import SnapshotStore, hand_off, normalise_columns
 from kpiloom.sources.naming import GESTIONES_SCHEMA
 from kpiloom.streaming import (
     append_deltas,
-    compact_deltas,
     daily_windows,
     read_delta_rows,
     read_deltas,
@@ -191,13 +190,6 @@ def test_deltas_add_up(spark, typed, folder):
     assert cuboid_bag(read_deltas(spark, target)) == cuboid_bag(build_cuboid(clean(typed, WORKBOOK)))
 
 
-def test_repeated_batch_counts_once(spark, typed, folder):
-    """The same batch number writes over its own folder."""
-    for _ in range(2):
-        build_cuboid(clean(typed, WORKBOOK)).write.mode("overwrite").parquet(f"{folder}/d/cuboid/batch=0")
-    assert cuboid_bag(read_deltas(spark, f"{folder}/d")) == cuboid_bag(build_cuboid(clean(typed, WORKBOOK)))
-
-
 def finish(query):
     query.awaitTermination()
     assert query.exception() is None
@@ -243,18 +235,6 @@ def test_a_new_progress_folder_is_served(spark, typed, folder):
     assert store.current()["version"] == 2 and store.detail().count() == 4
 
 
-def test_compacted_deltas_count_the_same(spark, typed, folder):
-    source, target = f"{folder}/in", f"{folder}/deltas"
-    whole = cuboid_bag(build_cuboid(clean(typed, WORKBOOK)))
-    deliver(typed, source, halves(typed)[:1])
-    finish(append_deltas(spark, source, target, f"{folder}/p", WORKBOOK, once=True, max_files=1))
-    assert compact_deltas(spark, target) == 0
-    deliver(typed, source, halves(typed)[1:])
-    finish(append_deltas(spark, source, target, f"{folder}/p", WORKBOOK, once=True, max_files=1))
-    assert cuboid_bag(read_deltas(spark, target)) == whole
-    assert compact_deltas(spark, target) == 1 and cuboid_bag(read_deltas(spark, target)) == whole
-
-
 @pytest.mark.parametrize("windows, name", [(daily_windows, "day"), (weekly_windows, "week")])
 def test_streamed_windows_equal_batch(spark, typed, folder, windows, name):
     source = f"{folder}/in"

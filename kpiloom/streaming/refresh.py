@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kpiloom.columns import FECHA, N, PEDIDO, TORRE
 from kpiloom.config import DB, Profile
+from kpiloom.functions.calendar_es import half_month
 from kpiloom.operators.clean import clean
 from kpiloom.sources.files import CSV_NULL, last_modified, read_delivery
 from kpiloom.sources.naming import normalise_columns, require_columns
@@ -167,3 +168,38 @@ def weekly_windows(df: DataFrame, key: str = TORRE, lateness: str | None = None)
 
 def month_key(day: Column) -> Column:
     return F.trunc(day, "month")
+
+
+def _half_month_end(start: Column) -> Column:
+    return F.when(F.dayofmonth(start) == 1, F.date_add(start, 15)).otherwise(F.add_months(F.trunc(start, "month"), 1))
+
+
+def _calendar_buckets(
+    df: DataFrame, start: Callable[[Column], Column], end: Callable[[Column], Column], key: str, lateness: str | None
+) -> DataFrame:
+    """``inicio, key, n`` per bucket of the calendar, whose lengths differ, so that no fixed window fits.
+
+    With ``lateness`` a bucket and key is a session that lasts from its first day to the end of the
+    bucket: each day asks for the gap that is left of it. So a watermark closes it, and its state
+    goes, when the newest day less ``lateness`` is past the end. Days, not rows, are the sessions
+    that are merged, hence a hot key sends one count a task and day.
+    """
+    day = F.to_date(FECHA)
+    if lateness is None:
+        return df.groupBy(start(day).alias("inicio"), key).agg(F.count(PEDIDO).alias(N))
+    timed = df.withColumn("_day", day.cast("timestamp")).withWatermark("_day", lateness)
+    first = start(F.to_date("_day"))
+    left = F.datediff(end(first), F.to_date("_day"))
+    session = F.session_window("_day", F.make_interval(days=left)).alias("_session")
+    counts = timed.groupBy(session, first.alias("inicio"), key).agg(F.count(PEDIDO).alias(N))
+    return counts.select("inicio", key, N)
+
+
+def fortnight_windows(df: DataFrame, key: str = TORRE, lateness: str | None = None) -> DataFrame:
+    """``inicio, key, n`` per half month. Without ``lateness`` late rows always count."""
+    return _calendar_buckets(df, half_month, _half_month_end, key, lateness)
+
+
+def month_windows(df: DataFrame, key: str = TORRE, lateness: str | None = None) -> DataFrame:
+    """``inicio, key, n`` per month. Without ``lateness`` late rows always count."""
+    return _calendar_buckets(df, month_key, lambda first: F.add_months(first, 1), key, lateness)

@@ -227,6 +227,15 @@ SELECT NUMERO_DE_PEDIDO, try_strptime(
   CASE linea WHEN 3 THEN 'no-date' WHEN 5 THEN strftime(FECHA, '%d/%m/%Y')
              ELSE strftime(FECHA, '%Y-%m-%d %H:%M:%S') END, '%Y-%m-%d %H:%M:%S') AS FECHA
 FROM lines""",
+    "clean_dates_detected": f"""WITH {_LINES}
+SELECT NUMERO_DE_PEDIDO, CASE WHEN linea NOT IN (3, 5) THEN CASE linea WHEN 6 THEN date_trunc('day', FECHA) ELSE FECHA END END AS FECHA
+FROM lines""",
+    "date_format_votes": f"""WITH {_LINES},
+t AS (SELECT linea % 2 = 1 AS a, linea % 2 = 0 AND linea % 3 = 1 AS b, day(FECHA) <= 12 AS low FROM lines)
+SELECT CAST(0 AS BIGINT) AS iso, count(*) FILTER (WHERE a OR (b AND low)) AS mes_dia,
+       count(*) FILTER (WHERE b OR (a AND low)) AS dia_mes,
+       count(*) FILTER (WHERE NOT a AND NOT b) AS puntos
+FROM t""",
     "clean_gestiones": _CLEAN_GESTIONES,
     "filter_allow_list": _filtered(f"EJECUTIVO IN {_SEVEN}"),
     "filter_allow_list_table": _filtered(
@@ -303,6 +312,9 @@ JOIN (SELECT EJECUTIVO, row_number() OVER (ORDER BY {_ORDERS} DESC, EJECUTIVO) A
 SELECT CAST(year(FECHA) * 100 + month(FECHA) AS INTEGER) AS mes, count(*) AS filas, {_ORDERS} AS n,
        CAST(CASE WHEN year(any_value(FECHA)) = 1996 AND month(any_value(FECHA)) = 10 THEN 1 ELSE 0 END AS BIGINT) AS version
 FROM gestiones WHERE NOT (linea = 3 AND year(FECHA) = 1996 AND month(FECHA) = 10) GROUP BY 1""",
+    "deliveries_add_up": f"""WITH {_EVENTOS}
+SELECT TORRE, EJECUTIVO, STATUS_REAL, dia AS Fecha_Dia, {_ORDERS} AS n, count(*) AS filas
+FROM eventos GROUP BY 1, 2, 3, 4""",
     "daily_count_by_tower": _daily("TORRE"),
     "daily_count_by_status": _daily("STATUS_REAL"),
     "daily_count_by_executive": _daily("EJECUTIVO"),

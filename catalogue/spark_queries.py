@@ -29,7 +29,7 @@ from kpiloom.config import DB, SEMANA_MODE, V1, WORKBOOK, KpiFilter
 from kpiloom.functions.calendar_es import MESES, half_month, month_name_of, with_calendar
 from kpiloom.functions.numbers import percent_text, ratio
 from kpiloom.functions.text import child_label
-from kpiloom.operators.clean import clean, filter_allow_list, lenient_timestamp
+from kpiloom.operators.clean import DATE_FORMATS, DETECT, clean, filter_allow_list, format_votes, lenient_timestamp
 from kpiloom.operators.counts import (
     OWN_SPAN,
     count_by,
@@ -44,6 +44,7 @@ from kpiloom.plans import export, options, reports, stored_kpi_cards
 from kpiloom.session import checkpoint_folder
 from kpiloom.sources.naming import normalise_columns
 from kpiloom.sources.snapshot import SnapshotStore
+from kpiloom.streaming.deltas import add_delta, compact_deltas, read_deltas
 from kpiloom.streaming.refresh import daily_windows, month_key, weekly_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +75,30 @@ def clean_dates(spark, folder):
     return rows.select(PEDIDO, lenient_timestamp(rows, FECHA, "yyyy-MM-dd HH:mm:ss").alias(FECHA))
 
 
+def clean_dates_detected(spark, folder):
+    """Dates as day/month/year with and without time, some in ISO form, some broken: the format is found from them."""
+    line = F.col("linea")
+    text = (
+        F.when(line == 3, "no-date")
+        .when(line == 5, F.date_format(FECHA, "yyyy-MM-dd"))
+        .when(line == 6, F.date_format(FECHA, "d/M/yyyy"))
+        .otherwise(F.date_format(FECHA, "dd/MM/yyyy HH:mm:ss"))
+    )
+    rows = views.lines(spark, folder).withColumn(FECHA, text)
+    return rows.select(PEDIDO, lenient_timestamp(rows, FECHA, DETECT).alias(FECHA))
+
+
+def date_format_votes(spark, folder):
+    """How many dates each format reads, where half the rows are month first and a third day first."""
+    line = F.col("linea")
+    text = F.when(line % 2 == 1, F.date_format(FECHA, "MM/dd/yyyy")).when(line % 3 == 1, F.date_format(FECHA, "dd/MM/yyyy"))
+    rows = views.lines(spark, folder).withColumn(FECHA, text.otherwise(F.date_format(FECHA, "dd.MM.yyyy")))
+    named = {f: i for i, f in enumerate(DATE_FORMATS)}
+    votes = F.col("votes")
+    wanted = {"iso": None, "mes_dia": "M/d/yyyy[ H:mm[:ss]]", "dia_mes": "d/M/yyyy[ H:mm[:ss]]", "puntos": "d.M.yyyy[ H:mm[:ss]]"}
+    return format_votes(rows).select(*[votes[named[f]].alias(k) for k, f in wanted.items()])
+
+
 def clean_gestiones(spark, folder):
     line = F.col("linea")
     padded = views.lines(spark, folder).withColumns(
@@ -187,6 +212,18 @@ def snapshot_reload(spark, folder):
     return counts.withColumn("version", F.when(F.col("mes").isin(kept), 0).otherwise(1).cast("bigint"))
 
 
+def deliveries_add_up(spark, folder):
+    """Two streams of batches into one target, compacted in between: the cuboid of all of them."""
+    target, rows = checkpoint_folder(spark, "deltas"), views.eventos(spark, folder)
+    half, part = F.pmod(F.crc32(F.col(EJECUTIVO).cast("binary")), F.lit(2)), F.dayofmonth(FECHA) <= 15
+    for batch, chosen in enumerate((part, ~part)):
+        for stream in (0, 1):
+            add_delta(spark, target, rows.where(chosen & (half == stream)), f"s{stream}", batch)
+        if not batch:
+            compact_deltas(spark, target)
+    return read_deltas(spark, target)
+
+
 def dense(report: Callable[..., DataFrame], key: str) -> Query:
     def run(spark, folder):
         selected = WEEK_35.apply(views.gestiones_measures(spark, folder))
@@ -320,6 +357,8 @@ QUERIES: dict[str, Query] = {
     "scan_gestiones": lambda spark, folder: views.gestiones_raw(spark, folder).select(*REQUIRED),
     "normalise_columns": normalised,
     "clean_dates": clean_dates,
+    "clean_dates_detected": clean_dates_detected,
+    "date_format_votes": date_format_votes,
     "clean_gestiones": clean_gestiones,
     "filter_allow_list": allow_list,
     "filter_allow_list_table": allow_list_table,
@@ -346,6 +385,7 @@ QUERIES: dict[str, Query] = {
     "kpi_cards_stored_week": stored_cards(KpiFilter(mode=SEMANA_MODE, weeks=(35, 40), years=(1996, 1998))),
     "kpi_cards_stored_executives": stored_cards_of_executives,
     "snapshot_reload": snapshot_reload,
+    "deliveries_add_up": deliveries_add_up,
     "daily_count_by_tower": over_measures(daily_counts, TORRE),
     "daily_count_by_status": over_measures(daily_counts, STATUS),
     "daily_count_by_executive": over_measures(daily_counts, EJECUTIVO),

@@ -1,4 +1,4 @@
-from kpiloom.operators.clean import clean, filter_allow_list, lenient_timestamp
+from kpiloom.operators.clean import DETECT, clean, detect_format, filter_allow_list, format_votes, lenient_timestamp
 from kpiloom.operators.counts import (
     count_by,
     daily_counts,
@@ -22,6 +22,9 @@ __all__ = [
     "dense_days",
     "filter_allow_list",
     "filter_date_range",
+    "DETECT",
+    "detect_format",
+    "format_votes",
     "lenient_timestamp",
     "week_span",
     "with_position",

@@ -15,11 +15,53 @@ from kpiloom.config import DB, Profile
 from kpiloom.functions.text import strip
 
 
+# Text formats that a column may be found to have; None is ISO form. The first of those that
+# read equally many values is taken, so a column of days up to 12 throughout is read month first.
+DATE_FORMATS = (
+    None,
+    "M/d/yyyy[ H:mm[:ss]]",
+    "d/M/yyyy[ H:mm[:ss]]",
+    "yyyy/M/d[ H:mm[:ss]]",
+    "M-d-yyyy[ H:mm[:ss]]",
+    "d-M-yyyy[ H:mm[:ss]]",
+    "d.M.yyyy[ H:mm[:ss]]",
+    "yyyyMMdd[ HH:mm[:ss]]",
+)
+DETECT = "detect"  # in place of a text format: the one that reads most of the column
+
+
+def _parsed(text: Column, text_format: str | None) -> Column:
+    if text_format is None:
+        return text.try_cast("timestamp_ntz")
+    return F.try_to_timestamp(text, F.lit(text_format)).cast("timestamp_ntz")
+
+
+def format_votes(df: DataFrame, name: str = FECHA, candidates: Sequence[str | None] = DATE_FORMATS) -> DataFrame:
+    """One row: how many values each candidate reads, in the order given. One aggregate over one column."""
+    text = F.col(name).cast("string")
+    votes = [F.count(_parsed(text, c)) for c in candidates]
+    return df.agg(F.array(*votes).alias("votes"))
+
+
+def detect_format(df: DataFrame, name: str = FECHA, candidates: Sequence[str | None] = DATE_FORMATS) -> str | None:
+    """The candidate that reads most values of a text column; a job over that column.
+
+    A column has one format: values in any other become null when it is applied. Ties go to the
+    candidate named first; ISO form if none reads a value, or the column is no text.
+    """
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return None
+    votes = format_votes(df, name, candidates).first()["votes"]
+    best = max(range(len(candidates)), key=lambda i: (votes[i], -i))
+    return candidates[best] if votes[best] else None
+
+
 def lenient_timestamp(df: DataFrame, name: str = FECHA, text_format: str | None = None) -> Column:
     """The column as zone-less timestamp; what cannot be read becomes null.
 
-    Text is read in ISO form, or in the one ``text_format`` given. A column that is a
-    timestamp already is returned as it is, which keeps its filters on the file scan.
+    Text is read in ISO form, in the one ``text_format`` given, or with ``DETECT`` in the one found
+    in the column. A column that is a timestamp already is returned as it is, which keeps its
+    filters on the file scan.
     """
     column = F.col(name)
     kind = df.schema[name].dataType
@@ -27,9 +69,9 @@ def lenient_timestamp(df: DataFrame, name: str = FECHA, text_format: str | None
         return column
     if isinstance(kind, (T.TimestampType, T.DateType)):
         return column.cast("timestamp_ntz")
-    if text_format is None:
-        return column.cast("string").try_cast("timestamp_ntz")
-    return F.try_to_timestamp(column.cast("string"), F.lit(text_format)).cast("timestamp_ntz")
+    if text_format == DETECT:
+        text_format = detect_format(df, name)
+    return _parsed(column.cast("string"), text_format)
 
 
 def filter_allow_list(df: DataFrame, allowed: Sequence[str] | DataFrame, key: str = EJECUTIVO) -> DataFrame:

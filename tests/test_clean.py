@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kpiloom import DB, WORKBOOK
-from kpiloom.operators.clean import clean, filter_allow_list, lenient_timestamp
+from kpiloom.operators.clean import DETECT, clean, detect_format, filter_allow_list, format_votes, lenient_timestamp
 from kpiloom.sources import normalise_columns, read_delivery, require_columns
 from kpiloom.sources.files import last_modified
 from kpiloom.sources.naming import GESTIONES_SCHEMA
@@ -101,3 +101,45 @@ def test_csv_headers_are_checked_against_a_schema(spark, folder):
 
 def test_fixture_headers_are_the_required_ones(raw):
     assert raw.columns == HEADERS
+
+
+FOUND = [
+    # What is in the column, the format found, and what comes of it.
+    (["2025-08-04 09:00", "2025-08-05", "x"], None, [datetime(2025, 8, 4, 9), datetime(2025, 8, 5), None]),
+    (["08/13/2025", "08/04/2025 10:30"], "M/d/yyyy[ H:mm[:ss]]", [datetime(2025, 8, 13), datetime(2025, 8, 4, 10, 30)]),
+    (["13/08/2025", "4/8/2025 9:05:01"], "d/M/yyyy[ H:mm[:ss]]", [datetime(2025, 8, 13), datetime(2025, 8, 4, 9, 5, 1)]),
+    (["13.08.2025", "14.08.2025"], "d.M.yyyy[ H:mm[:ss]]", [datetime(2025, 8, 13), datetime(2025, 8, 14)]),
+    (["2025/08/04 23:59", None], "yyyy/M/d[ H:mm[:ss]]", [datetime(2025, 8, 4, 23, 59), None]),
+    # A mixed column: one format wins, the others are null.
+    (["13/08/2025", "2025-08-04", "14/08/2025"], "d/M/yyyy[ H:mm[:ss]]", [datetime(2025, 8, 13), None, datetime(2025, 8, 14)]),
+    # Readable either way: the month comes first.
+    (["04/08/2025", "05/09/2025"], "M/d/yyyy[ H:mm[:ss]]", [datetime(2025, 4, 8), datetime(2025, 5, 9)]),
+    # One day past 12 settles it for all.
+    (["04/08/2025", "05/09/2025", "31/12/2025"], "d/M/yyyy[ H:mm[:ss]]", [datetime(2025, 8, 4), datetime(2025, 9, 5), datetime(2025, 12, 31)]),
+    (["no", "", None], None, [None, None, None]),
+]
+
+
+@pytest.mark.parametrize("texts, text_format, expected", FOUND)
+def test_the_format_is_found_from_the_column(spark, texts, text_format, expected):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, FECHA string")
+    assert detect_format(df) == text_format
+    found = df.select("i", lenient_timestamp(df, "FECHA", DETECT).alias("x")).orderBy("i").collect()
+    assert [r["x"] for r in found] == expected
+
+
+def test_votes_are_one_aggregate_over_one_column(spark, raw, folder):
+    raw.write.parquet(f"{folder}/in")
+    votes = format_votes(spark.read.parquet(f"{folder}/in"), "Fecha")
+    plan = votes._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<Fecha:string>" in plan and plan.count("FileScan") == 1
+    assert votes.first()["votes"][0] == 12
+
+
+def test_cleaning_finds_the_format(spark, raw):
+    named = normalise_columns(raw)
+    turned = named.withColumn("FECHA", F.date_format(F.col("FECHA").try_cast("timestamp"), "dd/MM/yyyy HH:mm"))
+    expected = clean(named, WORKBOOK)
+    assert sorted(map(str, clean(turned, WORKBOOK, DETECT).collect())) == sorted(map(str, expected.collect()))
+    typed = named.withColumn("FECHA", F.col("FECHA").try_cast("timestamp_ntz"))
+    assert detect_format(typed) is None and clean(typed, WORKBOOK, DETECT).count() == 9

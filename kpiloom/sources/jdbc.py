@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from datetime import datetime, time
+from itertools import pairwise
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 SETTINGS = ("HOST", "USUARIO", "CONTRASENA", "PUERTO", "BASE_DE_DATOS")
 
 WRITE_BATCH = 1000
+FETCH = 10_000
+# Ends of the names of a table that is being loaded, and of the one it has replaced.
+LOADING, REPLACED = "__carga", "__anterior"
 CONNECTIONS = 16  # open at a time while a table is written
 CONNECT_TIMEOUT_S = 60
 MYSQL_URL = "jdbc:mysql://{host}:{port}/{database}?connectTimeout={timeout_ms}"
@@ -63,7 +68,7 @@ def jdbc_options(
 
 
 def read_options(
-    options: Mapping[str, str], table: str, split: JdbcSplit | None = None, fetch_size: int = 10_000
+    options: Mapping[str, str], table: str, split: JdbcSplit | None = None, fetch_size: int = FETCH
 ) -> dict[str, str]:
     # A zone-less time stays as the database has it, whatever zones the JVM and the session are in.
     found = {**options, "dbtable": table, "fetchsize": str(fetch_size), "preferTimestampNTZ": "true"}
@@ -76,14 +81,66 @@ def read_table(
     spark: SparkSession,
     options: Mapping[str, str],
     table: str,
-    split: JdbcSplit | None = None,
-    fetch_size: int = 10_000,
+    split: JdbcSplit | Sequence[str] | None = None,
+    fetch_size: int = FETCH,
 ) -> DataFrame:
     """Scan a table; simple filters and the column list travel to the database.
 
-    Without ``split`` one connection reads everything, which only suits small tables.
+    ``split`` cuts the scan into parallel ranges of equal width, or into the predicates given (see
+    ``equal_ranges``). Without it one connection reads everything, which only suits small tables.
     """
-    return spark.read.format("jdbc").options(**read_options(options, table, split, fetch_size)).load()
+    if split is None or isinstance(split, JdbcSplit):
+        return spark.read.format("jdbc").options(**read_options(options, table, split, fetch_size)).load()
+    found = read_options(options, table, None, fetch_size)
+    return spark.read.jdbc(found.pop("url"), found.pop("dbtable"), predicates=list(split), properties=found)
+
+
+def hours_query(table: str, column: str) -> str:
+    """Rows per day and hour of a time column: an aggregate the database makes, bounded by the calendar."""
+    day, hour = f"CAST({column} AS DATE)", f"EXTRACT(HOUR FROM {column})"
+    return f"(SELECT {day} AS dia, {hour} AS hora, COUNT(*) AS n FROM {table} GROUP BY {day}, {hour}) horas"
+
+
+def cut_points(hours: Sequence[tuple[datetime, int]], partitions: int) -> list[datetime]:
+    """Where to cut ascending hours so that ranges hold about equally many rows.
+
+    A range ends before the hour that would take it further past its share than it lacks now. An hour
+    is not cut: one that holds more than a share makes a range of its own.
+    """
+    left, parts = sum(n for _, n in hours), partitions
+    cuts: list[datetime] = []
+    held = 0
+    for hour, n in hours:
+        share = (left + held) / parts
+        if held and parts > 1 and held + n - share > share - held:
+            cuts.append(hour)
+            parts, held = parts - 1, 0
+        held += n
+        left -= n
+    return cuts
+
+
+def range_predicates(column: str, cuts: Sequence[datetime]) -> list[str]:
+    """Predicates that part the rows at the cuts; rows without a time go with the first."""
+    texts = [f"TIMESTAMP '{c:%Y-%m-%d %H:%M:%S}'" for c in cuts]
+    if not texts:
+        return ["1 = 1"]
+    first = f"{column} < {texts[0]} OR {column} IS NULL"
+    inner = [f"{column} >= {lo} AND {column} < {hi}" for lo, hi in pairwise(texts)]
+    return [first, *inner, f"{column} >= {texts[-1]}"]
+
+
+def equal_ranges(
+    spark: SparkSession, options: Mapping[str, str], table: str, column: str, partitions: int = CONNECTIONS
+) -> list[str]:
+    """Predicates for ``read_table`` whose ranges hold about equally many rows, found from the table itself.
+
+    Ranges of equal width, as the caller's bounds would give, put a busy season into one task.
+    """
+    counted = read_table(spark, options, hours_query(table, column))
+    rows = counted.where("dia IS NOT NULL").select("dia", "hora", "n").collect()  # a row an hour at most
+    hours = sorted((datetime.combine(r["dia"], time(int(r["hora"]))), int(r["n"])) for r in rows)
+    return range_predicates(column, cut_points(hours, partitions))
 
 
 def write_options(
@@ -95,6 +152,39 @@ def write_options(
     return found
 
 
+class Statements:
+    """Statements that Spark's connector has no way to send, over one connection of the driver's."""
+
+    def __init__(self, spark: SparkSession, options: Mapping[str, str]):
+        jvm = spark._jvm
+        properties = jvm.java.util.Properties()
+        for name in ("user", "password"):
+            if name in options:
+                properties.setProperty(name, options[name])
+        if "driver" in options:
+            # By Spark's class loader, which knows the jars the session was given.
+            loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
+            none = spark._sc._gateway.new_array(jvm.java.lang.Class, 0)
+            found = jvm.java.lang.Class.forName(options["driver"], True, loader).getDeclaredConstructor(none)
+            driver = found.newInstance(spark._sc._gateway.new_array(jvm.java.lang.Object, 0))
+            self.connection = driver.connect(options["url"], properties)
+        else:
+            self.connection = jvm.java.sql.DriverManager.getConnection(options["url"], properties)
+
+    def has_table(self, name: str) -> bool:
+        return self.connection.getMetaData().getTables(self.connection.getCatalog(), None, name, None).next()
+
+    def run(self, statement: str) -> None:
+        prepared = self.connection.createStatement()
+        try:
+            prepared.execute(statement)
+        finally:
+            prepared.close()
+
+    def close(self) -> None:
+        self.connection.close()
+
+
 def replace_table(
     df: DataFrame,
     options: Mapping[str, str],
@@ -102,9 +192,23 @@ def replace_table(
     batch_size: int = WRITE_BATCH,
     connections: int | None = CONNECTIONS,
 ) -> None:
-    """Drop, recreate and fill the lower-cased table, one connection per partition.
+    """Fill a new table beside the lower-cased one, then let it take the name in one statement.
 
-    ``connections`` bounds how many the database has to serve at once.
+    Readers see the old table or the new one, never half of either: MySQL's RENAME TABLE swaps
+    both names at once. If the load breaks off, the old table stays as it was, and what was loaded is
+    dropped by the next load. ``connections`` bounds how many the database has to serve at once.
     """
-    found = write_options(options, table, batch_size, connections)
+    name = table.lower()
+    fresh, old = f"{name}{LOADING}", f"{name}{REPLACED}"
+    found = write_options(options, fresh, batch_size, connections)
     df.write.format("jdbc").options(**found).mode("overwrite").save()
+    statements = Statements(df.sparkSession, options)
+    try:
+        if statements.has_table(name):
+            statements.run(f"DROP TABLE IF EXISTS {old}")  # of a load that broke off after its swap
+            statements.run(f"RENAME TABLE {name} TO {old}, {fresh} TO {name}")
+            statements.run(f"DROP TABLE IF EXISTS {old}")
+        else:
+            statements.run(f"RENAME TABLE {fresh} TO {name}")
+    finally:
+        statements.close()

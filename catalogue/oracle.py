@@ -5,6 +5,8 @@ They state each result independently of the engine: no shared helper builds both
 
 from __future__ import annotations
 
+from datetime import date
+
 # --- the model's views ---------------------------------------------------------------
 
 _LINES = """
@@ -150,20 +152,30 @@ SELECT {columns} FROM (
 
 
 _BEST = f"EJECUTIVO IN {_SEVEN}"
-_WEEK_35 = "SELECT *, strftime(dia, '%d-%m-%Y') AS h FROM gestiones WHERE weekofyear(FECHA) = 35"
+_WEEK_35 = "SELECT * FROM gestiones WHERE weekofyear(FECHA) = 35"
+
+# The days of week 35 of the years 1995 to 2001: a column each, present or not.
+_DAYS_35 = [date.fromisocalendar(year, 35, day) for year in range(1995, 2002) for day in range(1, 8)]
+
 
-_DAILY_WIDE = f"""PIVOT (WITH {_GESTIONES}, w AS ({_WEEK_35}),
-c AS (SELECT CASE WHEN GROUPING(TORRE) = 1 THEN 'Total General' ELSE TORRE END AS TORRE, h, {_ORDERS} AS n,
-             CAST(GROUPING(TORRE) AS BIGINT) AS level
-      FROM w GROUP BY GROUPING SETS ((TORRE, h), (h)))
-SELECT TORRE, h, n, CAST(sum(n) OVER (PARTITION BY TORRE, level) AS BIGINT) AS total, level FROM c)
-ON h USING CAST(coalesce(sum(n), 0) AS BIGINT) GROUP BY TORRE, total, level"""
+def _wide(cell: str) -> str:
+    return ",\n".join(f"{cell.format(f'DATE {d.isoformat()!r}')} AS \"{d:%d-%m-%Y}\"" for d in _DAYS_35)
 
-_RESOLUTION_WIDE = f"""PIVOT (WITH {_GESTIONES}, w AS ({_WEEK_35}),
-c AS (SELECT EJECUTIVO, h, {_CORRECTED} AS co, {_ORDERS} AS n FROM w GROUP BY 1, 2)
-SELECT EJECUTIVO, h, printf('%.0f%%', 100 * coalesce(co::DOUBLE / nullif(n, 0), 0.0)) AS p,
-       CAST(sum(n) OVER (PARTITION BY EJECUTIVO) AS BIGINT) AS total FROM c)
-ON h USING coalesce(any_value(p), '0%') GROUP BY EJECUTIVO, total"""
+
+_DAILY_WIDE = f"""WITH {_GESTIONES}, w AS ({_WEEK_35})
+SELECT CASE WHEN GROUPING(TORRE) = 1 THEN 'Total General' ELSE TORRE END AS TORRE,
+{_wide("count(NUMERO_DE_PEDIDO) FILTER (WHERE dia = {})")},
+{_ORDERS} AS total, CAST(GROUPING(TORRE) AS BIGINT) AS level
+FROM w GROUP BY GROUPING SETS ((TORRE), ()) HAVING count(*) > 0"""
+
+_SHARE_OF_DAY = (
+    "printf('%.0f%%', 100 * coalesce((count(NUMERO_DE_PEDIDO) FILTER (WHERE dia = {0} AND STATUS_REAL = 'Corregido'))::DOUBLE"
+    " / nullif(count(NUMERO_DE_PEDIDO) FILTER (WHERE dia = {0}), 0), 0.0))"
+)
+_RESOLUTION_WIDE = f"""WITH {_GESTIONES}, w AS ({_WEEK_35})
+SELECT EJECUTIVO,
+{_wide(_SHARE_OF_DAY)},
+{_ORDERS} AS total FROM w GROUP BY 1"""
 
 
 def _dense_totals(key: str) -> str:
@@ -323,6 +335,14 @@ FROM eventos GROUP BY 1, 2, 3, 4""",
     "daily_totals_by_executive": _daily_totals("EJECUTIVO"),
     "daily_totals_by_tower_workbook": _daily_totals("TORRE", grand=False),
     "daily_wide_by_tower": _DAILY_WIDE,
+    "daily_wide_of_days_found": _over_gestiones(f"""
+, d AS (SELECT DISTINCT dia FROM gestiones),
+k AS (SELECT CASE WHEN GROUPING(TORRE) = 1 THEN 'Total General' ELSE TORRE END AS TORRE, {_ORDERS} AS total,
+             CAST(GROUPING(TORRE) AS BIGINT) AS level FROM gestiones GROUP BY GROUPING SETS ((TORRE), ())),
+c AS (SELECT CASE WHEN GROUPING(TORRE) = 1 THEN 'Total General' ELSE TORRE END AS TORRE, dia, {_ORDERS} AS n,
+             CAST(GROUPING(TORRE) AS BIGINT) AS level FROM gestiones GROUP BY GROUPING SETS ((TORRE, dia), (dia)))
+SELECT k.TORRE, k.total, k.level, strftime(d.dia, '%d-%m-%Y') AS dia, coalesce(c.n, 0) AS n
+FROM k CROSS JOIN d LEFT JOIN c ON c.TORRE = k.TORRE AND c.level = k.level AND c.dia = d.dia"""),
     "daily_dense_by_tower": _dense("TORRE"),
     "daily_dense_by_status": _dense("STATUS_REAL"),
     "daily_dense_by_executive": _dense("EJECUTIVO"),

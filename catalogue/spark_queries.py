@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,6 +53,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 EVENT_PROFILES = {p.name: p.with_rules(min_month=1) for p in (DB, WORKBOOK, V1)}
 HALF_OF_JANUARY = ("2024-01-05", "2024-01-10")
 WEEK_35 = KpiFilter(mode=SEMANA_MODE, weeks=(35,))
+DAYS_OF_WEEK_35 = [date.fromisocalendar(year, 35, day) for year in range(1995, 2002) for day in range(1, 8)]
 MONTHS_IN_SCOPE = MESES[DB.min_month - 1 :]
 COMBINED = KpiFilter(months=("Agosto", "Diciembre"), fortnight=1, towers=("ASIA", "EUROPE"))
 
@@ -247,14 +249,22 @@ def daily_dense_span_of_all(spark, folder):
 
 
 def daily_wide_by_tower(spark, folder):
-    """Week 35 of every year; the columns are the days found."""
+    """Week 35 of each year; a column for each of its days, whether it has orders or not."""
     selected = WEEK_35.apply(views.gestiones_measures(spark, folder))
-    return reports.daily_wide(selected, TORRE, reports.active_days(selected))
+    return reports.daily_wide(selected, TORRE, DAYS_OF_WEEK_35)
 
 
 def resolution_wide(spark, folder):
     selected = WEEK_35.apply(views.gestiones_measures(spark, folder))
-    return reports.resolution_wide(selected, reports.active_days(selected))
+    return reports.resolution_wide(selected, DAYS_OF_WEEK_35)
+
+
+def daily_wide_of_days_found(spark, folder):
+    """All days there are, over a thousand columns; given back as the rows they came from, for SQL to check."""
+    wide = reports.daily_wide(views.gestiones_measures(spark, folder), TORRE)
+    headers = [c for c in wide.columns if c not in (TORRE, "total", reports.LEVEL)]
+    cells = F.map_from_arrays(F.array(*map(F.lit, headers)), F.array(*[F.col(f"`{h}`") for h in headers]))
+    return wide.select(TORRE, "total", reports.LEVEL, F.explode(cells).alias("dia", N))
 
 
 def monthly_counts(spark, folder):
@@ -394,6 +404,7 @@ QUERIES: dict[str, Query] = {
     "daily_totals_by_executive": over_measures(daily_totals, EJECUTIVO),
     "daily_totals_by_tower_workbook": over_measures(daily_totals, TORRE, WORKBOOK.grand_total),
     "daily_wide_by_tower": daily_wide_by_tower,
+    "daily_wide_of_days_found": daily_wide_of_days_found,
     "daily_dense_by_tower": dense(daily_counts, TORRE),
     "daily_dense_by_status": dense(daily_counts, STATUS),
     "daily_dense_by_executive": dense(daily_counts, EJECUTIVO),

@@ -3,10 +3,10 @@ stated, and carry what a sink needs to sort them (``dashboard_orders`` lists the
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -32,6 +32,7 @@ from kpiloom.operators.counts import (
     CORREGIDAS,
     TOTAL,
     count_by,
+    daily_totals,
     orders,
     orders_with_status,
 )
@@ -135,44 +136,66 @@ def _headers(days: Sequence[date]) -> list[str]:
     return [f"{d:%d-%m-%Y}" for d in days]
 
 
-def daily_wide(measures: DataFrame, key: str, days: Sequence[date], grand_total: bool = True) -> DataFrame:
-    """One column per day and the total over all days; last a total row if asked for."""
-    headers = _headers(days)
-    # Days become columns in the same aggregation that forms the total row.
-    columns = [
-        F.sum(F.when(F.col(DIA) == F.lit(d), F.col(N)).otherwise(0)).alias(h)
-        for d, h in zip(days, headers, strict=True)
-    ]
-    sets = [[key], []] if grand_total else [[key]]
-    rows = count_by(measures, key, DIA).groupingSets(sets, key).agg(
-        *columns, orders().alias(TOTAL), F.grouping_id().alias("_id")
+def _found_days(counts: DataFrame, days: Sequence[date] | None) -> tuple[DataFrame, Sequence[date]]:
+    """The counts and the days of a wide table; those present if none are given.
+
+    Then the counts are written down, so that finding their days does not read the detail again.
+    """
+    if days is not None:
+        return counts, days
+    counts = cut_lineage(counts)
+    return counts, active_days(counts.where(F.col(DIA).isNotNull()))
+
+
+def _by_day(value: Column) -> Column:
+    """The values of a group by day, as one map; a group has a row a day at most."""
+    return F.map_from_entries(F.collect_list(F.when(F.col(DIA).isNotNull(), F.struct(DIA, value))))
+
+
+def _day_columns(rows: DataFrame, days: Sequence[date], cell: Callable[[Column], Column]) -> tuple[DataFrame, list[Column]]:
+    """A column for each day, made of what the group's map holds for it, or null.
+
+    The cells are one expression over the list of days, and the columns its elements: neither the
+    aggregation nor the code that Spark generates grows with the days.
+    """
+    listed = F.array(*[F.lit(d) for d in days]).cast("array<date>")
+    cells = rows.withColumn("_cells", F.transform(listed, lambda d: cell(F.try_element_at(F.col("_by_day"), d))))
+    return cells, [F.col("_cells")[i].alias(h) for i, h in enumerate(_headers(days))]
+
+
+def daily_wide(
+    measures: DataFrame, key: str, days: Sequence[date] | None = None, grand_total: bool = True
+) -> DataFrame:
+    """One column per day and the total over all days; last a total row if asked for.
+
+    Without ``days`` the columns are the days present, which are found while the frame is built.
+    Counts are combined per key and day before they become map entries, then columns.
+    """
+    totals = daily_totals(measures, key, grand_total)
+    counts, days = _found_days(totals.withColumn(LEVEL, (F.col(LEVEL) >= 2).cast("bigint")), days)
+    rows = counts.groupBy(key, LEVEL).agg(
+        _by_day(F.col(N)).alias("_by_day"), F.sum(F.when(F.col(DIA).isNull(), F.col(N))).alias(TOTAL)
     )
-    rows = rows.filter(F.col(TOTAL).isNotNull())
-    label = F.when(F.col("_id") == 1, TOTAL_GENERAL).otherwise(F.col(key))
-    return rows.select(label.alias(key), *headers, TOTAL, F.col("_id").cast("bigint").alias(LEVEL))
+    cells, columns = _day_columns(rows, days, lambda n: F.coalesce(n, F.lit(0).cast("bigint")))
+    return cells.select(key, *columns, TOTAL, LEVEL)
 
 
 def daily_wide_order(key: str):
     return [F.asc(LEVEL), F.desc(TOTAL), F.asc(key)]
 
 
-def resolution_wide(measures: DataFrame, days: Sequence[date], key: str = EJECUTIVO) -> DataFrame:
-    """Percent texts per day, ``0%`` where nothing was handled, and the count of orders."""
-    counts = measures.groupBy(key, DIA).agg(
-        orders_with_status(CORREGIDO).alias(CORREGIDAS), orders().alias(N)
-    )
-    sums = [
-        F.sum(F.when(F.col(DIA) == F.lit(d), F.col(c)).otherwise(0)).alias(f"{c} {i}")
-        for i, d in enumerate(days)
-        for c in (CORREGIDAS, N)
-    ]
-    rows = counts.groupBy(key).agg(*sums, orders().alias(TOTAL))
-    # Texts are made last, one for each cell, so that only numbers are aggregated.
-    cells = [
-        percent_text(ratio(F.col(f"{CORREGIDAS} {i}"), F.col(f"{N} {i}")), 0).alias(h)
-        for i, h in enumerate(_headers(days))
-    ]
-    return rows.select(key, *cells, TOTAL)
+def resolution_wide(measures: DataFrame, days: Sequence[date] | None = None, key: str = EJECUTIVO) -> DataFrame:
+    """Percent texts per day, ``0%`` where nothing was handled, and the count of orders.
+
+    ``days`` as in ``daily_wide``. Texts are made last, one for each cell, so that only numbers
+    are moved.
+    """
+    counts = measures.groupBy(key, DIA).agg(orders_with_status(CORREGIDO).alias(CORREGIDAS), orders().alias(N))
+    counts, days = _found_days(counts, days)
+    share = ratio(F.col(CORREGIDAS), F.col(N))
+    rows = counts.groupBy(key).agg(_by_day(share).alias("_by_day"), orders().alias(TOTAL))
+    cells, columns = _day_columns(rows, days, lambda p: percent_text(F.coalesce(p, F.lit(0.0)), 0))
+    return cells.select(key, *columns, TOTAL)
 
 
 # --- headline indicators -------------------------------------------------------------

@@ -193,6 +193,19 @@ def test_daily_wide(measures):
     assert reports.daily_wide(measures, "TORRE", days, grand_total=False).count() == 2
 
 
+def test_wide_tables_find_their_days(measures):
+    days = reports.active_days(measures)
+    for given, found in (
+        (reports.daily_wide(measures, "TORRE", days), reports.daily_wide(measures, "TORRE")),
+        (reports.resolution_wide(measures, days), reports.resolution_wide(measures)),
+    ):
+        assert given.columns == found.columns and sorted(map(str, given.collect())) == sorted(map(str, found.collect()))
+    some = reports.daily_wide(measures, "TORRE", days[:2]).orderBy(*reports.daily_wide_order("TORRE")).collect()
+    assert [r["total"] for r in some][-1] == 8 and len(some[0]) == 5  # totals are over all days
+    none = reports.daily_wide(measures.filter("false"), "TORRE")
+    assert none.columns == ["TORRE", "total", "level"] and none.isEmpty()
+
+
 def test_days_between(measures):
     assert len(reports.days_between(week_span(WEEK_32.apply(measures)))) == 371
     assert reports.days_between(week_span(measures.filter("false"))) == []

@@ -83,6 +83,29 @@ def test_detail_is_scanned_once(spark, report, folder):
     assert len(scans) == 1
 
 
+@pytest.mark.parametrize("wide", [lambda m: reports.daily_wide(m, "TORRE"), reports.resolution_wide])
+def test_wide_tables_of_many_days_scan_once_and_generate_little(spark, wide, folder):
+    """1,014 days: found in the job that counts, and no expression for each of them before the last step."""
+    days = F.explode(F.sequence(F.lit("2022-01-01").cast("date"), F.lit("2024-10-10").cast("date"))).alias("d")
+    rows = spark.range(3).select(days, F.concat(F.lit("e"), "id").alias("EJECUTIVO"))
+    rows = rows.withColumn("FECHA", F.col("d").cast("timestamp_ntz")).drop("d")
+    rows = rows.selectExpr("*", "'p' AS NUMERO_DE_PEDIDO", "'Corregido' AS STATUS_REAL", "EJECUTIVO AS TORRE")
+    rows.write.parquet(f"{folder}/detail")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    detail = spark.read.parquet(f"{folder}/detail").mapInArrow(count, spark.read.parquet(f"{folder}/detail").schema)
+    found = wide(as_measures(detail))
+    assert len(found.columns) in (1014 + 2, 1014 + 3)
+    assert found.count() in (3, 4) and seen.value == 3 * 1014  # read once, also by the actions that follow
+    aggregates = [x for x in plan_of(found).splitlines() if "Aggregate(" in x]
+    assert aggregates and max(map(len, aggregates)) < 2000
+
+
 def test_columns_and_filters_reach_the_scan(spark, folder):
     views.gestiones(spark, FOLDER).withColumn("NOTA", F.lit("x")).write.parquet(f"{folder}/detail")
     detail = spark.read.parquet(f"{folder}/detail")

@@ -65,18 +65,6 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def sample_by_hash(df: DataFrame, rows: int, key: Column, seed: int) -> DataFrame:
-    """About `rows` rows (never more than 2 * rows) chosen by a hash of `key`, all if there are fewer.
-
-    For fitting classifiers only. The choice follows the key alone, so it is the same on
-    every run and however the rows are partitioned.
-    """
-    total = df.count()
-    share = min(1.0, rows / max(total, 1))
-    hashed = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30))
-    return df.where(hashed < int(share * (1 << 30)) + 1).limit(2 * rows)
-
-
 def pieces_of(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch cut so that `column` has at most `most` bytes in each piece, or one row."""
     sizes = [0 if v is None else v for v in pc.binary_length(batch.column(column)).to_pylist()]

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiloom.llm.common import crc_fold, pieces_of, with_row_id
+from kpiloom.llm.common import crc_fold, pieces_of
 from kpiloom.llm.flat import text_bytes
 
 HIDDEN = 8
@@ -195,25 +195,32 @@ class ByteTagger:
         return total / np.maximum(sizes, 1)[:, None]
 
 
-def train(documents: DataFrame, usable: Column, per_language: int = 1500, seed: int = 3) -> ByteTagger | None:
+def train(
+    documents: DataFrame, usable: Column, per_language: int = 1500, seed: int = 3, most_languages: int = 64
+) -> ByteTagger | None:
     """Fit on at most 2 * `per_language` windows of FIT_WINDOW bytes for each language (None without any).
 
-    Each window is cut from a row chosen by a hash, at a place chosen by a hash. The bound is
-    this parameter times the number of languages; predictions then cover all rows and bytes.
+    Learned are the `most_languages` languages of most rows, of equal ones those that sort first, so the sample is
+    bounded by the parameters. Each window is cut from a text chosen by a hash of doc_id and text, at a place
+    chosen by a hash, whatever the splits; predictions then cover all rows and bytes.
     """
-    rows = with_row_id(documents.where(usable & F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).select("lang", "text"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = documents.where(usable & F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).select(
+        "lang", "text", F.xxhash64("doc_id", "text", F.lit(seed)).alias("key")
+    )
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    counts = {r["lang"]: r["count"] for r in most}
     if not counts:
         return None
     languages = sorted(counts)
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * per_language / n))])
-    hashed = F.pmod(F.xxhash64("_row", F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    place = F.pmod(F.xxhash64("_row", F.lit(seed + 1)), F.greatest(F.length("text") - FIT_WINDOW + 1, F.lit(1)))
+    hashed = F.pmod("key", F.lit(1 << 20)) / F.lit(float(1 << 20))
+    place = F.pmod(F.xxhash64("key", F.lit(seed + 1)), F.greatest(F.length("text") - FIT_WINDOW + 1, F.lit(1)))
     taken = (
-        rows.where(hashed < share[F.col("lang")])
-        .select("lang", F.substring(F.col("text"), (place + 1).cast("int"), F.lit(FIT_WINDOW)).alias("text"))
+        rows.where(F.col("lang").isin(languages) & (hashed < share[F.col("lang")]))
+        .select("lang", "key", F.substring(F.col("text"), (place + 1).cast("int"), F.lit(FIT_WINDOW)).alias("text"))
         .limit(2 * per_language * len(languages))
         .toArrow()
+        .sort_by([("key", "ascending"), ("text", "ascending")])
     )
     windows = np.full((len(taken), FIT_WINDOW), PAD, np.int64)
     for i, text in enumerate(taken.column("text").to_pylist()):

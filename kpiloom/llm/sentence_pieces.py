@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import re
 from array import array
+from bisect import insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -33,11 +34,12 @@ from kpiloom.llm.flat import span_hashes, text_bytes
 # Where the public vocabulary lies; tasks read it, it is never copied.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"  # fixed value: how vocabularies of this kind write a space
-# Of equal scores the segmentation of fewer pieces wins: each piece costs this much besides.
+# Of equal scores the segmentation of fewer pieces wins: each piece costs this much besides. Scores
+# are held as multiples of it, so sums are exact in whatever order they are made, and ties are ties.
 COST = 2.0**-20
 UNKNOWN_BELOW = 10.0  # a character without a piece scores this much less than the worst usual piece
 USUAL = -1e6  # pieces scored lower are for special use
-LONG_WORD = 256  # longer ones are worked off one by one
+LONG_WORD = 256  # longer ones are searched one by one and not side by side, with the same results
 CACHED_WORDS = 50_000
 GATHERED = 4 << 20  # bytes of text whose distinct words are worked off together
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -100,7 +102,7 @@ class Vocabulary:
         self.pieces = [reader.id_to_piece(i) for i in range(size)]
         special = [reader.is_control(i) or reader.is_unknown(i) or reader.is_unused(i) or reader.is_byte(i) for i in range(size)]
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if reader.is_byte(i)}
-        self.score = {p: (reader.get_score(i), i) for i, p in enumerate(self.pieces) if not special[i]}
+        self.score = {p: (round(reader.get_score(i) / COST) * COST, i) for i, p in enumerate(self.pieces) if not special[i]}
         if any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in self.score):
             raise ValueError("pieces that run over the end of a word are not supported")
         self.longest = max(map(len, self.score))
@@ -164,66 +166,54 @@ class Vocabulary:
             ids.extend(self.spell(word[begin]) if piece < 0 else (piece,))
         return np.array(ids, np.int32)
 
-    def forward(self, word: str) -> tuple[list[float], list[list[tuple[int, float, int]]]]:
-        """Best score up to each place, and the edges that end there."""
-        best, ending = [0.0], [[]]
+    def forward(self, word: str) -> array:
+        """The best score up to each place."""
+        best = array("d", [0.0])
         for end in range(1, len(word) + 1):
-            edges = self.edges(word, end)
-            ending.append(edges)
-            best.append(max(best[begin] + s for begin, s, _ in edges))
-        return best, ending
+            best.append(max(best[begin] + s for begin, s, _ in self.edges(word, end)))
+        return best
 
     def n_best(self, word: str, n: int) -> list[tuple[float, np.ndarray]]:
-        """The n best segmentations of a word: A* from its end, with the forward scores as the estimate."""
-        if len(word) > LONG_WORD:
-            return self._n_best_long(word, n)
-        best, ending = self.forward(word)
-        found, count = [], 0
-        queue = [(-best[-1], 0, len(word), 0.0, None)]
-        while queue and len(found) < n:
-            _, _, place, behind, path = heapq.heappop(queue)
+        """The n best segmentations of a word: A* from its end, with the forward scores as the estimate.
+
+        Of equal scores the one whose first piece is longer comes first, then the second, and so on.
+        A state is a place and the way from there to the end. Among equal estimates states further back
+        go first; so when a place's turn comes all ways from it that tie are in the queue, and they
+        leave in the order of the rule: by where their first piece ends, then by the rank of the rest.
+        A place is left at most n times, as no more ways from it can be among the n best, so
+        ties of any number do not widen the search.
+        """
+        best, length = self.forward(word), len(word)
+        left: dict[int, list[tuple[int, int, int, float]]] = {}  # by place: next place, rank there, piece, score behind
+        held: dict[int, list[tuple[float, int, int]]] = {}  # by place: the n best ways met so far
+        queue = [(-best[length], -length, 0, 0, 0.0, 0)]
+        while queue:
+            _, place, after, rank, behind, piece = heapq.heappop(queue)
+            place, after = -place, -after
+            ways = left.setdefault(place, [])
+            if len(ways) == n:
+                continue
+            ways.append((after, rank, piece, behind))
             if place == 0:
-                cuts = []
-                while path:
-                    cuts.append(path[0])
-                    path = path[1]
-                found.append((behind, self.expand(word, cuts)))
+                if len(ways) == n:
+                    break
                 continue
-            for begin, s, piece in ending[place]:
-                count += 1
+            own = len(ways) - 1
+            for begin, s, edge in self.edges(word, place):
                 total = behind + s
-                heapq.heappush(queue, (-(best[begin] + total), count, begin, total, ((begin, place, piece), path)))
-        return found
-
-    def _n_best_long(self, word: str, n: int) -> list[tuple[float, np.ndarray]]:
-        """The same by a forward pass that keeps the n best ways up to each place.
-
-        A queue of ways grows over all orders of equal pieces; this takes n numbers a place whatever the ties.
-        """
-        held = self.longest + 1
-        scores: list[list[float]] = [[0.0], *([[]] * self.longest)]  # of the last places, by their rest
-        begins, ranks, pieces = array("q", [0] * n), array("i", [0] * n), array("i", [0] * n)
-        for end in range(1, len(word) + 1):
-            ways = [
-                (-(score + s), begin, rank, piece)
-                for begin, s, piece in self.edges(word, end)
-                for rank, score in enumerate(scores[begin % held])
-            ]
-            ways.sort()  # an edge that begins earlier wins a tie
-            del ways[n:]
-            scores[end % held] = [-way[0] for way in ways]
-            ways += [(0.0, 0, 0, 0)] * (n - len(ways))
-            begins.extend(way[1] for way in ways)
-            ranks.extend(way[2] for way in ways)
-            pieces.extend(way[3] for way in ways)
+                way, known = (-total, -place, own), held.setdefault(begin, [])
+                if len(known) < n or way < known[-1]:
+                    insort(known, way)
+                    del known[n:]
+                    heapq.heappush(queue, (-(best[begin] + total), -begin, -place, own, total, edge))
         found = []
-        for rank, score in enumerate(scores[len(word) % held]):
-            cuts, place = [], len(word)
-            while place:
-                at = place * n + rank
-                cuts.append((begins[at], place, pieces[at]))
-                place, rank = begins[at], ranks[at]
-            found.append((score, self.expand(word, cuts[::-1])))
+        for after, rank, piece, score in left.get(0, []):
+            cuts, place = [], 0
+            while place < length:
+                cuts.append((place, after, piece))
+                place = after
+                after, rank, piece, _ = left[place][rank]
+            found.append((score, self.expand(word, cuts)))
         return found
 
     def two_best(self, words: Words) -> Ways:
@@ -256,13 +246,14 @@ class Vocabulary:
         prefix = np.zeros((length + 1, n), np.uint64)
         for i in range(length):
             prefix[i + 1] = prefix[i] * _BASE + codes[i]
+        # From each place on: the best and second best score to the end, and the first piece of the best way.
         first, second = np.full((2, length + 1, n), -np.inf)
-        first[0] = 0
-        taken = np.zeros((length + 1, n), np.int8)  # length of the last piece of the best way here
+        first[length] = 0
+        taken = np.zeros((length + 1, n), np.int8)
         piece = np.full((length + 1, n), -1, np.int32)
         widths = np.where(letters < 0x80, 1, np.where(letters < 0x800, 2, np.where(letters < 0x10000, 3, 4)))
         powers = [np.uint64(pow(int(_BASE), size + 1, 1 << 64)) for size in range(min(length, self.longest))]
-        edges = []  # by size: where the edges of each end begin, their lanes, scores and ids
+        edges = []  # by size: where the edges of each place begin, their lanes, scores and ids
         for size in range(1, min(length, self.longest) + 1):
             h = (prefix[size:] - prefix[:-size] * powers[size - 1]).ravel() * _SPREAD
             maybe = np.flatnonzero(self.there[(h >> np.uint64(44)).astype(np.int64)])
@@ -280,28 +271,27 @@ class Vocabulary:
                 ids = np.concatenate([ids, np.full(len(rest), -1)])[order]
             cut = np.searchsorted(maybe, np.arange(length - size + 2) * n)
             edges.append((cut.tolist(), maybe % n, score, ids))
-        for end in range(1, length + 1):
-            for size in range(1, min(end, self.longest) + 1):
+        for begin in range(length - 1, -1, -1):
+            for size in range(1, min(length - begin, self.longest) + 1):
                 cut, lane, score, ids = edges[size - 1]
-                begin = end - size
                 part = slice(cut[begin], cut[begin + 1])
                 lane, score, ids = lane[part], score[part], ids[part]
                 if not len(lane):
                     continue
-                one, two = first[begin, lane] + score, second[begin, lane] + score
-                have = first[end, lane]
-                # An edge that begins earlier wins a tie, as in `n_best`, which meets it first.
+                one, two = first[begin + size, lane] + score, second[begin + size, lane] + score
+                have = first[begin, lane]
+                # The longer piece wins a tie, as in `n_best`.
                 wins = one >= have
-                second[end, lane] = np.where(wins, np.maximum(have, two), np.maximum(one, second[end, lane]))
+                second[begin, lane] = np.where(wins, np.maximum(have, two), np.maximum(one, second[begin, lane]))
                 lane = lane[wins]
-                first[end, lane] = one[wins]
-                taken[end, lane] = size
-                piece[end, lane] = ids[wins]
-        place, lanes, columns = np.full(n, length), np.arange(n), []
-        while place.any():
-            columns.append(np.where(place > 0, piece[place, lanes], -2))
-            place = place - np.where(place > 0, taken[place, lanes], 0)
-        table = np.array(columns)[::-1].T
+                first[begin, lane] = one[wins]
+                taken[begin, lane] = size
+                piece[begin, lane] = ids[wins]
+        place, lanes, columns = np.zeros(n, np.int64), np.arange(n), []
+        while (place < length).any():
+            columns.append(np.where(place < length, piece[place, lanes], -2))
+            place = place + taken[place, lanes]
+        table = np.array(columns).T
         flat, sizes = table[table != -2], (table != -2).sum(axis=1)
         if (flat < 0).any():
             # Characters without a piece are spelled in bytes; few words have one.
@@ -309,7 +299,7 @@ class Vocabulary:
             for lane in np.flatnonzero((table == -1).any(axis=1)).tolist():
                 ways[lane] = self._spelled(words.text(who[lane]), ways[lane])
             flat, sizes = np.concatenate(ways), np.array([len(w) for w in ways])
-        return first[length], second[length], sizes, flat.astype(np.int32)
+        return first[0], second[0], sizes, flat.astype(np.int32)
 
     def _spelled(self, word: str, ids: np.ndarray) -> np.ndarray:
         out, at = [], 0
@@ -362,7 +352,11 @@ class Encoder:
         return found[:n]
 
     def _variants(self, row, words, best, loss, shift, of_row, whole, n) -> list[tuple[float, np.ndarray]]:
-        """Search over the words that lose least, from the last one back; the rest stay at their best."""
+        """Search over the words that lose least; the rest stay at their best.
+
+        Ways are ordered by score, then by the first word that they segment differently: its
+        better way goes first. So of words that lose the same those further back change first.
+        """
         score = float(best[row].sum())
         own = loss[row]
         out = [(score, whole)]
@@ -370,34 +364,34 @@ class Encoder:
             return out
         if len(own) > n - 1:
             edge = np.partition(own, n - 2)[n - 2]
-            places = np.concatenate([np.flatnonzero(own < edge), np.flatnonzero(own == edge)])[: n - 1]
+            less = np.flatnonzero(own < edge)
+            places = np.concatenate([less, np.flatnonzero(own == edge)[len(less) - (n - 1) :]])
         else:
             places = np.arange(len(own))
         places = [int(p) for p in np.sort(places) if np.isfinite(own[p])]
         ways = [self._n_best(words.text(row[p]), n) for p in places]
-        queue = [(0.0, 0, len(places), ())]
-        count, found = 0, 0
+        queue: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
+        found = 0
         while queue and found < n:
-            lost, _, left, chosen = heapq.heappop(queue)
-            if left == 0:
+            lost, ranks = heapq.heappop(queue)
+            if len(ranks) == len(places):
                 found += 1
                 if found > 1:
                     parts, at = [], 0
-                    for p, way in zip(places, chosen, strict=True):
-                        parts += [whole[at : shift[p]], way]
+                    for p, options, rank in zip(places, ways, ranks, strict=True):
+                        parts += [whole[at : shift[p]], options[rank][1]]
                         at = shift[p] + of_row[p]
                     out.append((score - lost, np.concatenate([*parts, whole[at:]])))
                 continue
-            options = ways[left - 1]
-            for s, way in options:
-                count += 1
-                heapq.heappush(queue, (lost + options[0][0] - s, count, left - 1, (way, *chosen)))
+            options = ways[len(ranks)]
+            for rank, (s, _) in enumerate(options):
+                heapq.heappush(queue, (lost + options[0][0] - s, (*ranks, rank)))
         return out
 
 
 COLUMNS = {
     "rank": T.IntegerType(), "score": T.DoubleType(), "n_pieces": T.LongType(), "ids": T.ArrayType(T.IntegerType()),
-    "text": T.StringType(), "ids_sha256": T.StringType(), "round_trip": T.BooleanType(),
+    "text": T.StringType(), "ids_sha256": T.StringType(), "round_trip": T.BooleanType(), "margin": T.DoubleType(),
 }
 
 
@@ -412,11 +406,12 @@ def segmentations(
 
     rank (from 1), score (sum of the pieces' scores in the vocabulary; a character without a piece
     scores 10 below the worst usual one and becomes byte pieces), n_pieces, ids, text (decoded
-    again), ids_sha256 (of the ids as little-endian 32-bit numbers) and round_trip (the decoded
-    text is the input). Encoding puts one space in front, decoding takes it away.
+    again), ids_sha256 (of the ids as little-endian 32-bit numbers), round_trip (the decoded
+    text is the input) and margin (how much less the next rank scores; null for the last one). Encoding puts one space in front, decoding takes it away.
 
-    Of equal scores fewer pieces come first, then the order the search meets them in, which is the same on
-    every run. A text with fewer segmentations has fewer rows. Null and empty texts have one
+    Of equal scores fewer pieces come first. Of equally many the first word that two ways segment
+    differently decides, by the order of its own ways; in a word the longer first piece wins, then the second.
+    The rule is the same for words and texts of any length. A text with fewer segmentations has fewer rows. Null and empty texts have one
     row, of rank 1 with score 0 and no ids, and decode to the empty text (round_trip is true for both).
     Repeated rows each give their rows. Whole texts are encoded, whatever their length. An
     empty table gives no rows; columns that are not in `keep` are not read, but for text.
@@ -431,14 +426,15 @@ def segmentations(
         vocab = vocabulary(path)
         encoder = Encoder(vocab)
         kinds = {"rank": pa.int32(), "score": pa.float64(), "n_pieces": pa.int64(), "ids_sha256": pa.string(),
-                 "text": pa.string(), "round_trip": pa.bool_()}
+                 "text": pa.string(), "round_trip": pa.bool_(), "margin": pa.float64()}
         for whole in gathered(batches, "_text", GATHERED):
             for batch in pieces_of(whole, "_text", GATHERED):
                 texts = batch.column("_text").to_pylist() if "round_trip" in columns else [None] * batch.num_rows
                 taken: list[int] = []
                 values: dict[str, list] = {c: [] for c in columns}
                 for i, (text, ways) in enumerate(zip(texts, encoder.encode(batch.column("_text"), n_best), strict=True)):
-                    for rank, (cost, ids) in enumerate(ways or [(0.0, np.empty(0, np.int32))], 1):
+                    ways = ways or [(0.0, np.empty(0, np.int32))]
+                    for rank, (cost, ids) in enumerate(ways, 1):
                         taken.append(i)
                         again = vocab.decode(ids) if "text" in values or "round_trip" in values else None
                         row = {
@@ -449,6 +445,7 @@ def segmentations(
                             "text": again,
                             "ids_sha256": hashlib.sha256(ids.tobytes()).hexdigest() if "ids_sha256" in values else None,
                             "round_trip": again == (text or ""),
+                            "margin": float(np.round(cost - ways[rank][0], 3)) + 0.0 if rank < len(ways) else None,
                         }
                         for c in columns:
                             values[c].append(row[c])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -264,45 +266,93 @@ def test_token_histogram(docs):
 
 
 def all_ways(vocab, word):
+    """Every segmentation of a word as score, lengths of its pieces and ids, in the order of the tie rule."""
     out = []
 
-    def go(at, score, ids):
+    def go(at, score, sizes, ids):
         if at == len(word):
-            out.append((score, tuple(ids)))
+            out.append((-score, sizes, ids))
             return
         for end in range(at + 1, min(len(word), at + vocab.longest) + 1):
             if hit := vocab.score.get(word[at:end]):
-                go(end, score + hit[0] - sentence_pieces.COST, [*ids, hit[1]])
+                go(end, score + hit[0] - sentence_pieces.COST, (*sizes, at - end), (*ids, hit[1]))
         if word[at] not in vocab.score:
             spelled = vocab.spell(word[at])
-            go(at + 1, score + vocab.unknown - sentence_pieces.COST * len(spelled), ids + spelled)
+            go(at + 1, score + vocab.unknown - sentence_pieces.COST * len(spelled), (*sizes, -1), (*ids, *spelled))
+
+    go(0, 0.0, (), ())
+    return sorted(out)  # best score, then the longer first piece
+
+
+def ways_of_text(vocab, given, n):
+    """The n best of all combinations of the words' ways: by score, then by the ranks of the ways, first word first."""
+    words = re.findall(f"\n|{sentence_pieces.SPACE}*[^{sentence_pieces.SPACE}\n]+|{sentence_pieces.SPACE}+", (" " + given).replace(" ", sentence_pieces.SPACE))
+    combined = [(0.0, (), ())]
+    for word in words:
+        ways = all_ways(vocab, word)
+        combined = sorted(
+            (cost + c, (*ranks, k), (*ids, *more)) for cost, ranks, ids in combined for k, (c, _, more) in enumerate(ways[:n])
+        )[:n]
+    return [(-cost, ids) for cost, _, ids in combined]
+
 
-    go(0, 0.0, [])
-    return sorted(out, key=lambda x: -x[0])
+TEXTS = ["the cat", "hello a", "  a  b", "x\ny", "Éà ß", "日本 ab\U0001f600", "aaaa aa", "the the", "-----------", "-- -- -- a", "aaa bb aaa bb"]
 
 
-@pytest.mark.parametrize("given", ["the cat", "hello a", "  a  b", "x\ny", "Éà ß", "日本 ab\U0001f600", "aaaa aa", "the the"])
+@pytest.mark.parametrize("given", TEXTS)
 def test_n_best_equals_all_ways(given):
     vocab = sentence_pieces.vocabulary(sentence_pieces.VOCABULARY)
-    found = next(iter(sentence_pieces.Encoder(vocab).encode(pa.array([given]), 6)))
-    ways = all_ways(vocab, (" " + given).replace(" ", sentence_pieces.SPACE))
-    assert [round(s, 5) for s, _ in found] == [round(s, 5) for s, _ in ways[:6]]
-    assert len({tuple(ids.tolist()) for _, ids in found}) == len(found)
+    for n in (1, 2, 3, 6):
+        found = next(iter(sentence_pieces.Encoder(vocab).encode(pa.array([given]), n)))
+        expected = ways_of_text(vocab, given, n)
+        assert [(s, tuple(ids.tolist())) for s, ids in found] == expected
     assert all(vocab.decode(ids) == given for _, ids in found)
 
 
-@pytest.mark.parametrize("given", ["the cat", "x\ny", "日本 ab\U0001f600", "aaaa aa", "-----------"])
+@pytest.mark.parametrize("given", TEXTS)
 def test_long_words_equal_all_ways(given, monkeypatch):
-    monkeypatch.setattr(sentence_pieces, "LONG_WORD", 1)
+    monkeypatch.setattr(sentence_pieces, "LONG_WORD", 0)
     test_n_best_equals_all_ways(given)
 
 
+def best_by_places(vocab, word, n):
+    """The n best ways by the tie rule, from each place on, without a search."""
+    from_here = {len(word): [(0.0, 0, 0, 0)]}
+    for place in range(len(word) - 1, -1, -1):
+        ways = []
+        for end in range(place + 1, min(len(word), place + vocab.longest) + 1):
+            if hit := vocab.score.get(word[place:end]):
+                ways += [(-(hit[0] - sentence_pieces.COST) + w[0], -end, k, hit[1]) for k, w in enumerate(from_here[end])]
+        from_here[place] = sorted(ways)[:n]
+    out = []
+    for k in range(len(from_here[0])):
+        ids, at, rank = [], 0, k
+        while at < len(word):
+            _, end, rest, piece = from_here[at][rank]
+            ids.append(piece)
+            at, rank = -end, rest
+        out.append((-from_here[0][k][0], tuple(ids)))
+    return out
+
+
+@pytest.mark.parametrize("letters", ["-", "a", "the", "ab-"])
+@pytest.mark.parametrize("length", [8, 40, 255, 256, 257, 10_000])
+def test_ties_are_settled_alike_at_every_length(letters, length):
+    """Just below, at and above the length from which words are searched one by one."""
+    vocab = sentence_pieces.vocabulary(sentence_pieces.VOCABULARY)
+    word = (letters * length)[: length - 1]  # the space in front is part of the word
+    given = sentence_pieces.SPACE + word
+    for n in (1, 3) if length < 10_000 else (3,):
+        found = next(iter(sentence_pieces.Encoder(vocab).encode(pa.array([word]), n)))
+        assert [(s, tuple(ids.tolist())) for s, ids in found] == best_by_places(vocab, given, n)
+
+
 def test_a_long_run_of_one_character(monkeypatch):
     pops, pop = [], sentence_pieces.heapq.heappop
 
     def counted(queue):
         pops.append(1)
-        if len(pops) > 20_000:
+        if len(pops) > 3 * 4 * 10_100:
             raise MemoryError("the search widens")
         return pop(queue)
 

@@ -24,18 +24,23 @@ def _documents(df: DataFrame) -> DataFrame:
     return df.select(*COLUMNS)
 
 
+# A document stays if the network gives one language at least this much of it.
+LEAST_SHARE = 0.5
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language can be told: null texts and those without a letter.
+    """Drops documents whose language the network cannot tell.
 
-    The others keep all their columns, lang as given. Learned from the labelled rows of the
-    usual folds; without any, texts with a letter stay.
+    Those are null texts, texts without a letter, and texts in which no language has a share of
+    `LEAST_SHARE` over all positions. The others keep all their columns, lang as given. Learned from the
+    labelled rows of the usual folds; without any, texts with a letter stay.
     """
     rows = _documents(docs)
     model = langid.train(rows, crc_fold(F.col("doc_id"), 5) != 0)
     if model is None:
         return rows.where(F.col("text").rlike(langid.LETTER))
     told = langid.predict(rows, model, list(COLUMNS), carry_text=True)
-    return _documents(told.where(F.col("lang_pred") != langid.UNKNOWN))
+    return _documents(told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,10 +81,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The best segmentation of each text: doc_id, lang, source, n_pieces, ids_sha256, round_trip."""
-    return sentence_pieces.segmentations(
-        _documents(docs), n_best=1, columns=("score", "n_pieces", "ids_sha256", "round_trip"), keep=("doc_id", "lang", "source")
-    )
+    """The best segmentation of each text: doc_id, lang, source, score, n_pieces, ids_sha256, round_trip, margin.
+
+    margin is by how much the best one beats the second, null where there is no other.
+    """
+    columns = ("rank", "score", "n_pieces", "ids_sha256", "round_trip", "margin")
+    ways = sentence_pieces.segmentations(_documents(docs), n_best=2, columns=columns, keep=("doc_id", "lang", "source"))
+    return ways.where(F.col("rank") == 1).drop("rank")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -5,6 +5,9 @@ are summed per path and divided by its number of blocks; the two ratios are smoo
 the page (near blocks on like paths lend each other weight), fused into one score per path,
 and paths that score above a multiple of the deviation are content. They say where the article
 is: all that stands under their nearest common ancestor belongs to it, but for blocks of links.
+
+Elements named after parts that are no article (menus, adverts, comments) are left out, unless the ratios
+say that the article is inside. Paths are nodes of a tree, so deep pages cost no more than long ones.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import html as entities
 import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +27,8 @@ from kpiloom.llm.common import pieces_of
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded "
+    "mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 ROOTS = frozenset("html body main article".split())
 NOT_CONTENT = frozenset(
@@ -44,7 +49,7 @@ PUNCTUATION = re.compile(r"[,.;:!?。，！？…]")
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|textarea|iframe|svg|math|object|xmp)\b(?:\"[^\"<]*\"|'[^'<]*'|[^>])*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|template|textarea|iframe|svg|object|xmp|annotation|annotation-xml)\b(?:\"[^\"<]*\"|'[^'<]*'|[^>])*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"<]*\"|'[^'<]*'|[^>])*+)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
@@ -55,28 +60,84 @@ WORD = re.compile(r"[a-z]+")
 PARTS = frozenset(
     "p ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption h1 h2 h3 h4 h5 h6".split()
 )
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd figcaption".split())
 HEADING = re.compile(r"h[1-6](?:\.|$)")
+# An element named as no part of the article holds it all the same if its best path scores, and its
+# text weighs, so many times what is found outside.
+STRONGER, HEAVIER = 4.0, 8.0
+ROUNDS = 8  # such elements one inside the other that are looked into
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """What the path shows of an element, and whether its attributes say that it is not content."""
+class Paths:
+    """Root-to-leaf paths as nodes of a tree, each with its parent and a node further up to jump to."""
+
+    def __init__(self):
+        self.nodes: dict[tuple[int, str], int] = {}
+        self.parent, self.depth, self.jump, self.label, self.holder = [0], [0], [0], [""], [0]
+
+    def child(self, node: int, label: str) -> int:
+        found = self.nodes.get((node, label))
+        if found is None:
+            found = self.nodes[node, label] = len(self.parent)
+            up = self.jump[node]
+            even = self.depth[node] - self.depth[up] == self.depth[up] - self.depth[self.jump[up]]
+            self.parent.append(node)
+            self.depth.append(self.depth[node] + 1)
+            self.jump.append(self.jump[up] if even else node)
+            self.label.append(label)
+            # The nearest element that may hold an article.
+            self.holder.append(self.holder[node] if label.split(".", 1)[0] in PARTS else found)
+        return found
+
+    def shared(self, a: int, b: int) -> int:
+        """The nearest common ancestor, in steps by the logarithm of the depth."""
+        depth, jump, parent = self.depth, self.jump, self.parent
+        if depth[a] < depth[b]:
+            a, b = b, a
+        while depth[a] > depth[b]:
+            a = jump[a] if depth[jump[a]] >= depth[b] else parent[a]
+        while a != b:
+            a, b = (jump[a], jump[b]) if jump[a] != jump[b] else (parent[a], parent[b])
+        return a
+
+    def likeness(self, a: int, b: int) -> float:
+        return 1.0 if a == b else self.depth[self.shared(a, b)] / max(self.depth[a], self.depth[b])
+
+    def below(self, holder: int) -> list[bool]:
+        """For each node whether it is the holder or stands under it."""
+        found: list[bool] = []
+        for node, parent in enumerate(self.parent):
+            found.append(node == holder or (node > 0 and found[parent]))
+        return found
+
+
+class Block(NamedTuple):
+    path: int
+    text: str
+    linked: int  # characters in links
+    doubt: int  # the innermost element around it whose name says that it is no article; 0 for none
+
+
+def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """What the path shows of an element, whether it is hidden, and whether its name says that it is not content."""
     if not attributes or attributes.isspace():
-        return tag, False
+        return tag, False, False
     named = {m[0].lower(): (m[1] or m[2] or m[3]).lower() for m in ATTRIBUTE.findall(attributes)}
     said = " ".join(named.get(k, "") for k in ("class", "id", "role"))
-    out = bool(NOT_CONTENT_WORDS.intersection(WORD.findall(said)))
-    out |= named.get("aria-hidden") == "true" or bool(HIDDEN.search(named.get("style", "")))
-    out |= re.search(r"(?:^|\s)hidden(?:\s|/|$)", attributes) is not None
+    doubt = bool(NOT_CONTENT_WORDS.intersection(WORD.findall(said)))
+    hidden = named.get("aria-hidden") == "true" or bool(HIDDEN.search(named.get("style", "")))
+    hidden |= re.search(r"(?:^|\s)hidden(?:\s|/|$)", attributes) is not None
     kind = named.get("class", "")
-    return (f"{tag}.{kind}" if kind else tag), out and tag not in ROOTS
+    root = tag in ROOTS
+    return (f"{tag}.{kind}" if kind else tag), hidden and not root, doubt and not root
 
 
-def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """The blocks outside of parts that are not content: path, text, characters in links."""
-    found: list[tuple[tuple[str, ...], str, int]] = []
-    path: list[str] = []
-    stack: list[tuple[str, bool]] = []  # element, not content
+def blocks_of(page: str) -> tuple[list[Block], Paths, list[int]]:
+    """The blocks outside of elements that are hidden or never content, their paths, and for each doubt the one around it."""
+    found: list[Block] = []
+    paths, doubts = Paths(), [0]
+    stack: list[tuple[str, int, bool, int]] = []  # element, path of it, not content, doubt in it
     opened: dict[str, int] = {}
     parts: list[str] = []
     out = links = in_links = 0
@@ -86,14 +147,14 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text and not out:
-                found.append((tuple(path), text, in_links))
+                _, path, _, doubt = stack[-1] if stack else ("", 0, False, 0)
+                found.append(Block(path, text, in_links, doubt))
             parts.clear()
         in_links = 0
 
     def pop() -> None:
         nonlocal out
-        tag, hidden = stack.pop()
-        path.pop()
+        tag, _, hidden, _ = stack.pop()
         opened[tag] -= 1
         out -= hidden
 
@@ -129,8 +190,8 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                     pop()
                 pop()
             continue
-        label, hidden = _label(tag, token[4])
-        if tag in INLINE and not hidden:
+        label, hidden, doubted = _label(tag, token[4])
+        if tag in INLINE and not hidden and not doubted:
             links += tag == "a"
             continue
         flush()
@@ -139,99 +200,125 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             pop()
         while stack and stack[-1][0] in CLOSED_BY.get(tag, ()):
             pop()
-        hidden = hidden or tag in NOT_CONTENT
-        stack.append((tag, hidden))
-        path.append(label)
+        # The header of an article has its title; that of the page goes.
+        hidden = hidden or (tag in NOT_CONTENT and not (tag == "header" and opened.get("article")))
+        _, path, _, doubt = stack[-1] if stack else ("", 0, False, 0)
+        if doubted:
+            doubts.append(doubt)
+            doubt = len(doubts) - 1
+        stack.append((tag, paths.child(path, label), hidden, doubt))
         opened[tag] = opened.get(tag, 0) + 1
         out += hidden
         if tag == "body":
             out = 0
     text(page[at:])
     flush()
-    return found
-
-
-def _likeness(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    if a == b:
-        return 1.0
-    shared = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        shared += 1
-    return shared / max(len(a), len(b))
+    return found, paths, doubts
 
 
-def content_paths(
-    blocks: list[tuple[tuple[str, ...], str, int]], radius: int = 2, strictness: float = 0.8
-) -> set[tuple[str, ...]]:
-    """The paths whose fused, smoothed ratio is over `strictness` deviations.
+def path_scores(blocks: list[Block], paths: Paths, radius: int = 2) -> dict[int, float]:
+    """The fused, smoothed ratios of each path.
 
     A heading is short whatever it stands above, so its path scores at least as high as what
     follows it does on average.
     """
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for path, text, linked in blocks:
+    sums: dict[int, list[float]] = {}
+    for path, text, linked, _ in blocks:
         s = sums.setdefault(path, [0.0, 0.0, 0.0])
         s[0] += max(0, len(text) - linked)
         s[1] += len(PUNCTUATION.findall(text))
         s[2] += 1
     ratio = {path: (length / n, points / n) for path, (length, points, n) in sums.items()}
     kernel = [math.exp(-(d * d) / 2) for d in range(radius + 1)]
-    alike: dict[tuple, float] = {}
-    smooth: dict[tuple[str, ...], list[float]] = {path: [0.0, 0.0, 0.0] for path in ratio}
-    for i, (path, _, _) in enumerate(blocks):
+    alike: dict[tuple[int, int], float] = {}
+    smooth: dict[int, list[float]] = {path: [0.0, 0.0, 0.0] for path in ratio}
+    for i, block in enumerate(blocks):
+        path = block.path
         s = smooth[path]
         for j in range(max(0, i - radius), min(len(blocks), i + radius + 1)):
-            other = blocks[j][0]
+            other = blocks[j].path
             if (like := alike.get((path, other))) is None:
-                like = alike[path, other] = _likeness(path, other)
+                like = alike[path, other] = paths.likeness(path, other)
             weight = kernel[abs(i - j)] * like**2
             s[0] += weight * ratio[other][0]
             s[1] += weight * ratio[other][1]
             s[2] += weight
     score = {path: (a / w) * math.log(2 + b / w) if w else 0.0 for path, (a, b, w) in smooth.items()}
-    below: dict[tuple[str, ...], list[float]] = {}
-    for (path, _, _), (after, _, _) in zip(blocks, blocks[1:], strict=False):
-        if path and HEADING.match(path[-1]) and path[:-1] == after[: len(path) - 1]:
-            below.setdefault(path, []).append(score[after])
+    below: dict[int, list[float]] = {}
+    for one, after in zip(blocks, blocks[1:], strict=False):
+        path, above = one.path, paths.parent[one.path]
+        if HEADING.match(paths.label[path]) and paths.shared(above, after.path) == above:
+            below.setdefault(path, []).append(score[after.path])
     for path, follow in below.items():
         score[path] = max(score[path], sum(follow) / len(follow))
-    values = [score[path] for path, _, _ in blocks]
+    return score
+
+
+def content_paths(blocks: list[Block], score: dict[int, float], strictness: float = 0.8) -> set[int]:
+    """The paths whose score is over `strictness` deviations."""
+    values = [score[block.path] for block in blocks]
     mean = sum(values) / len(values) if values else 0.0
     deviation = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values)) if values else 0.0
     return {path for path, value in score.items() if value > 0 and value >= strictness * deviation}
 
 
-def container_of(paths: set[tuple[str, ...]]) -> tuple[str, ...] | None:
+def container_of(found: set[int], paths: Paths) -> int | None:
     """The nearest common ancestor of some paths, outside of parts of a text; headings do not count beside others."""
-    holders = []
-    for path in [p for p in paths if not (p and HEADING.match(p[-1]))] or paths:
-        size = len(path)
-        while size and path[size - 1].split(".", 1)[0] in PARTS:
-            size -= 1
-        holders.append(path[:size])
-    if not holders:
-        return None
-    first, last = min(holders), max(holders)
-    shared = 0
-    while shared < min(len(first), len(last)) and first[shared] == last[shared]:
-        shared += 1
-    return first[:shared]
+    holder = None
+    for path in [p for p in found if not HEADING.match(paths.label[p])] or found:
+        holder = paths.holder[path] if holder is None else paths.shared(holder, paths.holder[path])
+    return holder
+
+
+def _undoubted(blocks: list[Block], paths: Paths, doubts: list[int]) -> list[Block]:
+    """The blocks to judge: those in no doubted element, and those in one that the ratios show to hold the article."""
+    trusted = {0}
+    for _ in range(ROUNDS):
+        outer = [0] * len(doubts)  # the outermost doubted element around each, of those not trusted
+        for doubt in range(1, len(doubts)):
+            above = doubts[doubt]
+            outer[doubt] = outer[above] or (0 if doubt in trusted else doubt)
+        inside: dict[int, list[Block]] = {}
+        for block in blocks:
+            inside.setdefault(outer[block.doubt], []).append(block)
+        outside = inside.pop(0, [])
+        if not inside:
+            return outside
+
+        def weight(part: list[Block]) -> int:
+            return sum(max(0, len(b.text) - b.linked) for b in part)
+
+        heaviest = max(inside, key=lambda doubt: weight(inside[doubt]))
+        if weight(inside[heaviest]) <= HEAVIER * weight(outside):
+            return outside
+        best = [max(path_scores(part, paths).values(), default=0.0) for part in (inside[heaviest], outside)]
+        if best[0] <= STRONGER * best[1]:
+            return outside
+        trusted.add(heaviest)
+    return outside
 
 
 def main_text(page: str | None) -> str:
     """The article of one page, blocks joined by an empty line; empty if there is none."""
     if not page:
         return ""
-    blocks = blocks_of(page)
-    kept = content_paths(blocks)
-    holder = container_of(kept)
+    blocks, paths, doubts = blocks_of(page)
+    if len(doubts) > 1:
+        blocks = _undoubted(blocks, paths, doubts)
+    kept = content_paths(blocks, path_scores(blocks, paths))
+    holder = container_of(kept, paths)
+    below = paths.below(holder) if holder is not None else []
 
-    def stays(path: tuple[str, ...], text: str, linked: int) -> bool:
-        return path in kept or (holder is not None and path[: len(holder)] == holder and 2 * linked <= len(text))
+    def stays(block: Block) -> bool:
+        if block.path in kept:
+            return True
+        if holder is None or not below[block.path]:
+            return False
+        # A paragraph may be mostly links, a list of them is none of the article.
+        prose = paths.label[block.path].split(".", 1)[0] in PROSE
+        return block.linked <= (0.9 if prose else 0.5) * len(block.text)
 
-    return "\n\n".join(text for path, text, linked in blocks if stays(path, text, linked))
+    return "\n\n".join(block.text for block in blocks if stays(block))
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -258,8 +345,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     Pages are independent, so there is no shuffle and a lost task repeats its pages only.
     Null or empty html, and pages that have markup only, give the empty text. Equal rows each
     give a row. Null ids and urls pass through. Other columns of the input are not read.
-    Unclosed elements, comments and attributes end with the page. Very long pages are
-    handled one at a time, in time proportional to their length.
+    Unclosed elements, comments and attributes end with the page. Very long and very deep pages are
+    handled one at a time, in time about proportional to their length.
     """
     return pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "html").mapInArrow(
         _extract, SCHEMA

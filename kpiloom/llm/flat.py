@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,23 @@ LOWER[0x41:0x5B] += 0x20
 LONG = 256  # bytes of a span from which on it is hashed by itself
 
 
+SPACES = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
+
+
+def text_parts(text: bytes, size: int) -> Iterator[bytes]:
+    """The text in parts of about `size` bytes that end between words; a longer word is not cut."""
+    begin = 0
+    while begin < len(text):
+        end = begin + size
+        if end < len(text):
+            end = max(text.rfind(space, begin, end) for space in SPACES)
+            if end <= begin:
+                found = (text.find(space, begin + size) for space in SPACES)
+                end = min((at for at in found if at >= 0), default=len(text))
+        yield text[begin : end + 1]
+        begin = end + 1
+
+
 @dataclass
 class Words:
     """Bytes of all texts, first and last (exclusive) byte of each word, and words per text."""

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpiloom.llm.common import pieces_of
+from kpiloom.llm.flat import text_parts
 
 LEAST = 12  # words of a run at least
 SPAN = 4  # words of the sequences that split what single words leave
@@ -31,7 +32,6 @@ SHORT = 64  # lags below are all tried, those from here on only where a block re
 PIECE = 4 << 20  # bytes of text that are worked on together
 CHUNK = 1 << 20  # bytes of a text, pairs of blocks and words of an output that are held as objects
 
-SPACES = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
 Runs = tuple[np.ndarray, np.ndarray, np.ndarray]
 RUNS = pa.list_(pa.struct([(name, pa.int64()) for name in ("start", "length", "period")]))
 
@@ -39,24 +39,10 @@ RUNS = pa.list_(pa.struct([(name, pa.int64()) for name in ("start", "length", "p
 # --- words as numbers ----------------------------------------------------------------
 
 
-def _chunks(text: bytes) -> Iterator[bytes]:
-    """The text in parts that end between words."""
-    begin = 0
-    while begin < len(text):
-        end = begin + CHUNK
-        if end < len(text):
-            end = max(text.rfind(space, begin, end) for space in SPACES)
-            if end <= begin:
-                found = (text.find(space, begin + CHUNK) for space in SPACES)
-                end = min((at for at in found if at >= 0), default=len(text))
-        yield text[begin : end + 1]
-        begin = end + 1
-
-
 def word_numbers(text: bytes, numbers: defaultdict) -> np.ndarray:
     """The words `[^\\x20\\x09-\\x0D]+` of a text as numbers; equal words, and only those, are equal."""
     # bytes.split() without an argument splits at exactly these six characters.
-    parts = [np.array(list(map(numbers.__getitem__, part.split())), np.int64) for part in _chunks(text)]
+    parts = [np.array(list(map(numbers.__getitem__, part.split())), np.int64) for part in text_parts(text, CHUNK)]
     return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 

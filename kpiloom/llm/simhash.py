@@ -17,31 +17,43 @@ from pyspark.sql import functions as F
 
 from kpiloom.llm.common import pieces_of, with_row_id
 from kpiloom.llm.components import connected_components
+from kpiloom.llm.flat import text_parts
 from kpiloom.session import cut_lineage
 
 SEED = 42  # fixed value
 TILE = 16_384
+PART = 1 << 20  # bytes of a text whose words are held as objects
+TASK_PAIRS = 1 << 28  # comparisons that make a task
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """SimHash of one text, as a signed long; see `fingerprints`."""
-    hashes = _shingle_hashes(text, shingle)
-    if not hashes:
-        return 0
-    bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int(_pack(bits.sum(axis=0, dtype=np.int64)[None] * 2 > len(hashes))[0])
+    counts, total = np.zeros(64, np.int64), 0
+    for hashes in _shingle_hashes(text, shingle):
+        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+        total += len(hashes)
+    return int(_pack(counts[None] * 2 > total)[0]) if total else 0
 
 
-def _shingle_hashes(text: str | None, shingle: int) -> list[int]:
+def _shingle_hashes(text: str | None, shingle: int) -> Iterator[list[int]]:
+    """The hashes of all shingles, those of one part of the text at a time."""
     # bytes.lower changes A-Z only, and bytes.split cuts at ASCII white space only.
-    words = (text or "").encode().lower().split()
     digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return [digest(b" ".join(words), SEED)] if words else []
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *ends[:-shingle].tolist()]
-    return [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+    words: list[bytes] = []
+    few = True
+    for part in text_parts((text or "").encode().lower(), PART):
+        words += part.split()
+        if len(words) < shingle:
+            continue
+        few = False
+        joined = b" ".join(words)
+        ends = np.cumsum([len(w) + 1 for w in words])
+        starts = [0, *ends[: len(words) - shingle].tolist()]
+        yield [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+        words = words[len(words) - shingle + 1 :]
+    if few and words:
+        yield [digest(b" ".join(words), SEED)]
 
 
 def _pack(bits: np.ndarray) -> np.ndarray:
@@ -74,30 +86,40 @@ def fingerprints(documents: DataFrame, shingle: int = 4, numbered: bool = False)
 def _forest(left: np.ndarray, right: np.ndarray, same: bool, distance: int) -> list[tuple[int, int]]:
     """Links within two tiles, less those that others of them already imply.
 
-    Rows of `left` are compared with all of `right` a few at a time. What is returned spans the
-    same components, with fewer links than rows, however many pairs are near.
+    Rows of `left` are compared with all of `right`, one row at first, then ever more at a time. Pairs
+    already in one set are left out before any is looked at by itself, so what is looked at follows the rows and not
+    the pairs. What is returned spans the same components, with fewer links than rows.
     """
-    parent = list(range(len(left) + len(right)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    links = []
-    step = max(1, (1 << 18) // max(1, len(right)))
-    for i in range(0, len(left), step):
-        differ = np.bitwise_count(left[i : i + step, None] ^ right[None, :])
-        x, y = np.nonzero(differ <= distance)
+    parent = np.arange(len(left) + len(right))
+    links: list[tuple[int, int]] = []
+    most = max(1, (1 << 18) // max(1, len(right)))
+    i, step = 0, 1
+    while i < len(left):
+        x, y = np.nonzero(np.bitwise_count(left[i : i + step, None] ^ right[None, :]) <= distance)
         x += i
+        i, step = i + step, min(2 * step, most)
         if same:
             x, y = x[x < y], y[x < y]
-        for a, b in zip(x.tolist(), y.tolist(), strict=True):
-            ra, rb = root(a), root(b if same else len(left) + b)
-            if ra != rb:
-                parent[ra] = rb
-                links.append((int(left[a]), int(right[b])))
+        while (up := parent[parent]).tolist() != parent.tolist():
+            parent = up
+        a, b = parent[x], parent[y if same else len(left) + y]
+        apart = np.flatnonzero(a != b)
+        if not len(apart):
+            continue
+        sets: dict[int, int] = {}  # of this step: sets by the root they went to
+
+        def root(k: int) -> int:
+            while (up := sets.get(k, k)) != k:
+                sets[k] = k = sets.get(up, up)
+            return k
+
+        for u, v, p, q in zip(a[apart].tolist(), b[apart].tolist(), x[apart].tolist(), y[apart].tolist(), strict=True):
+            ru, rv = root(u), root(v)
+            if ru != rv:
+                sets[ru] = rv
+                links.append((int(left[p]), int(right[q])))
+        for k in list(sets):
+            parent[k] = root(k)
     return links
 
 
@@ -110,7 +132,8 @@ def near_pairs(values: DataFrame, distance: int = 4, tile: int = TILE) -> DataFr
     """
     distinct = values.select("_fp").distinct().withColumn("p", F.bit_count("_fp").cast("int"))
     distinct = cut_lineage(distinct)
-    tiles = {p: -(-n // tile) for p, n in distinct.groupBy("p").count().collect()}
+    sizes = {p: n for p, n in distinct.groupBy("p").count().collect()}
+    tiles = {p: -(-n // tile) for p, n in sizes.items()}
     if not tiles:
         return distinct.selectExpr("_fp a", "_fp b")
     count = F.create_map(*[F.lit(x) for item in tiles.items() for x in item])
@@ -127,17 +150,22 @@ def near_pairs(values: DataFrame, distance: int = 4, tile: int = TILE) -> DataFr
             )
         )
 
+    # As many tasks as the comparisons are worth, whatever the bytes; a stated number is not joined into fewer.
+    compared = sum(n * sizes.get(p + d, 0) for p, n in sizes.items() for d in range(distance + 1))
+    pairs = sum(n * tiles.get(p + d, 0) for p, n in tiles.items() for d in range(distance + 1))
+    tasks = max(1, min(pairs, compared // TASK_PAIRS))
     left = packed.select("p", "s", "fps", F.explode(others(1)).alias("o")).selectExpr("p", "s", "o.q q", "o.t t", "fps")
     right = packed.select("p", "s", "fps", F.explode(others(-1)).alias("o")).selectExpr(
         "o.q p", "o.t s", "p q", "s t", "fps other"
     )
-    work = left.where("p < q or s <= t").join(right, ["p", "s", "q", "t"])
+    keys = ["p", "s", "q", "t"]
+    work = left.where("p < q or s <= t").repartition(tasks, *keys).join(right.repartition(tasks, *keys), keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 a, b = (batch.column(c)[row].values.to_numpy().view(np.uint64) for c in ("fps", "other"))
-                key = [batch.column(c)[row].as_py() for c in ("p", "s", "q", "t")]
+                key = [batch.column(c)[row].as_py() for c in keys]
                 links = np.array(_forest(a, b, key[:2] == key[2:], distance), np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
 

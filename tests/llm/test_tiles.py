@@ -1,0 +1,68 @@
+"""Fingerprints of long texts in parts, and dense tiles."""
+
+from __future__ import annotations
+
+import time
+
+import numpy as np
+import pytest
+
+from kpiloom.llm import simhash
+from tests.llm import brute
+from tests.llm.test_operators import bag, frame, text
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1 << 20])
+def test_fingerprints_do_not_follow_the_parts(size, monkeypatch):
+    monkeypatch.setattr(simhash, "PART", size)
+    texts = [text(n, n) for n in (1, 2, 3, 4, 5, 9, 200)] + [None, "", " \n ", "x" * 300 + " y Z", "A b  c\td " * 30]
+    for given in texts:
+        assert simhash.fingerprint(given) % (1 << 64) == brute.simhash(given)
+    assert simhash.fingerprint("a b a", 1) == simhash.fingerprint("b A a", 1)
+
+
+def components(left, right, links, same):
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[root(a)] = root(b)
+    return {frozenset(x for x in {*left, *right} if root(x) == r) for r in {root(x) for x in {*left, *right}}}
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_links_span_the_components_of_all_near_pairs(same):
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        seeds = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
+        values = [int(s) ^ sum(1 << int(b) for b in set(rng.integers(0, 64, rng.integers(0, 9)).tolist())) for s in seeds for _ in range(12)]
+        values = np.fromiter(sorted(set(values)), np.uint64)
+        left, right = (values, values) if same else (values[::2], values[1::2])
+        near = [(int(a), int(b)) for a in left for b in right if a != b and (int(a) ^ int(b)).bit_count() <= 4]
+        links = simhash._forest(left, right, same, 4)
+        assert len(links) < len({*left.tolist(), *right.tolist()}) and set(links) <= set(near) | {(b, a) for a, b in near}
+        assert components(left.tolist(), right.tolist(), links, same) == components(left.tolist(), right.tolist(), near, same)
+
+
+def test_a_tile_of_near_values_only():
+    """Every pair of 16,384 numbers is within the radius: each is looked at, few by themselves."""
+    near = [0] + [1 << i for i in range(64)] + [1 << i | 1 << j for i in range(64) for j in range(i)]
+    base = np.array(near[:2000], np.uint64)
+    tile = np.unique(np.concatenate([base ^ np.uint64(1 << k) for k in range(0, 32, 2)]))[: simhash.TILE]
+    begin = time.process_time()
+    links = simhash._forest(tile, tile, True, 4)
+    assert len(links) == len(tile) - 1 and time.process_time() - begin < 20
+
+
+def test_tasks_follow_the_comparisons(spark, monkeypatch):
+    rows = frame(spark, [(i, text(20, i)) for i in range(120)], "doc_id long, text string")
+    expected = bag(simhash.near_duplicates(rows), "doc_id", "component_id")
+    values = simhash.fingerprints(rows)
+    monkeypatch.setattr(simhash, "TASK_PAIRS", 100)
+    links = simhash.near_pairs(values, tile=8)
+    assert links.rdd.getNumPartitions() > 20
+    assert bag(simhash.near_duplicates(rows), "doc_id", "component_id") == expected

@@ -211,25 +211,16 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame, numbered: boo
         .groupBy("_row")
         .agg(F.collect_set("hit").alias("hits"), F.collect_set("window").alias("found"))
     )
-    # Overlapping windows become runs: the list is sorted, and each window adds to the last run or opens one.
+    # Overlapping and adjoining windows become runs: of the words hit, in order, a run begins where the one
+    # before is missing and ends where the next one is. Time is by the hits, however many a row has.
     kind = "array<struct<first:int,last:int>>"
-    runs = F.aggregate(
-        F.array_sort("hits"),
-        F.array().cast(kind),
-        lambda acc, h: F.when(
-            (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["last"] >= h["first"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(
-                    F.struct(
-                        F.try_element_at(acc, F.lit(-1))["first"].alias("first"),
-                        F.greatest(F.try_element_at(acc, F.lit(-1))["last"], h["last"]).alias("last"),
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(acc, F.array(h))),
-    )
-    found = found.select("_row", "found", runs.alias("spans"))
+    words_hit = F.flatten(F.transform("hits", lambda h: F.sequence(h["first"], h["last"] - 1)))
+    hit = found.select("_row", "found", F.array_sort(F.array_distinct(words_hit)).alias("_hit"))
+    word = F.col("_hit")
+    begins = F.filter("_hit", lambda x, i: (i == 0) | (F.get(word, i - 1) != x - 1))
+    ends = F.filter("_hit", lambda x, i: (i == F.size(word) - 1) | (F.get(word, i + 1) != x + 1))
+    runs = F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("first"), (b + 1).alias("last")))
+    found = hit.select("_row", "found", runs.cast(kind).alias("spans"))
     named = (
         found.select("_row", "spans", F.explode("found").alias("window"))
         .join(wanted.select("window", "items"), "window")

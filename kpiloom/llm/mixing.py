@@ -52,7 +52,7 @@ def source_targets(
     spark = sizes.sparkSession
     totals = cut_lineage(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
     # Few rows beside the documents, but as many as there are sources: placed in ranges too.
-    placed = with_position(totals, [F.col("source").asc_nulls_last()], "place")
+    placed = with_position(totals, [F.col("source").isNull(), F.col("source")], "place")
     turn = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("place") - 1, len(weights)) + 1).cast("int"))
     weighed = _written(spark, placed.select("source", "source_size", turn.cast("long").alias("weight")), "sources")
     most = F.col("source_size") * copies

@@ -34,7 +34,7 @@ def _days() -> Column:
 def number_names(names: DataFrame, known: DataFrame, count: int) -> DataFrame:
     """``EJECUTIVO, numero`` of names not among the ``count`` known ones, numbered on from there, by name."""
     fresh = names.select(EJECUTIVO).distinct().join(known, EJECUTIVO, "left_anti")
-    placed = with_position(fresh, [F.asc(EJECUTIVO)], NUMERO)
+    placed = with_position(fresh, [F.col(EJECUTIVO)], NUMERO)
     return placed.select(EJECUTIVO, (F.col(NUMERO) + (count - 1)).alias(NUMERO))
 
 

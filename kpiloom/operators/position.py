@@ -1,4 +1,4 @@
-"""Position in a total order without a single-task window."""
+"""Position in a total order without a single-task window, and without a job while the frame is built."""
 
 from __future__ import annotations
 
@@ -6,28 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kpiloom.session import cut_lineage
+BUCKETS = 256
+_SPAN = 1 << 40
 
-_SLOT_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
+def with_position(df: DataFrame, keys: list[Column], name: str, buckets: int = BUCKETS) -> DataFrame:
+    """Add the 1-based position of each row by ascending ``keys`` (nulls first), which must leave no ties.
 
-def with_position(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Add the 1-based position of each row in ``order``, which must leave no ties.
-
-    A window without partition would pull all rows into one task. Here the rows are
-    sorted in ranges over all tasks, the order is fixed by a checkpoint, and the sizes of
-    the ranges, one number per task, give where each range starts.
+    A window without partition would pull all rows into one task. Here about ``buckets`` keys, chosen
+    by a hash of themselves, cut the order into ranges; rows are placed inside their range, and the sizes
+    of the ranges before it are added. Which keys cut follows from the keys alone, so the ranges are
+    the same wherever the plan is run. Every use of ``df`` takes all of its columns, so that Spark reuses
+    the shuffle below instead of making it again.
     """
-    placed = cut_lineage(df.orderBy(*order).withColumn("_slot", F.monotonically_increasing_id()))
-    part = F.shiftrightunsigned("_slot", _SLOT_BITS)
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
-    # At most as many rows as the sort had partitions: one task and a broadcast suffice.
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
-    inside = F.col("_slot").bitwiseAND(F.lit((1 << _SLOT_BITS) - 1))
-    return (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(starts), "_part")
-        .withColumn(name, F.col("_start") + inside + 1)
-        .drop("_part", "_slot", "_start")
-    )
+    columns = df.columns
+    every = F.max(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("every")
+    keyed = df.withColumn("_key", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]))
+    rows = keyed.agg(F.struct(F.count(F.lit(1)).alias("n"), every)).scalar()["n"]
+    hashed = F.pmod(F.xxhash64("_key"), F.lit(_SPAN)) / F.lit(float(_SPAN))
+    chosen = keyed.where(hashed < F.lit(float(buckets)) / rows)
+    cuts = chosen.agg(F.struct(F.sort_array(F.collect_list("_key")).alias("cuts"), every)).scalar()["cuts"]
+    before = F.size(F.filter("_cuts", lambda cut: cut < F.col("_key")))
+    ranged = keyed.withColumn("_cuts", cuts).withColumn("_range", before).drop("_cuts")
+    # A row for each range: few, whatever the rows.
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"), every)
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("_range").alias("_at"), F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_key"))
+    placed = ranged.withColumn("_inside", inside).join(F.broadcast(starts), F.col("_range") == F.col("_at"))
+    return placed.select(*[F.col(f"`{c}`") for c in columns], (F.col("_start") + F.col("_inside")).alias(name))

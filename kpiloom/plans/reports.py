@@ -276,10 +276,10 @@ def resolution_rate_order():
 
 def status_mix(measures: DataFrame) -> DataFrame:
     """``EJECUTIVO, STATUS_REAL, n, exec_order``: executives placed by total volume."""
-    # Used twice, once to place the executives; cut so that the detail is read once.
-    mix = cut_lineage(count_by(measures, EJECUTIVO, STATUS))
+    # Used more than once, to place the executives too; Spark reuses its shuffle.
+    mix = count_by(measures, EJECUTIVO, STATUS)
     volumes = mix.groupBy(EJECUTIVO).agg(orders().alias(TOTAL))
-    placed = with_position(volumes, [F.desc(TOTAL), F.asc(EJECUTIVO)], "exec_order")
+    placed = with_position(volumes, [-F.col(TOTAL), F.col(EJECUTIVO)], "exec_order")
     return mix.join(placed.select(EJECUTIVO, "exec_order"), EJECUTIVO).select(
         EJECUTIVO, STATUS, N, "exec_order"
     )
@@ -297,7 +297,7 @@ def ranking(measures: DataFrame, allowed: Sequence[str] | DataFrame | None) -> D
     )
     order = [F.desc("resolutividad"), F.asc(EJECUTIVO)]
     if allowed is None or isinstance(allowed, DataFrame):
-        placed = with_position(scored, order, "pos")
+        placed = with_position(scored, [-F.col("resolutividad"), F.col(EJECUTIVO)], "pos")
     else:
         # No more rows than names in the literal list, so one task does.
         placed = scored.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("bigint"))

@@ -138,11 +138,35 @@ def test_no_side_is_broadcast_beyond_the_threshold(spark):
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
 
 
+PLACING = [reports.status_mix, lambda m: reports.ranking(m, None), lambda m: reports.ranking(m, m.select("EJECUTIVO").limit(50))]
+
+
+@pytest.mark.parametrize("report", PLACING)
+def test_placing_everyone_starts_no_job_and_reads_once(spark, report, folder):
+    views.gestiones(spark, FOLDER).write.parquet(f"{folder}/detail")
+    measures = as_measures(spark.read.parquet(f"{folder}/detail"))
+    context = spark.sparkContext
+    context.setJobGroup(folder, "planning")
+    try:
+        frame = report(measures)
+        frame.explain()
+        assert context.statusTracker().getJobIdsForGroup(folder) == []
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    plan = final_plan(frame)
+    # The allowed names of the last one are read from the detail as well, in their own right.
+    assert plan.count("FileScan") <= (2 if report is PLACING[2] else 1)
+
+
 def test_the_ranges_of_positions_are_the_only_forced_broadcast(spark):
     measures = views.gestiones_measures(spark, FOLDER)
-    plan = plan_of(reports.ranking(measures, None))
-    assert plan.count("BroadcastExchange") == 1 and "_start" in plan
-    assert "FileScan" not in plan  # the detail was read once, before the cut
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = plan_of(reports.ranking(measures, None))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert len(re.findall(r"BroadcastExchange", plan)) == 1 and "_start" in plan
 
 
 def test_preview_takes_the_top_without_a_full_sort(spark):

@@ -98,7 +98,7 @@ def test_position_over_many_ranges(spark, values):
     """Also where one value holds all rows or a third of them."""
     pairs = [(values(i), f"k{i:05d}") for i in range(5000)]
     df = spark.createDataFrame(pairs, "v int, k string").repartition(8)
-    placed = with_position(df, [F.desc("v"), F.asc("k")], "pos").collect()
+    placed = with_position(df, [-F.col("v"), F.col("k")], "pos").collect()
     expected = sorted(pairs, key=lambda p: (-p[0], p[1]))
     assert [(r.v, r.k) for r in sorted(placed, key=lambda r: r.pos)] == expected
     assert sorted(r.pos for r in placed) == list(range(1, 5001))
@@ -106,7 +106,7 @@ def test_position_over_many_ranges(spark, values):
 
 def test_position_of_nothing(spark):
     df = spark.createDataFrame([], "v int")
-    assert with_position(df, [F.asc("v")], "pos").collect() == []
+    assert with_position(df, [F.col("v")], "pos").collect() == []
 
 
 def test_kpis_follow_the_rules_of_their_profile(spark):
@@ -118,3 +118,17 @@ def test_kpis_follow_the_rules_of_their_profile(spark):
     plain = fixed.with_rules(subtract_capacity=False, percent_decimals=0)
     card = reports.kpi_cards(measures, plain).first()
     assert (card.fte_dia, card.atendidas_text, card.resolutividad_text) == (8, "100%", "96%")
+
+
+@pytest.mark.parametrize("buckets", [1, 16, 256])
+def test_positions_over_many_ranges(spark, buckets):
+    """More rows than ranges, a third of them of one value; nulls stand first."""
+    i = F.col("id")
+    df = spark.range(3000).select(
+        F.when(i % 3 == 0, 7).when(i % 100 == 1, F.lit(None)).otherwise(i * 37 % 1009).alias("v"), F.concat(F.lit("k"), i).alias("k")
+    )
+    placed = with_position(df.repartition(5), [F.col("v"), F.col("k")], "pos", buckets).collect()
+    expected = sorted(((r["v"] is not None, r["v"] or 0, r["k"]) for r in df.collect()))
+    found = sorted(placed, key=lambda r: r["pos"])
+    assert [r["pos"] for r in found] == list(range(1, 3001))
+    assert [r["k"] for r in found] == [k for *_, k in expected]

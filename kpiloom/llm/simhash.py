@@ -93,15 +93,18 @@ def _forest(left: np.ndarray, right: np.ndarray, same: bool, distance: int) -> l
     parent = np.arange(len(left) + len(right))
     links: list[tuple[int, int]] = []
     most = max(1, (1 << 18) // max(1, len(right)))
-    i, step = 0, 1
+    i, step, stale = 0, 1, False
     while i < len(left):
         x, y = np.nonzero(np.bitwise_count(left[i : i + step, None] ^ right[None, :]) <= distance)
         x += i
         i, step = i + step, min(2 * step, most)
         if same:
             x, y = x[x < y], y[x < y]
-        while (up := parent[parent]).tolist() != parent.tolist():
+        if not len(x):
+            continue
+        while stale and not np.array_equal(up := parent[parent], parent):
             parent = up
+        stale = False
         a, b = parent[x], parent[y if same else len(left) + y]
         apart = np.flatnonzero(a != b)
         if not len(apart):
@@ -120,6 +123,7 @@ def _forest(left: np.ndarray, right: np.ndarray, same: bool, distance: int) -> l
                 links.append((int(left[p]), int(right[q])))
         for k in list(sets):
             parent[k] = root(k)
+        stale = True
     return links
 
 

@@ -81,27 +81,40 @@ def without_repeats(docs, length=50):
     return out
 
 
-def bigram_scores(docs, discount=0.75):
+def ngram_scores(docs, order, discount=0.75):
+    """Absolute discounting at each order, interpolated down to the smoothed unigram; counts of tuples of words."""
     tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), None]
-    c, pairs = Counter(), Counter()
+
+    def contexts(words, k):  # the k words before each word; "" stands before the first
+        padded = [""] * k + words
+        return [tuple(padded[i : i + k]) for i in range(len(words))]
+
+    seen = [Counter() for _ in range(order)]
     for doc_id, text in docs:
         if fold(doc_id, 5) != 1:
             w = tokens(text)
-            c.update(w)
-            pairs.update(zip([""] + w, w, strict=False))
-    n, v = sum(c.values()), len(c)
-    total, kinds = Counter(), Counter()
-    for (a, _), k in pairs.items():
-        total[a] += k
-        kinds[a] += 1
+            for k in range(order):
+                seen[k].update(zip(contexts(w, k), w, strict=True))
+    n, v = sum(seen[0].values()), len(seen[0])
+    total, kinds = [Counter() for _ in seen], [Counter() for _ in seen]
+    for k, grams in enumerate(seen):
+        for (before, _), times in grams.items():
+            total[k][before] += times
+            kinds[k][before] += 1
     out = []
     for doc_id, text in docs:
         w, base, score = tokens(text), 0.0, 0.0
-        for a, b in zip([""] + w, w, strict=False):
-            p = (c[b] + 0.5) / (n + 0.5 * (v + 1))
+        before = [contexts(w, k) for k in range(order)]
+        for i, word in enumerate(w):
+            p = (seen[0][(), word] + 0.5) / (n + 0.5 * (v + 1))
             base += math.log10(p)
-            score += math.log10(max(pairs[a, b] - discount, 0) / total[a] + discount * kinds[a] / total[a] * p if total[a] else p)
-        out.append((doc_id, fold(doc_id, 5) == 1, len(w), sum(c[b] > 0 for b in w), n, base, score))
+            for k in range(1, order):
+                here = before[k][i]
+                if total[k][here]:
+                    share = max(seen[k][here, word] - discount, 0) / total[k][here]
+                    p = share + discount * kinds[k][here] / total[k][here] * p
+            score += math.log10(p)
+        out.append((doc_id, fold(doc_id, 5) == 1, len(w), sum(seen[0][(), x] > 0 for x in w), n, base, score))
     return out
 
 

@@ -207,13 +207,17 @@ def test_an_anchor_too_frequent_for_a_shard(spark, monkeypatch, tmp_path):
     assert sum(r[2] >= 55 for r in expected) >= 55
 
 
-def test_language_model(stored):
-    found = ngram_lm.score_documents(stored, ngram_lm.held_out_fold(F.col("doc_id"))).collect()
-    expected = sorted(brute.bigram_scores(DOCS), key=str)
-    found = sorted((tuple(r) for r in found), key=str)
-    assert [r[:5] for r in sorted(found, key=lambda r: str(r[:5]))] == [r[:5] for r in sorted(expected, key=lambda r: str(r[:5]))]
-    for a, b in zip(sorted(found, key=lambda r: (str(r[:5]), r[5])), sorted(expected, key=lambda r: (str(r[:5]), r[5])), strict=True):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(stored, order):
+    found = ngram_lm.score_documents(stored, ngram_lm.held_out_fold(F.col("doc_id")), order=order).collect()
+    place = lambda r: (str(tuple(r[:5])), r[5], r[6])
+    found, expected = sorted(map(tuple, found), key=place), sorted(brute.ngram_scores(DOCS, order), key=place)
+    assert [r[:5] for r in found] == [r[:5] for r in expected]
+    for a, b in zip(found, expected, strict=True):
         assert a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6], abs=2e-4 * a[2])
+
+
+def test_language_model_of_nothing(stored):
     assert ngram_lm.score_documents(stored.limit(0), F.lit(False)).isEmpty()
     nothing_learned = ngram_lm.score_documents(stored, F.lit(True)).agg(F.max("n_known"), F.max("train_tokens")).first()
     assert tuple(nothing_learned) == (0, 0)

@@ -31,9 +31,18 @@ def _days() -> Column:
     return F.bit_or(F.call_function("shiftleft", F.lit(1), F.dayofmonth(DIA) - 1)).alias(DIAS)
 
 
+def new_names(names: DataFrame, known: DataFrame) -> DataFrame:
+    """``EJECUTIVO``: each name once that is not among the known ones."""
+    return names.select(EJECUTIVO).distinct().join(known, EJECUTIVO, "left_anti")
+
+
 def number_names(names: DataFrame, known: DataFrame, count: int) -> DataFrame:
     """``EJECUTIVO, numero`` of names not among the ``count`` known ones, numbered on from there, by name."""
-    fresh = names.select(EJECUTIVO).distinct().join(known, EJECUTIVO, "left_anti")
+    return numbered_on(new_names(names, known), count)
+
+
+def numbered_on(fresh: DataFrame, count: int) -> DataFrame:
+    """Distinct names with their numbers; goes over the names several times, so they had better be kept."""
     placed = with_position(fresh, [F.col(EJECUTIVO)], NUMERO)
     return placed.select(EJECUTIVO, (F.col(NUMERO) + (count - 1)).alias(NUMERO))
 

@@ -17,7 +17,7 @@ def with_position(df: DataFrame, keys: list[Column], name: str, buckets: int = B
     by a hash of themselves, cut the order into ranges; rows are placed inside their range, and the sizes
     of the ranges before it are added. Which keys cut follows from the keys alone, so the ranges are
     the same wherever the plan is run. Every use of ``df`` takes all of its columns, so that Spark reuses
-    the shuffle below instead of making it again.
+    the shuffle below instead of making it again. A key's range is found by halving, in about ten comparisons.
     """
     columns = df.columns
     every = F.max(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("every")
@@ -26,8 +26,7 @@ def with_position(df: DataFrame, keys: list[Column], name: str, buckets: int = B
     hashed = F.pmod(F.xxhash64("_key"), F.lit(_SPAN)) / F.lit(float(_SPAN))
     chosen = keyed.where(hashed < F.lit(float(buckets)) / rows)
     cuts = chosen.agg(F.struct(F.sort_array(F.collect_list("_key")).alias("cuts"), every)).scalar()["cuts"]
-    before = F.size(F.filter("_cuts", lambda cut: cut < F.col("_key")))
-    ranged = keyed.withColumn("_cuts", cuts).withColumn("_range", before).drop("_cuts")
+    ranged = keyed.withColumn("_cuts", cuts).withColumn("_range", _smaller("_cuts", F.col("_key"), buckets)).drop("_cuts")
     # A row for each range: few, whatever the rows.
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"), every)
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -35,3 +34,17 @@ def with_position(df: DataFrame, keys: list[Column], name: str, buckets: int = B
     inside = F.row_number().over(Window.partitionBy("_range").orderBy("_key"))
     placed = ranged.withColumn("_inside", inside).join(F.broadcast(starts), F.col("_range") == F.col("_at"))
     return placed.select(*[F.col(f"`{c}`") for c in columns], (F.col("_start") + F.col("_inside")).alias(name))
+
+
+def _smaller(cuts: str, key: Column, buckets: int) -> Column:
+    """How many of the sorted cuts are below the key.
+
+    The steps reach over four times ``buckets`` cuts; were there more, those beyond would share the last range.
+    """
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((4 * buckets).bit_length()))])
+
+    def halve(at: Column, step: Column) -> Column:
+        # Past the end there is no cut, hence no step.
+        return F.when(F.get(cuts, at + step - 1) < key, at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), halve)

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from kpiloom.columns import DIA, EJECUTIVO, FECHA, FILAS, LAYOUT_ANIO, LAYOUT_MES, N, STATUS, TORRE
 from kpiloom.operators.cuboid import build_cuboid
-from kpiloom.operators.figures import BITS, BLOQUE, DIAS, NUMERO, executive_slices, figure_cells, number_names
+from kpiloom.operators.figures import BITS, BLOQUE, DIAS, NUMERO, executive_slices, figure_cells, new_names, numbered_on
 from kpiloom.sources import announce
 
 LOTE = "lote de carga"  # partition column of one attempt to write; a blank, as in the layout's names
@@ -181,10 +181,17 @@ class SnapshotStore:
         return self.spark.read.schema(NAMES_SCHEMA).parquet(*[self.path("names", p) for p in names["parts"]])
 
     def _number(self, cuboid: DataFrame, names: dict) -> dict:
-        """Executives keep their number for ever, since kept months hold it in their bitmaps."""
-        known = self._names(names)
+        """Executives keep their number for ever, since kept months hold it in their bitmaps.
+
+        New names are found once and kept: numbering goes over them several times, and would else go
+        over all of the cuboid as often.
+        """
         part = uuid.uuid4().hex
-        number_names(cuboid, known, names["count"]).write.parquet(self.path("names", part))
+        found = new_names(cuboid, self._names(names)).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            numbered_on(found, names["count"]).write.parquet(self.path("names", part))
+        finally:
+            found.unpersist()
         fresh = self._names({"parts": [part]}).count()
         if not fresh:
             return names

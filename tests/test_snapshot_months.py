@@ -13,7 +13,7 @@ from kpiloom.columns import DIA, EJECUTIVO, FECHA, FILAS, PEDIDO, STATUS, TORRE
 from kpiloom.operators import as_measures, build_cuboid
 from kpiloom.operators.figures import executive_slices, figure_cells, merged_totals, number_names
 from kpiloom.plans import reports, snapshot_tables, stored_kpi_cards
-from kpiloom.sources import SnapshotStore, announce
+from kpiloom.sources import SnapshotStore, announce, snapshot
 from kpiloom.sources.snapshot import NAME_PARTS, month_checksums
 
 
@@ -93,6 +93,27 @@ def test_more_executives_than_a_bitmap_holds(spark):
     assert later.agg(F.min("numero"), F.count_distinct("numero")).first() == (70_000, later.count())
 
 
+def test_numbering_goes_over_kept_names_and_not_over_the_cuboid(spark, folder, monkeypatch):
+    seen = []
+
+    def watched(names, count, numbered_on=snapshot.numbered_on):
+        placed = numbered_on(names, count)
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        seen.append((names, names.storageLevel.useMemory, "InMemoryTableScan" in plan))
+        return placed
+
+    monkeypatch.setattr(snapshot, "numbered_on", watched)
+    store = SnapshotStore(spark, folder)
+    store.publish(orders(spark, rows=90))
+    store.publish(orders(spark, rows=180, executives=40))
+    assert [kept for _, *kept in seen] == [[True, True]] * 2
+    assert not any(names.storageLevel.useMemory for names, *_ in seen)
+    names = sorted(r[EJECUTIVO] for r in orders(spark, rows=180, executives=40).select(EJECUTIVO).distinct().collect())
+    known = store._names(store.current()["names"]).collect()
+    assert sorted(r[EJECUTIVO] for r in known) == sorted({*names, *(r[EJECUTIVO] for r in orders(spark, rows=90).collect())})
+    assert sorted(r["numero"] for r in known) == list(range(len(known)))
+
+
 def folders(store, version):
     return {(m["anio"], m["mes"]): m["folder"] for m in store.version(version)["months"]}
 

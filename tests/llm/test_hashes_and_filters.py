@@ -99,3 +99,18 @@ def test_the_sample_follows_key_and_text(spark, light, monkeypatch):
     sizes = np.diff(np.append(seen[0][0][2], len(seen[0][0][0])))
     assert 30 < len(sizes) < 160 and sizes.max() <= 200 + toxicity.WIDTHS[-1]
     assert toxicity.train(labelled.drop("toxic"), labelled.where("toxic = 1").select("doc_id", "toxic")) is None
+
+
+def test_all_labelled_rows_are_learned_from_and_whole(spark, light, monkeypatch):
+    """Words at both ends of texts of 30,000 characters are counted in each row that is not kept back."""
+    rows = [(i, "zebra " + "w " * 15_000 + ("moron" if i % 2 else "fine"), "en", i % 2) for i in range(40)]
+    labelled = frame(spark, rows, "doc_id long, text string, lang string, toxic int")
+    seen, lean = [], toxicity._lean
+    monkeypatch.setattr(toxicity, "_lean", lambda *counts: (seen.append(counts), lean(*counts))[1])
+    monkeypatch.setattr(toxicity, "ROUNDS", 1)
+    model, thresholds = toxicity.train(labelled.drop("toxic").repartition(3), labelled.select("doc_id", "toxic"))
+    n, ones, mean = seen[0]
+    zebra, moron, fine = (toxicity.buckets(pa.array([word]))[0][0] for word in ("zebra", "moron", "fine"))
+    assert 20 < n[zebra] < 40 and n[moron] + n[fine] == n[zebra]
+    assert ones[moron] == n[moron] > 0 and ones[fine] == 0 and ones[zebra] == n[moron] == round(mean * n[zebra])
+    assert (model.word[toxicity.PAD] == 0).all() and set(thresholds) <= {"en"}

@@ -11,26 +11,27 @@ import tempfile
 
 import numpy as np
 
+# Place of the one number r (from 0) in a byte, at 8 * byte + r.
+IN_BYTE = np.zeros((256, 8), np.uint8)
+for _byte in range(256):
+    _ones = [k for k in range(8) if _byte >> k & 1]
+    IN_BYTE[_byte, : len(_ones)] = _ones
+IN_BYTE = IN_BYTE.reshape(-1)
 
-def _bits(words: np.ndarray, ones: bool) -> np.ndarray:
-    """Ones (or zeros) before each 64-bit word, and in all."""
-    count = np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))])
-    return count if ones else np.arange(len(words) + 1) * 64 - count
+RUN = 1 << 15  # values looked for at a time, so that what is held for them stays in the cache
 
 
-def _select(words: np.ndarray, before: np.ndarray, rank: np.ndarray, ones: bool) -> np.ndarray:
+def _before(field: np.ndarray, ones: bool) -> np.ndarray:
+    """Ones (or zeros) before each byte, and in all."""
+    count = np.concatenate([[0], np.cumsum(np.bitwise_count(field), dtype=np.int64)])
+    return count if ones else np.arange(len(field) + 1) * 8 - count
+
+
+def _select(field: np.ndarray, before: np.ndarray, rank: np.ndarray, ones: bool) -> np.ndarray:
     """Place of the one (or zero) number `rank`, from 0."""
     at = np.searchsorted(before, rank, side="right") - 1
-    left = (rank - before[at]).astype(np.int64)
-    word = words[at] if ones else ~words[at]
-    place = at.astype(np.int64) * 64
-    for width in (32, 16, 8, 4, 2, 1):
-        count = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
-        further = left >= count
-        left -= np.where(further, count, 0)
-        place += np.where(further, width, 0)
-        word = np.where(further, word >> np.uint64(width), word)
-    return place
+    byte = field[at] if ones else ~field[at]
+    return at * 8 + IN_BYTE[byte * np.int64(8) + (rank - before[at])]
 
 
 class EliasFano:
@@ -44,12 +45,9 @@ class EliasFano:
         top = int((universe - 1) >> self.low_bits) if universe else 0
         field = np.zeros(((n + top + 2) // 64 + 1) * 64, bool)
         field[high + np.arange(n)] = True
-        self.field = np.packbits(field, bitorder="little").view(np.uint64)
+        self.field = np.packbits(field, bitorder="little")
         self.low = self._packed(values)
-        self._directories()
-
-    def _directories(self) -> None:
-        self.ones, self.zeros = _bits(self.field, True), _bits(self.field, False)
+        self.ones, self.zeros = _before(self.field, True), _before(self.field, False)
 
     def _packed(self, values: np.ndarray) -> np.ndarray:
         b = self.low_bits
@@ -75,6 +73,8 @@ class EliasFano:
         return (value | rest) & np.uint64((1 << b) - 1)
 
     def get(self, at: np.ndarray) -> np.ndarray:
+        if len(at) > RUN:
+            return np.concatenate([self.get(at[i : i + RUN]) for i in range(0, len(at), RUN)])
         high = _select(self.field, self.ones, at, True) - at
         return (high.astype(np.uint64) << np.uint64(self.low_bits)) | self._lows(at)
 
@@ -103,6 +103,9 @@ class EliasFano:
         """Place of each value, -1 if it is not there."""
         if not self.size:
             return np.full(len(values), -1, np.int64)
+        if len(values) > RUN:
+            runs = [slice(i, i + RUN) for i in range(0, len(values), RUN)]
+            return np.concatenate([self.find(values[r], *(x if x is None else x[r] for x in (first, last))) for r in runs])
         at = self.successor(values, first, last)
         end = self.size if last is None else last
         there = at < end

@@ -4,12 +4,14 @@ The trie is cut into shards by the hash of the context. In a shard a level holds
 files: the contexts, a monotone sequence of pointers to each context's successors, the
 successors, relative to their context, and quantised smoothed probabilities. Documents are
 worked off in batches: a batch asks for each n-gram once, the shards learn from the counts of all
-batches and answer all that was asked, and the batch adds up its documents.
+batches and answer all that was asked, and the batch adds up its documents. This goes in rounds over
+levels and shards, so that only what one round asks is on disk at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -139,42 +141,61 @@ class Batch:
     def unigrams(self) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(self.ids, return_inverse=True)
 
-    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct contexts, successors of each, successors, and where each token is in the two lists."""
-        contexts, of_context = np.unique(self.context(order), return_inverse=True)
-        keys, of_key = np.unique((of_context.astype(np.uint64) << np.uint64(32)) | (self.ids >> np.uint64(32)), return_inverse=True)
+    def grams(
+        self, context: np.ndarray, tokens: np.ndarray | slice = slice(None)
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct contexts, successors of each, successors, and where each of the tokens is in the two lists."""
+        contexts, of_context = np.unique(context[tokens], return_inverse=True)
+        ids = self.ids[tokens] >> np.uint64(32)
+        keys, of_key = np.unique((of_context.astype(np.uint64) << np.uint64(32)) | ids, return_inverse=True)
         sizes = np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=len(contexts))
         return contexts, sizes, (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), of_context, of_key
 
 
-def _cuts(contexts: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's range begins in sorted contexts."""
-    edges = np.array([(k << 64) // shards for k in range(shards)], np.uint64)
-    return np.append(np.searchsorted(contexts, edges), len(contexts))
+def _edges(shards: int) -> np.ndarray:
+    """Where each shard's range of hashes begins."""
+    return np.array([(k << 64) // shards for k in range(shards)], np.uint64)
+
+
+def _rounds(shards: int, order: int) -> list[list[tuple[int, int, int]]]:
+    """Level, first and last shard (exclusive) of what is asked at once.
+
+    Words and their pairs go together, each longer level in two halves: a text has nearly as many
+    distinct triples as words, and each of them takes twice the bytes of a pair.
+    """
+    halves = [(0, shards // 2), (shards // 2, shards)]
+    longer = [[(level, *half)] for level in range(3, order + 1) for half in halves if half[0] < half[1]]
+    return [[(1, 0, shards), (2, 0, shards)], *longer]
 
 
 ASKED = "level int, shard int, batch long, contexts binary, sizes binary, successors binary, counts binary"
 ANSWERED = "level int, shard int, batch long, seen binary, rest binary, tokens long, words long"
 
 
-def _ask(shards: int, order: int):
-    """Each batch's distinct n-grams, with their counts in training texts, cut into shards."""
+def _ask(shards: int, parts: list[tuple[int, int, int]]):
+    """Each batch's distinct n-grams of some levels and shards, with their counts in training texts, cut into shards."""
+    edges = _edges(shards)
 
     def of_batch(number: int, texts: pa.Array, training: np.ndarray) -> Iterator[pa.RecordBatch]:
         batch = Batch(texts)
         train = training[batch.owner].astype(np.float64)
         rows = []
-        for level in range(1, order + 1):
+        for level, first, last in parts:
+            tokens = slice(None)
             if level == 1:
                 contexts, of_key = batch.unigrams()
                 sizes, successors = np.ones(len(contexts), np.int64), np.empty(0, np.uint32)
             else:
-                contexts, sizes, successors, _, of_key = batch.grams(level)
-            counts = np.bincount(of_key, weights=train, minlength=int(sizes.sum())).astype(np.uint32)
-            cut = _cuts(contexts, shards)
+                context = batch.context(level)
+                if first > 0 or last < shards:
+                    tokens = context >= edges[first]
+                    if last < shards:
+                        tokens &= context < edges[last]
+                contexts, sizes, successors, _, of_key = batch.grams(context, tokens)
+            counts = np.bincount(of_key, weights=train[tokens], minlength=int(sizes.sum())).astype(np.uint32)
+            cut = np.append(np.searchsorted(contexts, edges[first:last]), len(contexts))
             inner = np.concatenate([[0], np.cumsum(sizes)])[cut]
-            for s in range(shards):
-                a, b, c, d = cut[s], cut[s + 1], inner[s], inner[s + 1]
+            for s, a, b, c, d in zip(range(first, last), cut, cut[1:], inner, inner[1:], strict=False):
                 if a < b:
                     rows.append(
                         (level, s, number, packed_sorted(contexts[a:b]), b"" if level == 1 else packed(sizes[a:b]),
@@ -215,14 +236,16 @@ def _answer(shard: pa.Table) -> pa.Table:
         sizes, _ = all_of("sizes")
         successors, _ = all_of("successors", lambda x: np.frombuffer(x, np.uint32))
         keys = (np.repeat(of_context, sizes).astype(np.uint64) << np.uint64(32)) | successors
-        some = counts > 0
-        learned, of_key = np.unique(keys[some], return_inverse=True)
-        total = np.bincount(of_key, weights=counts[some], minlength=len(learned))
-        of_learned, per = np.unique((learned >> np.uint64(32)).astype(np.int64), return_counts=True)
-        trie = Level(distinct[of_learned], per, (learned & np.uint64(0xFFFFFFFF)).astype(np.uint32), total)
-        seen, rest = trie.answer(contexts, sizes, successors)
+        # What several batches ask is looked up once.
+        keys, of_key = np.unique(keys, return_inverse=True)
+        owner, successors = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        total = np.bincount(of_key, weights=counts, minlength=len(keys))
+        some = total > 0
+        of_learned, per = np.unique(owner[some], return_counts=True)
+        trie = Level(distinct[of_learned], per, successors[some], total[some])
+        seen, rest = trie.answer(distinct, np.bincount(owner, minlength=len(distinct)), successors)
         answers = [
-            (packed(seen[c:d]), packed(rest[a:b]))
+            (packed(seen[of_key[c:d]]), packed(rest[of_context[a:b]]))
             for a, b, c, d in zip(cut, cut[1:], inner, inner[1:], strict=False)
         ]
         tokens = words = 0
@@ -243,7 +266,7 @@ def _answer(shard: pa.Table) -> pa.Table:
 
 def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of each batch as one compressed value: texts move in a third of their size."""
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))
     open_: dict[int, list[pa.RecordBatch]] = {}
     group = None
 
@@ -299,7 +322,7 @@ def _score(tokens: int, words: int, order: int):
 
         base, known = per_text(np.log10(p)), per_text(counts > 0)
         for level in range(2, order + 1):
-            *_, of_context, of_key = batch.grams(level)
+            *_, of_context, of_key = batch.grams(batch.context(level))
             p = restore(joined(level, "seen")[of_key]) + restore(joined(level, "rest")[of_context]) * p
         return pa.table(
             {
@@ -353,8 +376,17 @@ def score_documents(documents: DataFrame, held_out: Column, order: int = ORDER)
     shards = max(1, -(-chars // SHARD_CHARS))
     # Asked and scored from what is written once: a second plan over the files may cut them into other batches.
     bundles = cut_lineage(rows.mapInArrow(_bundled, "_batch long, rows binary"))
-    asked = bundles.mapInArrow(_ask(shards, order), ASKED)
-    answers = cut_lineage(asked.groupBy("level", "shard").applyInArrow(_answer, ANSWERED))
+    # Each round's requests leave the disks before the next round writes its own.
+    answers = reduce(
+        DataFrame.unionAll,
+        [
+            cut_lineage(
+                bundles.mapInArrow(_ask(shards, parts), ASKED).groupBy("level", "shard").applyInArrow(_answer, ANSWERED),
+                drop_shuffles=True,
+            )
+            for parts in _rounds(shards, order)
+        ],
+    )
     tokens, words = answers.where("batch = -1").agg(F.sum("tokens"), F.sum("words")).first()
     return (
         bundles.groupBy("_batch")

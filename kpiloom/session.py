@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, name: str = "kpiloom") -> SparkSession:
     """A session for tests and measurements on one machine."""
@@ -60,7 +62,22 @@ def checkpoint_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows written to the checkpoint folder, so that nothing before is computed again."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def cut_lineage(df: DataFrame, drop_shuffles: bool = False) -> DataFrame:
+    """The rows written to the checkpoint folder, so that nothing before is computed again.
+
+    With `drop_shuffles`, what was shuffled for them leaves the disks as soon as they are written,
+    not when the driver next collects garbage. A frame run before is not to be passed then.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if not drop_shuffles:
+        return df.checkpoint()
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint()  # a frame has the setting of the time it is made
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)

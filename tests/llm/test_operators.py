@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,7 @@ from kpiloom.llm import (
     toxicity,
     winnowing,
 )
+from kpiloom.session import DROP_SHUFFLES
 from tests.llm import brute
 
 pytestmark = pytest.mark.usefixtures("light")
@@ -217,6 +220,47 @@ def test_language_model(stored, order):
         assert a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6], abs=2e-4 * a[2])
 
 
+@pytest.mark.parametrize("shards", [2, 5])
+def test_language_model_in_shards(stored, monkeypatch, shards):
+    monkeypatch.setattr(ngram_lm, "SHARD_CHARS", -(-sum(len(t or "") for _, t in DOCS) // shards))
+    found = ngram_lm.score_documents(stored, ngram_lm.held_out_fold(F.col("doc_id")), order=3).collect()
+    place = lambda r: (str(tuple(r[:5])), r[5], r[6])
+    found, expected = sorted(map(tuple, found), key=place), sorted(brute.ngram_scores(DOCS, 3), key=place)
+    assert [r[:5] for r in found] == [r[:5] for r in expected]
+    for a, b in zip(found, expected, strict=True):
+        assert a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6], abs=2e-4 * a[2])
+
+
+@pytest.mark.parametrize("shards", [1, 2, 7])
+def test_rounds_ask_each_shard_once(shards):
+    asked = [(level, s) for parts in ngram_lm._rounds(shards, 4) for level, a, b in parts for s in range(a, b)]
+    assert sorted(asked) == [(level, s) for level in range(1, 5) for s in range(shards)]
+
+
+def test_each_round_leaves_the_disks(spark, stored, monkeypatch):
+    cut, left = ngram_lm.cut_lineage, []
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def shuffled():
+        return {file for folder in folders for file in Path(folder).glob("*/shuffle_*.data")}
+
+    def watched(*args, **kwargs):
+        before = shuffled()
+        out = cut(*args, **kwargs)
+        until = time.monotonic() + 10
+        while shuffled() - before and time.monotonic() < until:
+            time.sleep(0.1)
+        left.append(len(shuffled() - before))
+        return out
+
+    monkeypatch.setattr(ngram_lm, "cut_lineage", watched)
+    monkeypatch.setattr(ngram_lm, "SHARD_CHARS", 2_000)
+    setting = spark.conf.get(DROP_SHUFFLES, None)
+    ngram_lm.score_documents(stored, F.lit(False), order=3)
+    assert left == [0] * 4  # the batches, words and pairs, two halves of the triples
+    assert spark.conf.get(DROP_SHUFFLES, None) == setting
+
+
 def test_language_model_of_nothing(stored):
     assert ngram_lm.score_documents(stored.limit(0), F.lit(False)).isEmpty()
     nothing_learned = ngram_lm.score_documents(stored, F.lit(True)).agg(F.max("n_known"), F.max("train_tokens")).first()

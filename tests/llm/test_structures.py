@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from kpiloom.llm import elias_fano
 from kpiloom.llm.elias_fano import EliasFano
 from kpiloom.llm.flat import gram_hashes, span_hashes, words_of
 from kpiloom.llm.fm_index import FMIndex, WaveletMatrix, least_in
@@ -26,6 +27,21 @@ def test_elias_fano(values, asked):
     assert all((f >= 0) == (a in values) and (f < 0 or values[f] == a) for f, a in zip(found, asked, strict=True))
 
 
+def test_elias_fano_in_runs(monkeypatch):
+    rng = np.random.default_rng(3)
+    values = np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64) << np.uint64(1))
+    asked = np.sort(np.concatenate([values, values + np.uint64(1), values[:40]]))
+    place = np.searchsorted(values, asked)
+    there = asked % np.uint64(2) == 0
+    monkeypatch.setattr(elias_fano, "RUN", 7)
+    sequence = EliasFano(values, 1 << 64)
+    assert (sequence.get(np.arange(len(values))) == values).all()
+    assert (sequence.find(asked) == np.where(there, place, -1)).all()
+    first, last = np.maximum(place - 3, 0), np.minimum(place + 2, len(values))
+    assert (sequence.find(asked, first, last) == np.where(there, place, -1)).all()
+    assert (sequence.find(asked, first, np.minimum(place, last)) == -1).all()
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 9), min_size=1, max_size=200))
 def test_wavelet_matrix_counts(values):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -114,3 +116,88 @@ def test_all_labelled_rows_are_learned_from_and_whole(spark, light, monkeypatch)
     assert 20 < n[zebra] < 40 and n[moron] + n[fine] == n[zebra]
     assert ones[moron] == n[moron] > 0 and ones[fine] == 0 and ones[zebra] == n[moron] == round(mean * n[zebra])
     assert (model.word[toxicity.PAD] == 0).all() and set(thresholds) <= {"en"}
+
+
+def cpu_seconds(work, times=5):
+    took = []
+    for _ in range(times):
+        begin = time.process_time()
+        work()
+        took.append(time.process_time() - begin)
+    return min(took)
+
+
+def plain_places(model, word, stem, begin):
+    """For each width the place (text, filter) of the first largest answer, found along the texts."""
+    embedded, found = model.word[word] + model.stem[stem], []
+    ends = np.append(begin[1:], len(word))
+    for filters in model.filters:
+        answers = embedded @ filters[0]
+        for k in range(1, len(filters)):
+            answers[: len(word) - k] += embedded[k:] @ filters[k]
+        for k in range(1, toxicity.WIDTHS[-1]):
+            answers[ends - k] = -np.inf
+        top = np.repeat(np.maximum.reduceat(answers, begin, axis=0), ends - begin, axis=0)
+        place = np.where(answers == top, np.arange(len(word))[:, None], len(word))
+        found.append(np.minimum.reduceat(place, begin, axis=0))
+    return found
+
+
+def test_a_step_moves_what_the_largest_answers_ask_for():
+    model = toxicity.WordFilters(seed=4)
+    model.word *= 30
+    texts = ["same same same same", "", "a b a b a b c", *(text(n, n) for n in (1, 2, 30))]
+    word, stem, begin = toxicity.buckets(pa.array(texts))
+    labels, weights = np.array([1, 0, 1, 0, 1, 0], np.float32), np.linspace(0.5, 2, 6).astype(np.float32)
+    before = [p.astype(float) for p in model.params]
+    places, rate = plain_places(model, word, stem, begin), 0.1
+    wanted = [np.zeros_like(p) for p in before]
+    embedded, size = before[0][word] + before[1][stem], toxicity.FILTERS
+    for t in range(len(texts)):
+        hidden = before[5].copy()
+        for w, place in enumerate(places):
+            for f, at in enumerate(place[t].tolist()):
+                hidden[w * size + f] += sum(embedded[at + k] @ before[2 + w][k, :, f] for k in range(w + 1))
+        g = (1 / (1 + np.exp(-(np.maximum(hidden, 0) @ before[6] + before[7][0]))) - labels[t]) * weights[t] / len(texts)
+        own = g * before[6] * (hidden > 0)
+        wanted[5] += own
+        wanted[6] += g * np.maximum(hidden, 0)
+        wanted[7] += g
+        for w, place in enumerate(places):
+            for f, at in enumerate(place[t].tolist()):
+                for k in range(w + 1):
+                    wanted[2 + w][k, :, f] += own[w * size + f] * embedded[at + k]
+                    for table, bucket in ((0, word[at + k]), (1, stem[at + k])):
+                        if bucket != toxicity.PAD:
+                            wanted[table][bucket] += own[w * size + f] * before[2 + w][k, :, f]
+    seen = [np.full(p.shape, 1e-2, np.float32) for p in model.params]
+    model._step(word, stem, begin, labels, weights, model.params, seen, rate)
+    for old, new, grad in zip(before, model.params, wanted, strict=True):
+        assert np.allclose(new, old - rate * grad / np.sqrt(grad * grad + 1e-2), atol=1e-4)
+
+
+def test_a_step_costs_less_than_the_search_along_the_texts():
+    """CPU time, which the check bounds: the plain search alone took most of a step."""
+    rng = np.random.default_rng(6)
+    begin = np.arange(64) * 500
+    word, stem = (rng.integers(1, n, 64 * 500).astype(np.int32) for n in (toxicity.WORD_BUCKETS, toxicity.STEM_BUCKETS))
+    model, labels = toxicity.WordFilters(), (np.arange(64) % 2).astype(np.float32)
+    seen = [np.full(p.shape, 1e-2, np.float32) for p in model.params]
+    step = cpu_seconds(lambda: model._step(word, stem, begin, labels, np.ones(64, np.float32), model.params, seen, 0.01))
+    assert step < 0.75 * cpu_seconds(lambda: plain_places(model, word, stem, begin))
+
+
+def test_texts_of_each_bucket_are_counted_once_and_fast():
+    rng = np.random.default_rng(7)
+    for texts, places in ((2000, 400_000), (40_000, 90_000)):  # the larger product of texts and buckets takes 64 bits
+        owner = np.sort(rng.integers(0, texts, places))
+        bucket = rng.zipf(1.3, places).astype(np.int64) % toxicity.WORD_BUCKETS
+        bucket, labels = bucket.astype(np.int32), rng.integers(0, 2, texts).astype(np.float32)
+        n, ones = toxicity._bucket_texts(bucket, owner, labels, toxicity.WORD_BUCKETS)
+        pairs = set(zip(owner.tolist(), bucket.tolist(), strict=True))
+        for count, some in ((n, pairs), (ones, [(t, b) for t, b in pairs if labels[t]])):
+            assert np.array_equal(count, np.bincount([b for _, b in some], minlength=toxicity.WORD_BUCKETS))
+    owner, bucket = np.repeat(np.arange(2000), 500), rng.integers(0, toxicity.WORD_BUCKETS, 1_000_000).astype(np.int32)
+    labels = np.ones(2000, np.float32)
+    fast = cpu_seconds(lambda: toxicity._bucket_texts(bucket, owner, labels, toxicity.WORD_BUCKETS), 3)
+    assert fast < 0.5 * cpu_seconds(lambda: np.unique(owner * np.int64(toxicity.WORD_BUCKETS) + bucket), 3)
